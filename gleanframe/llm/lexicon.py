@@ -87,19 +87,19 @@ verwante artikelen | dit vindt u misschien ook | meer uit deze rubriek | meest g
 NOTICES = """
 could not be found on this server | the server is busy. request | is denied. your request was blocked | this page requires scripts | turn them on in your browser settings | something went wrong while we were loading | please try again later
 internal error. | can't find the page you are looking for | no longer exists. | if nothing happens, allow scripts | you must turn on javascript to read | scripts are disabled, so | enable them and reload | you do not have permission to view this page
-please verify that you are human | is temporarily unavailable ( | needs javascript. your browser | please enable javascript to | service unavailable | not found | please come back in a few minutes | access denied.
+please verify that you are human | is temporarily unavailable ( | needs javascript. your browser | please enable javascript to | service unavailable | not found | please come back in a few minutes | access denied. | this account or page (
 wurde auf diesem server nicht gefunden | benötigt skripte. | erlauben sie sie im browser und laden | ist leider etwas schiefgegangen | bitte versuchen sie es später | interner fehler. | diese seite gibt es nicht mehr | der zugriff auf | zugriff verweigert.
-bitte aktivieren sie javascript | braucht javascript. ihr browser | muss javascript eingeschaltet sein | sie dürfen diese seite nicht ansehen | bitte bestätigen sie, dass sie ein mensch | ist vorübergehend nicht erreichbar | seite nicht gefunden | bitte später noch einmal versuchen | dienst nicht verfügbar | der server ist überlastet
+bitte aktivieren sie javascript | braucht javascript. ihr browser | muss javascript eingeschaltet sein | sie dürfen diese seite nicht ansehen | bitte bestätigen sie, dass sie ein mensch | ist vorübergehend nicht erreichbar | seite nicht gefunden | bitte später noch einmal versuchen | dienst nicht verfügbar | der server ist überlastet | wurde verweigert. | dieses konto oder diese seite (
 est introuvable sur ce serveur | a besoin de scripts. | autorisez-les puis rechargez | un problème est survenu pendant le chargement | réessayez plus tard | erreur interne. | merci de réessayer plus tard | accès refusé. | vous n'avez pas le droit de voir cette page
-veuillez activer javascript | exige javascript, or votre navigateur | il faut activer javascript pour lire | merci de confirmer que vous n'êtes pas un robot | est temporairement indisponible | page introuvable | n'existe plus. | l'accès à | service indisponible
+veuillez activer javascript | exige javascript, or votre navigateur | il faut activer javascript pour lire | merci de confirmer que vous n'êtes pas un robot | est temporairement indisponible | page introuvable | n'existe plus. | l'accès à | est refusé. | ce compte ou cette page ( | service indisponible
 en este servidor. | esta página necesita scripts | permítalos y vuelva a cargar | algo falló al cargar | inténtelo más tarde | inténtelo de nuevo más tarde | error interno. | el acceso a | está prohibido. | acceso denegado. | no tiene permiso para ver esta página
-active javascript para continuar | necesita javascript y su navegador | hay que activar javascript | confirme que es una persona | no está disponible por ahora | página no encontrada | ya no existe. | servicio no disponible
+active javascript para continuar | necesita javascript y su navegador | hay que activar javascript | confirme que es una persona | no está disponible por ahora | página no encontrada | ya no existe. | esta cuenta o página ( | servicio no disponible
 non è stata trovata su questo server | questa pagina richiede gli script | consentili e ricarica | qualcosa non ha funzionato caricando | riprova più tardi | errore interno. | l'accesso a | accesso negato. | non puoi vedere questa pagina
-attiva javascript per continuare | devi attivare javascript | richiede javascript | conferma di essere una persona | al momento non è disponibile | pagina non trovata | non esiste più. | servizio non disponibile
+attiva javascript per continuare | devi attivare javascript | richiede javascript | conferma di essere una persona | al momento non è disponibile | pagina non trovata | non esiste più. | è negato. | è vietato. | questo account o questa pagina ( | servizio non disponibile
 não foi encontrada neste servidor | esta página precisa de scripts | permita-os e recarregue | algo correu mal ao carregar | tente mais tarde | tente de novo mais tarde | erro interno. | o acesso a | acesso negado. | não tem licença para ver esta página
-ligue o javascript para continuar | é preciso ligar o javascript | precisa de javascript | confirme que é uma pessoa | está temporariamente indisponível | página não encontrada | já não existe. | serviço indisponível
+ligue o javascript para continuar | é preciso ligar o javascript | precisa de javascript | confirme que é uma pessoa | está temporariamente indisponível | página não encontrada | já não existe. | está proibido. | foi negado. | esta conta ou página ( | serviço indisponível
 is niet gevonden op deze server | deze pagina heeft scripts nodig | sta ze toe en herlaad | er ging helaas iets mis bij het laden | probeer het later opnieuw | interne fout. | de toegang tot | toegang geweigerd. | u mag deze pagina niet bekijken
-schakel javascript in om verder te gaan | zet javascript aan om | heeft javascript nodig | bevestig dat u een mens bent | is tijdelijk niet bereikbaar | pagina niet gevonden | bestaat niet meer. | dienst niet beschikbaar
+schakel javascript in om verder te gaan | zet javascript aan om | heeft javascript nodig | bevestig dat u een mens bent | is tijdelijk niet bereikbaar | pagina niet gevonden | bestaat niet meer. | is geweigerd. | is verboden. | dit account of deze pagina ( | dienst niet beschikbaar
 """
 
 # Sentences that only hold the place of text to come; a name may stand where the ellipsis is.

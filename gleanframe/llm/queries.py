@@ -1,4 +1,4 @@
-"""Queries of the text-data operators, by problem."""
+"""Queries of the text-data operators, by problem, and the SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, packing, quality, repeats, residue
+from .tokens import VOCABULARY, token_counts
+from ..runtime import materialize
+
+#: Most rows of the table of containers; it is a setting, not data.
+MAX_CONTAINERS = 1000
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,9 +27,103 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_quality(spark, d).where(~F.col("is_prose")).select("doc_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.repeated_lines(_t(spark, d, "documents"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.without_repeated_lines(_t(spark, d, "documents"))
+
+
+def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Every field that holds residue, with the reason and the covered share."""
+    docs = residue.residue(_t(spark, d, "documents"), "doc_id", ("text",)).select(F.lit("documents").alias("tbl"), "*")
+    items = residue.residue(_t(spark, d, "content_items"), "item_id", ("text", "content")).select(F.lit("content_items").alias("tbl"), "*")
+    return docs.unionByName(items)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_reasons(spark, d).select("tbl", "row_id").distinct()
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that remain as content."""
+    return residue.without_residue(_t(spark, d, "documents"), "doc_id").select("doc_id")
+
+
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    rows = _t(spark, d, "containers").dropna().limit(MAX_CONTAINERS + 1).collect()
+    if len(rows) > MAX_CONTAINERS:
+        raise ValueError(f"more than {MAX_CONTAINERS} containers")
+    return {r["container"]: r["capacity"] for r in rows}
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(token_counts(_t(spark, d, "documents"), {"doc_id": "doc_id"}, "text", VOCABULARY), "token-sizes")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    placed = packing.pack(_sizes(spark, d), _capacities(spark, d)["main"])
+    return placed.where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in containers of each kind."""
+    sizes = _sizes(spark, d)
+    kinds = [packing.pack(sizes, c, f"pack-{k}").select(F.lit(k).alias("container"), "*") for k, c in sorted(_capacities(spark, d).items())]
+    out = kinds[0]
+    for k in kinds[1:]:
+        out = out.unionByName(k)
+    return out
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used and room left, by kind of container."""
+    sizes = _sizes(spark, d)
+    kinds = [packing.fill_report(packing.pack(sizes, c, f"pack-{k}"), c).select(F.lit(k).alias("container"), "*") for k, c in sorted(_capacities(spark, d).items())]
+    out = kinds[0]
+    for k in kinds[1:]:
+        out = out.unionByName(k)
+    return out
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = _t(spark, d, "mix_targets")
+    return mixing.mix_shares(mixing.mix(_t(spark, d, "documents"), targets), targets)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_quality": p1_quality,
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
+    "p3_found": p3_found,
+    "p3_reasons": p3_reasons,
+    "p3_kept": p3_kept,
+    "p6_found": p6_found,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
 }
 
-ORACLE: dict[str, str] = {}
+# Site of a document: its source, else the host of its url.
+_SITE = r"coalesce(nullif(trim(source), ''), nullif(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:@]+)', 1)), ''))"
+
+ORACLE: dict[str, str] = {
+    "p2_found": rf"""
+WITH l AS (
+  SELECT doc_id, {_SITE} AS site, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line
+  FROM documents WHERE text IS NOT NULL
+), k AS (
+  SELECT doc_id, site, line_no, regexp_replace(replace(lower(line), 'ß', 'ss'), '[^\p{{L}}\p{{M}}]+', '', 'g') AS key FROM l WHERE site IS NOT NULL
+)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM k WHERE key <> '' AND (site, key) IN (
+  SELECT (site, key) FROM k WHERE key <> '' GROUP BY site, key HAVING count(DISTINCT doc_id) >= 5
+)
+""",
+}

@@ -5,6 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..operators import timestamps
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every lastmod, discovered_at and printed date that denotes a moment, in UTC."""
+    records, items, sites = (table(spark, d, t) for t in ("url_records", "content_items", "sites"))
+    read = (
+        timestamps.interpret(records, sites, "url_records/lastmod", "record_id", "lastmod", "url", "source")
+        .unionByName(timestamps.interpret(records, sites, "url_records/discovered_at", "record_id", "discovered_at", "url", "source", local=False))
+        .unionByName(timestamps.interpret(items, sites, "content_items/date", "item_id", "date", "url", None))
+    )
+    name = F.split(F.split_part("grp", F.lit("\t"), F.lit(1)), "/")
+    return timestamps.choose(read).select(name[0].alias("tbl"), "row_id", name[1].alias("field"), "utc")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+}
 ORACLE: dict[str, str] = {}

@@ -12,24 +12,24 @@ import ahocorasick
 
 # Wording of notices that stand around a page's body (cookies, legal, sharing, subscriptions, jumps).
 SURROUNDINGS = """
-cookies to make | stores small files on your device | choose which cookies we may set | you agree to the use of cookies | accept all cookies
-may be reprinted without written consent | all rights reserved | takes no liability for linked pages | registered office of | include sales tax unless
+we use cookies to make | you can change your choice | stores small files on your device | choose which cookies we may set | you agree to the use of cookies | accept all cookies
+may be reprinted without written consent | all rights reserved | takes no liability for linked pages | include sales tax unless
 print this page | share this story from | with your friends | listen to this article ( | readers have shared this page | for more stories like this | read more below
 morning letter | correction or question? | back to top | skip to main content | advertisement | terms of use
 verwenden cookies, damit | speichert kleine dateien auf ihrem | welche cookies wir setzen | stimmen sie den cookies | alle annehmen ablehnen
-nur mit schriftlicher zustimmung | alle rechte vorbehalten | haftet nicht für den inhalt verlinkter | sitz von | enthalten die gesetzliche steuer
+nur mit schriftlicher zustimmung | alle rechte vorbehalten | haftet nicht für den inhalt verlinkter | enthalten die gesetzliche steuer
 seite drucken | diesen beitrag von | mit freunden teilen | diesen artikel anhören ( | leser haben diese seite | und lesen sie mehr davon | weiter unten mehr
 den morgenbrief von | fehler gefunden? | nach oben | zum inhalt springen | anzeige | nutzungsbedingungen | im monat unterstützen | kommentare bei
 cookies pour faire fonctionner | dépose de petits fichiers sur votre | choisissez vos cookies | vous acceptez les cookies | tout accepter refuser
-exige un accord écrit | tous droits réservés | décline toute responsabilité pour les pages | siège de | comprennent la taxe
+exige un accord écrit | tous droits réservés | décline toute responsabilité pour les pages | comprennent la taxe
 imprimer cette page | partagez cet article de | avec vos amis | écoutez cet article ( | lecteurs de | ont partagé cette page | pour d'autres récits | d'autres récits | la suite plus bas
 la lettre du matin | une erreur ? écrivez | haut de page | aller au contenu | publicité | mentions légales
 usamos cookies para que | guarda pequeños archivos en su equipo | elija qué cookies acepta | usted acepta las cookies | aceptar todo rechazar
-prohibida la copia de | todos los derechos reservados | no responde por las páginas enlazadas | sede de | incluyen impuestos
+prohibida la copia de | todos los derechos reservados | no responde por las páginas enlazadas | incluyen impuestos
 imprimir esta página | comparte esta noticia de | con tus amigos | escucha este artículo ( | compartieron esta página | para leer más historias | sigue más abajo
 la carta matinal de | ¿ha visto un error? | volver arriba | ir al contenido | publicidad | aviso legal
 usiamo i cookie per | salva piccoli file sul tuo dispositivo | scegli quali cookie | accetti i cookie di | accetta tutto rifiuta
-vietata la copia di | tutti i diritti riservati | non risponde delle pagine collegate | sede di | comprendono le imposte
+vietata la copia di | tutti i diritti riservati | non risponde delle pagine collegate | comprendono le imposte
 stampa questa pagina | condividi questa notizia di | con gli amici | ascolta questo articolo ( | hanno condiviso questa pagina | per altre storie | continua più sotto
 la lettera del mattino | hai visto un errore? | torna su | vai al contenuto | pubblicità | note legali
 guarda pequenos ficheiros no seu aparelho | escolha que cookies | ao continuar aceita os cookies | aceitar tudo recusar
@@ -37,7 +37,7 @@ proibida a cópia de | todos os direitos reservados | não responde pelas págin
 partilhe esta notícia de | com os amigos | ouça este artigo ( | partilharam esta página | para mais histórias | continua mais abaixo
 a carta da manhã de | viu um erro? | voltar ao topo | ir para o conteúdo | publicidade
 gebruiken cookies om | bewaart kleine bestanden op uw apparaat | kies welke cookies | aanvaardt u de cookies | alles aanvaarden weigeren
-alleen met schriftelijke toestemming | alle rechten voorbehouden | is niet aansprakelijk voor gelinkte | zetel van | zijn met belasting
+alleen met schriftelijke toestemming | alle rechten voorbehouden | is niet aansprakelijk voor gelinkte | zijn met belasting
 druk deze pagina af | deel dit bericht van | met vrienden | beluister dit artikel ( | deelden deze pagina | voor meer verhalen | hieronder meer
 de ochtendbrief van | een fout gezien? | naar boven | ga naar de inhoud | advertentie | colofon | privacy matters to | daten sind | vie privée compte pour | privacidad importa a | la privacidad | privacy conta per | privacidade importa
 """
@@ -51,7 +51,7 @@ PROMPTS = r"""
 ^ler \d+ comentários em |^apoie .{1,60} desde \d+ por mês|^siga .{1,60} para mais|^os preços de .{1,60} imposto
 ^lees \d+ reacties op |^steun .{1,60} vanaf \d+ per maand|^volg .{1,60} voor meer|^prijzen van .{1,60} belasting|^ontvang de .{1,60} van
 ^\d+ kommentare bei .{1,60} lesen|^.{1,60} ab \d+ im monat |^folgen sie .{1,60} und lesen|^alle preise bei
-^© ?\d{4} |^copyright |^\(c\) \d{4}
+^(?:registered office of|sitz von|siège de|sede de|sede di|zetel van) .{1,60}:|^© ?\d{4} |^copyright |^\(c\) \d{4}
 """
 
 # Bylines, with a name where the dots are.

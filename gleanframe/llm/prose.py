@@ -8,7 +8,7 @@ from functools import cache, lru_cache
 from . import lexicon
 
 # Kinds of lines.
-EMPTY, SENTENCE, SURROUNDING, MENU, CRUMB, RELATED, BYLINE, ITEM, TITLE, OTHER = range(10)
+EMPTY, SENTENCE, SURROUNDING, MENU, CRUMB, RELATED, BYLINE, ITEM, NOTICE, OTHER = range(10)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _DECOR = re.compile(r"(?:--|[>»•*·]|#{1,6})\s+")

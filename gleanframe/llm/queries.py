@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, repeats, residue
+from . import body, language, mixing, packing, quality, repeats, residue
 from .tokens import VOCABULARY, token_counts
 from ..runtime import materialize
 
@@ -96,6 +96,25 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(mixing.mix(_t(spark, d, "documents"), targets), targets)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = body.boilerplate(_t(spark, d, "content_items"))
+    return found.select("item_id", "field", F.explode("lines").alias("line_no"))
+
+
+def p5_body(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of each page's whole text."""
+    return body.main_body(_t(spark, d, "content_items"))
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every document and of its segments."""
+    return language.identify(_t(spark, d, "documents"), _t(spark, d, "common_words"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.relabelled(p8_languages(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_quality": p1_quality,
@@ -104,11 +123,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_reasons": p3_reasons,
     "p3_kept": p3_kept,
+    "p5_found": p5_found,
+    "p5_body": p5_body,
     "p6_found": p6_found,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_languages": p8_languages,
 }
 
 # Site of a document: its source, else the host of its url.

@@ -84,6 +84,14 @@ def has_filler(squeezed: str) -> bool:
     return False
 
 
+def has_filler_text(text: str) -> bool:
+    """Filler sentences or a line of pseudo-Latin."""
+    low = text.lower()
+    if any(x in low for x in _LATIN_SIGNS) and any(is_pseudo_latin(line.split()) for line in low.split("\n") if len(line) > 20):
+        return True
+    return has_filler(" ".join(low.split()))
+
+
 def notice_coverage(lines: list[str]) -> float:
     """Share of the words, surroundings and trailing request ids aside, that stand in notices."""
     inside = outside = 0
@@ -105,15 +113,10 @@ def judge(text: str | None) -> tuple[str, float] | None:
         return None
     if has_placeholder(text):
         return "placeholder", 1.0
-    low = text.lower()
-    squeezed = " ".join(low.split())
-    kinds = {k for _, (_, entries) in lexicon.automaton().iter(squeezed) for k, _ in entries}
-    if "filler" in kinds and has_filler(squeezed):
-        return "filler", 1.0
-    lines = low.split("\n")
-    if any(x in low for x in _LATIN_SIGNS) and any(is_pseudo_latin(line.split()) for line in lines if len(line) > 20):
+    if has_filler_text(text):
         return "filler", 1.0
-    if "notice" in kinds and (share := notice_coverage(text.split("\n"))) >= NOTICE_COVERAGE:
+    lines = text.split("\n")
+    if any(prose.notice(s) for s in map(str.strip, lines) if s) and (share := notice_coverage(lines)) >= NOTICE_COVERAGE:
         return "notice", round(share, 4)
     return None
 

@@ -92,7 +92,7 @@ wurde auf diesem server nicht gefunden | benötigt skripte. | erlauben sie sie i
 bitte aktivieren sie javascript | braucht javascript. ihr browser | muss javascript eingeschaltet sein | sie dürfen diese seite nicht ansehen | bitte bestätigen sie, dass sie ein mensch | ist vorübergehend nicht erreichbar | seite nicht gefunden | bitte später noch einmal versuchen | dienst nicht verfügbar | der server ist überlastet | wurde verweigert. | dieses konto oder diese seite (
 est introuvable sur ce serveur | a besoin de scripts. | autorisez-les puis rechargez | un problème est survenu pendant le chargement | réessayez plus tard | erreur interne. | merci de réessayer plus tard | accès refusé. | vous n'avez pas le droit de voir cette page
 veuillez activer javascript | exige javascript, or votre navigateur | il faut activer javascript pour lire | merci de confirmer que vous n'êtes pas un robot | est temporairement indisponible | page introuvable | n'existe plus. | l'accès à | est refusé. | ce compte ou cette page ( | service indisponible
-en este servidor. | esta página necesita scripts | permítalos y vuelva a cargar | algo falló al cargar | inténtelo más tarde | inténtelo de nuevo más tarde | error interno. | el acceso a | está prohibido. | acceso denegado. | no tiene permiso para ver esta página
+no se encontró la página | en este servidor. | esta página necesita scripts | permítalos y vuelva a cargar | algo falló al cargar | inténtelo más tarde | inténtelo de nuevo más tarde | error interno. | el acceso a | está prohibido. | acceso denegado. | no tiene permiso para ver esta página
 active javascript para continuar | necesita javascript y su navegador | hay que activar javascript | confirme que es una persona | no está disponible por ahora | página no encontrada | ya no existe. | esta cuenta o página ( | servicio no disponible
 non è stata trovata su questo server | questa pagina richiede gli script | consentili e ricarica | qualcosa non ha funzionato caricando | riprova più tardi | errore interno. | l'accesso a | accesso negato. | non puoi vedere questa pagina
 attiva javascript per continuare | devi attivare javascript | richiede javascript | conferma di essere una persona | al momento non è disponibile | pagina non trovata | non esiste più. | è negato. | è vietato. | questo account o questa pagina ( | servizio non disponibile

@@ -135,7 +135,8 @@ class MarkdownWriter(HTMLParser):
                 self.skip.append(tag)
             return
         if tag in ("ul", "ol"):
-            self._block()
+            if not self.lists:
+                self._block()
             self.lists.append([tag, 0])
         elif tag == "li":
             kind = self.lists[-1] if self.lists else ["ul", 0]
@@ -176,7 +177,8 @@ class MarkdownWriter(HTMLParser):
         if tag in ("ul", "ol"):
             if self.lists:
                 self.lists.pop()
-            self._block()
+            if not self.lists:
+                self._block()
         elif tag in ("strong", "b"):
             self.out.append("**")
         elif tag in ("em", "i"):

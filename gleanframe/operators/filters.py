@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import cosine_to
 
@@ -110,7 +111,7 @@ def by_function(predicate: Callable[[dict], bool], fields: Sequence[str]) -> Fil
     def build(columns: Sequence[str]) -> Column:
         names = [f for f in fields if f in columns]
 
-        @F.pandas_udf("boolean")
+        @F.pandas_udf(T.BooleanType())
         def run(rows: pd.DataFrame) -> pd.Series:
             return pd.Series([bool(predicate(r)) for r in rows.to_dict("records")], dtype=bool)
 

@@ -7,6 +7,7 @@ from urllib.parse import urldefrag, urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import urls
 
@@ -15,7 +16,7 @@ ANCHOR = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)"""
 ANY_HREF = r"""(?i)href\s*=\s*["']([^"'#\s]+)"""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
     def one(b, h):
         try:

@@ -21,7 +21,7 @@ NAMES = {
 
 def label_code(lang: Column) -> Column:
     """``en_GB``, ``English``, ``eng`` and the like as ``en``; null for blanks, placeholders and unknown labels."""
-    head = F.lower(F.regexp_extract(F.trim(lang), r"^([\p{L}]+)(?:[-_].*)?$", 1))
+    head = F.lower(F.regexp_extract(F.trim(lang), r"^([\p{L}]+)(?:[-_][\p{L}0-9]{2,8})*$", 1))
     out = F.lit(None).cast("string")
     for code, names in NAMES.items():
         out = F.when(head.isin(code, *names.split()), F.lit(code)).otherwise(out)

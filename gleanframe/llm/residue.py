@@ -20,21 +20,22 @@ LATIN_SHARE, LATIN_WORDS = 0.35, 3
 # HTML elements that may stand in angle brackets without being placeholders.
 ELEMENTS = frozenset("html head body title meta link script style div span table thead tbody tr td th ul ol li img pre code main nav header footer article section aside form input button select option label iframe strong em sup sub small font center blockquote br hr".split())
 
-_NAME = r"(?=[A-Za-z][\w.])[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+)*"
+_NAME = r"(?=[A-Za-z][\w.])[A-Za-z][A-Za-z0-9]*(?:[_.-][A-Za-z0-9]+)*"
 #: Placeholder syntaxes: doubled or marked brackets, percent, at and underscore fences, and worded slots.
 PLACEHOLDER = re.compile(
-    rf"""(?<![\w`])(?:
+    rf"""(?<![^\s(\["'«“>:])(?:
       \{{\{{\{{?[#/^&>!]?\s*(?:each\s+|if\s+|unless\s+|with\s+)?{_NAME}\s*\}}?\}}\}}
     | \{{%[-]?\s*(?:if\s+|for\s+|include\s+|block\s+)?{_NAME}\s*[-]?%\}}
     | <%[=-]?\s*{_NAME}\s*-?%>
     | [$#]!?\{{\s*{_NAME}\s*\}}
     | \{{\s*{_NAME}\s*\}}
-    | \[\[\s*{_NAME}\s*\]\] | <<\s*{_NAME}\s*>> | <(?P<angle>[a-z][a-z0-9_.]{{2,40}})>
+    | \[\[\s*{_NAME}\s*\]\] | <<\s*{_NAME}\s*>> | <(?P<angle>[a-z][a-z0-9_.-]{{2,40}})>
     | \[%\s*{_NAME}\s*%\] | %%\s*{_NAME}\s*%% | %{_NAME}% | @@{_NAME}@@ | __{_NAME}__ | \*\|{_NAME}\|\*
-    | ~~{_NAME}~~ | &&{_NAME}&& | \{{\s*{_NAME}\s*\|\s*\w+\s*\}} | %\({_NAME}\)[sd] | \${_NAME}[$;]
+    | X{{2,4}}_{_NAME}_X{{2,4}} | ~~{_NAME}~~ | &&{_NAME}&& | \{{\s*{_NAME}\s*\|\s*\w+\s*\}} | %\({_NAME}\)[sd] | \${_NAME}[$;]
     | \[(?:INSERT|YOUR|ENTER|ADD|Insert|Your|Enter|Add)\s[^\]\n]{{2,80}}\]
     | \[[A-Za-z_. ]{{2,40}}\s(?:here|HERE|goes\ here|GOES\ HERE)\]
     | (?:TODO|FIXME|TK):\s{_NAME}
+    | (?<!\S)\{{\d{{1,2}}\}}(?!\S)
     )(?![\w`])""",
     re.X,
 )

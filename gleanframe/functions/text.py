@@ -6,8 +6,10 @@ import math
 import re
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: what a token is, after lower-casing.
 TOKEN = "[a-z0-9]+"
@@ -24,22 +26,26 @@ def term_frequency(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def cosine_to(text: Column, query: str) -> Column:
-    """Cosine of the text's and the query's term counts, on the row: no join, no shuffle. 0 where either has no term."""
+    """Cosine of the text's and the query's term counts, on the row: no join, no shuffle. 0 where either has no term,
+    null for null. Counting needs state a row, which the JVM's array functions only have interpreted; Arrow batches
+    are an order of magnitude faster.
+    """
     terms = Counter(re.findall(TOKEN, query.lower()))
     norm = math.sqrt(sum(v * v for v in terms.values()))
-    if not terms:
-        return F.when(text.isNotNull(), F.lit(0.0))
-    own = F.array_sort(tokens(text))
-    # Runs of equal tokens in sorted order give the counts: (last token, its count, sum of squares so far).
-    start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("q"))
-    squares = F.aggregate(
-        own, start,
-        lambda a, t: F.struct(t.alias("t"), F.when(a["t"] == t, a["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"), (a["q"] + F.when(a["t"] == t, 2 * a["n"] + 1).otherwise(F.lit(1).cast("long"))).alias("q")),
-        lambda a: a["q"],
-    )
-    weights = F.create_map(*[x for t, n in sorted(terms.items()) for x in (F.lit(t), F.lit(n).cast("long"))])
-    dot = F.aggregate(own, F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.try_element_at(weights, t), F.lit(0).cast("long")))
-    return F.when(text.isNotNull(), F.when(squares > 0, dot / (F.sqrt(squares.cast("double")) * F.lit(norm))).otherwise(0.0))
+    token = re.compile(TOKEN)
+
+    def one(s: str | None) -> float | None:
+        if s is None:
+            return None
+        own = Counter(token.findall(s.lower()))
+        dot = sum(own[t] * n for t, n in terms.items())
+        return dot / (math.sqrt(sum(n * n for n in own.values())) * norm) if dot else 0.0
+
+    @F.pandas_udf(T.DoubleType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(s) for s in texts], dtype="float64")
+
+    return F.when(text.isNotNull(), run(text))
 
 
 def extract_text(text: Column, raw_text: Column) -> Column:

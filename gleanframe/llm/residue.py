@@ -20,7 +20,7 @@ LATIN_SHARE, LATIN_WORDS = 0.35, 3
 # HTML elements that may stand in angle brackets without being placeholders.
 ELEMENTS = frozenset("html head body title meta link script style div span table thead tbody tr td th ul ol li img pre code main nav header footer article section aside form input button select option label iframe strong em sup sub small font center blockquote br hr".split())
 
-_NAME = r"(?=[A-Za-z][\w.])[A-Za-z][A-Za-z0-9]*(?:[_.-][A-Za-z0-9]+)*"
+_NAME = r"(?=[A-Za-z][\w.-])[A-Za-z][A-Za-z0-9]*(?:[_.-][A-Za-z0-9]+)*"
 #: Placeholder syntaxes: doubled or marked brackets, percent, at and underscore fences, and worded slots.
 PLACEHOLDER = re.compile(
     rf"""(?<![^\s(\["'«“>:])(?:
@@ -39,7 +39,7 @@ PLACEHOLDER = re.compile(
     )(?![\w`])""",
     re.X,
 )
-_MAYBE = ("{", "[", "<", "%", "@@", "__", "TODO:", "FIXME:", "TK:", "*|", "~~", "&&", "$")
+_MAYBE = ("{", "[", "<", "%", "@@", "__", "TODO:", "FIXME:", "TK:", "*|", "~~", "&&", "$", "XX_")
 # Beginnings of pseudo-Latin words that are rare in living languages; without one a text isn't read for it.
 _LATIN_SIGNS = ("lorem", "ipsum", "adipi", "incid", "cillu", "occae", "exerc", "excep", "ullam", "nostr", "venia", "fugia", "repre", "proid", "cupid", "eiusm", "aliqu", "commo")
 _TRAILER = re.compile(r"^\S+(?: \S+){0,3} / [0-9a-f]{5,}$")

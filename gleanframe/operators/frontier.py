@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +16,20 @@ from .filters import Filter, keep
 MAX_DEPTH = 50
 
 
-def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, limit: int | None = None, max_level: int | None = None) -> DataFrame:
+def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, limit: int | None = None, max_level: int | None = None, until: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """(url, depth, parent, pos) of everything reachable over ``edges`` (src, dst, pos) from ``seeds`` (url).
 
     Each address comes once, at its least depth, from the least (parent, pos) there; seeds have depth 0 and no parent.
     With ``limit`` the loop ends once that many addresses beside the seeds are known, and the first of them in (depth,
-    parent, pos) are kept. ``max_level`` bounds a level like a full queue: what is dropped may come back later. A
-    level is one shuffled join and one anti-join on narrow rows; no level is held on the driver.
+    parent, pos) are kept. ``max_level`` bounds a level like a full queue: what is dropped may come back later.
+    ``until`` is asked with each level, the seeds' among them, and ends the loop. A level is one shuffled join and one anti-join on narrow rows; no level is held on the driver.
     """
     edges = materialize(edges.select("src", "dst", "pos").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct(), "edges")
     shape = [F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("pos")]
     known = materialize(seeds.select("url").where(F.col("url").isNotNull()).distinct().select("url", F.lit(0).alias("depth"), *shape), "level-0")
     level, found = known, 0
     for depth in range(1, max_depth + 1):
-        if limit is not None and found >= limit:
+        if limit is not None and found >= limit or until is not None and until(level):
             break
         step = level.select(F.col("url").alias("_from")).join(edges, F.col("_from") == F.col("src"))
         first = step.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("src", "pos")).alias("_by"))
@@ -82,14 +84,23 @@ def crawl(pages: DataFrame, seeds: DataFrame, extracted: DataFrame, content_filt
     return rows.drop("parent", "pos")
 
 
-def sitemap_records(bodies: DataFrame, roots: DataFrame, follow_index: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
+def sitemap_records(bodies: DataFrame, roots: DataFrame, follow_index: bool = True, max_depth: int = MAX_DEPTH, target: int | None = None) -> DataFrame:
     """(url, source, lastmod, changefreq, priority, depth, pos) of all sitemaps reachable from ``roots`` (url).
 
-    Bodies are scanned once; the loop runs over the edges from index to child only.
+    Bodies are scanned once; the loop runs over the edges from index to child only. With ``target`` it ends at the
+    level where that many records are known; levels are whole, so there may be more.
     """
     entries = materialize(sitemap.scan(bodies), "sitemap-entries")
     edges = entries.where("kind = 'sitemap'").select(F.col("sitemap").alias("src"), F.col("loc").alias("dst"), "pos")
-    reached = traverse(edges, roots, max_depth if follow_index else 0)
+    sizes = materialize(entries.where("kind = 'url'").groupBy(F.col("sitemap").alias("_s")).agg(F.count("*").alias("n")), "sitemap-sizes") if target is not None else None
+    known = 0
+
+    def enough(level: DataFrame) -> bool:
+        nonlocal known
+        known += level.join(sizes, F.col("url") == F.col("_s")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return known >= target
+
+    reached = traverse(edges, roots, max_depth if follow_index else 0, until=enough if target is not None else None)
     rows = entries.where("kind = 'url'").join(reached.select(F.col("url").alias("_s"), "depth"), F.col("sitemap") == F.col("_s"))
     return rows.select(F.col("loc").alias("url"), F.col("sitemap").alias("source"), "lastmod", "changefreq", "priority", "depth", "pos")
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote, urlparse, urlunparse
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -63,6 +63,20 @@ def rules_table(robots: DataFrame, base_col: str = "base", body_col: str = "body
     return picked.mapInPandas(run, "host string, rule_idx int, prefix string, allowed boolean")
 
 
+def target(url: Column) -> Column:
+    """What rules are matched against: the path (at least ``/``) and the query."""
+    path, query = urls.path(url), urls.query(url)
+    return F.concat(F.when(path == "", F.lit("/")).otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+
+
+def allowed_by(url: Column, body: str | None, agent: str = "*") -> Column:
+    """Whether one robots body allows an address of any host: one expression, no join. Null addresses are allowed."""
+    at, out = target(url), F.lit(True)
+    for prefix, ok in reversed(parse_rules(body, agent)):
+        out = F.when(at.startswith(prefix) | F.lit(prefix == "*"), F.lit(ok)).otherwise(out)
+    return F.coalesce(out, F.lit(True))
+
+
 def allowed(rows: DataFrame, robots: DataFrame, url_col: str = "url", agent: str = "*", **columns) -> DataFrame:
     """``rows`` with ``allowed``: the first rule of the address's host whose prefix its path and query start with.
 
@@ -73,7 +87,7 @@ def allowed(rows: DataFrame, robots: DataFrame, url_col: str = "url", agent: str
     by_host = table.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rule_idx", "prefix", "allowed"))).alias("_rules"))
     by_host = small_or_plain(materialize(by_host.withColumnRenamed("host", "_host"), "robots-rules"))
     url = F.col(url_col)
-    target = F.concat(F.when(urls.path(url) == "", F.lit("/")).otherwise(urls.path(url)), F.when(urls.query(url) != "", F.concat(F.lit("?"), urls.query(url))).otherwise(F.lit("")))
+    at = target(url)
     joined = rows.join(by_host, F.lower(urls.netloc(url)) == F.col("_host"), "left")
-    first = F.filter("_rules", lambda r: F.startswith(target, r["prefix"]) | (r["prefix"] == "*"))
+    first = F.filter("_rules", lambda r: F.startswith(at, r["prefix"]) | (r["prefix"] == "*"))
     return joined.withColumn("allowed", F.coalesce(F.try_element_at(first, F.lit(1))["allowed"], F.lit(True))).drop("_host", "_rules")

@@ -19,6 +19,10 @@ from ..settings import Settings
 from ..sources import corpus
 
 
+#: Times the limit at which a walk over sitemaps that nothing filters ends.
+OVERFETCH = 3
+
+
 @contextmanager
 def timed(what: str, report=print):
     """Report the seconds a block takes."""
@@ -85,7 +89,10 @@ class SiteMap(Engine):
             named = robots.sitemap_directives(own_robots).select("base", "sitemap") if own_robots is not None else None
             probed = sitemap.probe_common_paths(seed, self.sitemaps)
             roots = probed if named is None else named.unionByName(probed).distinct()
-            rows = frontier.sitemap_records(self.sitemaps, roots.select(F.col("sitemap").alias("url")), m.follow_index)
+            # Without filters that drop records, a few times the limit is enough.
+            filtered = m.start_date or m.end_date or s.include_link_patterns
+            target = None if limit is None or filtered else OVERFETCH * limit
+            rows = frontier.sitemap_records(self.sitemaps, roots.select(F.col("sitemap").alias("url")), m.follow_index, target=target)
             if rows.isEmpty():
                 rows = None
         if rows is None and m.html_fallback and self.pages is not None:
@@ -95,10 +102,9 @@ class SiteMap(Engine):
             return self.spark.createDataFrame([], "url string")
         order = ["depth", "source", "pos", "url"]
         if own_robots is not None and m.respect_robots:
-            # The seed's rules hold for every record, whatever its host.
-            rules = own_robots.select("body")
-            targets = rows.select(urls.origin(F.col("url")).alias("base")).distinct().crossJoin(F.broadcast(rules.limit(1)))
-            rows = robots.allowed(rows, targets).where("allowed").drop("allowed")
+            # The seed's rules hold for every record, whatever its host; one body of one site comes to the driver.
+            own = own_robots.select("body").first()
+            rows = rows.where(robots.allowed_by(F.col("url"), own["body"] if own else None))
         picked = sitemap.select_urls(rows, order, m.start_date, m.end_date, m.strict_date_filter, list(s.include_link_patterns or ()) or None, base, None, m.deduplicate, limit)
         return picked.select("url")
 

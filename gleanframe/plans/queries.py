@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import date
 
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import text, urls
 from ..functions.dates import in_range, lastmod_date
 from ..operators import dedupe, extract, filters, frontier, links, metrics, robots, sitemap, timestamps
-from ..runtime import materialize, shared_dir
+from ..runtime import materialize, scratch
 from ..sinks.files import union_keys
 from ..sources import corpus
 from ..streaming import results
@@ -505,7 +504,7 @@ def csv_union_keys(spark, d):
 def stream_crawl(spark, d):
     """Pages as a stream, extracted and written batch by batch until what is there is done."""
     pages = table(spark, d, "pages")
-    folder = tempfile.mkdtemp(prefix="stream-", dir=shared_dir(spark).removeprefix("file://")) if shared_dir(spark).startswith(("file:", "/")) else f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}"
+    folder = scratch(spark, "stream")
     pages.write.mode("overwrite").parquet(f"{folder}/in")
     stream = results.page_stream(spark, f"{folder}/in", pages.schema)
     q = results.run_available(extract.heuristic(stream).select("url", "title"), lambda batch, _: batch.write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint")

@@ -62,12 +62,18 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/gleanframe-{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back, so that later jobs don't repeat its work."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleanframe-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -71,6 +71,8 @@ def test_robots_like_the_standard_library(spark):
     got = {r.p: r.allowed for r in robots.allowed(rows, bodies).collect()}
     assert {p: got[p] for p in paths if p != "/x y"} == {p: parser.can_fetch("*", f"http://h.example{p}") for p in paths if p != "/x y"}
     assert got["none"] and got["null"]
+    other = rows.select("p", robots.allowed_by(F.col("url"), ROBOTS).alias("allowed"))
+    assert {r.p: r.allowed for r in other.collect() if r.p in paths} == {p: got[p] for p in paths}
     named = sorted(r.sitemap for r in robots.sitemap_directives(bodies).collect())
     assert named[0] == "http://h.example/s.xml" and len(named) == 2
 
@@ -101,6 +103,8 @@ def test_tree(spark):
     roots = spark.createDataFrame([("root",)], "url string")
     assert frontier.sitemap_records(df, roots).count() == 70
     assert frontier.sitemap_records(df, roots, follow_index=False).count() == 0
+    assert frontier.sitemap_records(df, roots, target=10).count() == 20
+    assert frontier.sitemap_records(df, roots, target=21).count() == 70
     assert frontier.sitemap_records(df, spark.createDataFrame([("leaf",), ("leaf",)], "url string"), follow_index=False).count() == 20
 
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from urllib.parse import urldefrag, urljoin
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import urls
 
@@ -16,24 +14,43 @@ ANCHOR = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)"""
 ANY_HREF = r"""(?i)href\s*=\s*["']([^"'#\s]+)"""
 
 
-@F.pandas_udf(T.StringType())
-def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
-    def one(b, h):
-        try:
-            return urljoin(b, h) if b is not None and h is not None else None
-        except ValueError:
-            return None
-
-    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
+def _merged_path(base: Column, href: Column) -> Column:
+    """The path of a relative reference against the base's, dot segments (and a relative one's empty middle segments) removed."""
+    own, above = F.split(urls.path(href), "/"), F.split(urls.path(base), "/")
+    folder = F.when(F.element_at(above, -1) == "", above).otherwise(F.slice(above, 1, F.size(above) - 1))
+    both = F.concat(folder, own)
+    both = F.filter(both, lambda s, i: (i == 0) | (i == F.size(both) - 1) | (s != ""))
+    parts = F.when(urls.path(href).startswith("/"), own).otherwise(both)
+    walked = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    walked = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    path = F.array_join(walked, "/")
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """``href`` as seen from ``base``. Absolute and plain root-relative links, the bulk, stay in the JVM."""
-    plain = ~href.contains("/.") & ~href.contains("?") & ~href.contains(";") & ~href.contains("//")
+    """``href`` as seen from the web address ``base``, by RFC 3986 as browsers and the standard library read it.
+
+    All of it stays in the JVM; absolute and plain root-relative links, the bulk, take the first two branches. Other
+    schemes (``mailto:``) stay as they are, an empty reference is the base itself, null gives null.
+    """
+    h = urls.trimmed(href)
+    plain = h.rlike(r"^/(?!/)[^?#]*$") & ~h.contains("/.") & ~h.contains("//")
+    query, fragment = urls.query(h), urls.fragment(h)
+    tail = F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit(""))
+    asked = F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+    inherited = F.when(query != "", query).otherwise(urls.query(base))
+    same_page = F.concat(urls.origin(base), urls.path(base), F.when(inherited != "", F.concat(F.lit("?"), inherited)).otherwise(F.lit("")), tail)
     return (
-        F.when(href.rlike(r"^https?://[^/?#]+/"), href)
-        .when(href.startswith("/") & plain & urls.netloc(base).isNotNull() & (urls.netloc(base) != ""), F.concat(urls.origin(base), href))
-        .otherwise(_joined(base, href))
+        F.when(h.rlike(r"^https?://"), h)
+        .when(plain, F.concat(urls.origin(base), h))
+        .when((urls.scheme(h) != "") & (urls.scheme(h) != urls.scheme(base)), h)
+        .when(urls.netloc(h) != "", F.concat(urls.scheme(base), F.lit(":"), F.regexp_replace(h, "^[^/]*", "")))
+        .when(h == "", base)
+        .when(urls.path(h) == "", same_page)
+        .otherwise(F.concat(urls.origin(base), _merged_path(base, h), asked, tail))
     )
 
 

@@ -60,12 +60,19 @@ def test_glob_scope(spark):
     assert [tuple(r) for r in got] == [(True, True), (False, False), (False, False)]
 
 
-def test_resolve_like_urljoin(spark):
-    base = "http://a.example/d/page.html?x=1"
-    hrefs = ["/x", "y", "../z", "?q=2", "#f", "//h.example/p", "http://o.example/p#f", "/a/../b", "/a/./b", "mailto:m@n.example", "", "http://o.example", "g;x=1/../y"]
-    df = spark.createDataFrame([(i, base, h) for i, h in enumerate(hrefs)], "i int, b string, h string").orderBy("i")
-    assert [r[0] for r in df.select(links.resolve(F.col("b"), F.col("h"))).collect()] == [urljoin(base, h) for h in hrefs]
-    assert [r[0] for r in df.select(urls.defrag(links.resolve(F.col("b"), F.col("h")))).collect()] == [urldefrag(urljoin(base, h))[0] for h in hrefs]
+HREFS = [
+    "/x", "y", "../z", "?q=2", "#f", "//h.example/p", "http://o.example/p#f", "/a/../b", "/a/./b", "mailto:m@n.example", "", "http://o.example", "g;x=1/../y", "..", ".", "./", "../../../w", "/..", "/a//b", "x//y", "javascript:void(0)", "a/b/../../c?d=../e#../f", "y?", " /lead ",
+]
+
+
+@pytest.mark.parametrize("base", ["http://a.example/d/page.html?x=1", "http://a.example", "https://a.example/d/e/", "http://a.example/d//e/f"])
+def test_resolve_like_urljoin(spark, base):
+    df = spark.createDataFrame([(i, base, h) for i, h in enumerate(HREFS)], "i int, b string, h string").orderBy("i")
+    assert [r[0] for r in df.select(links.resolve(F.col("b"), F.col("h"))).collect()] == [urljoin(base, h.strip()) for h in HREFS]
+    assert [r[0] for r in df.select(urls.defrag(links.resolve(F.col("b"), F.col("h")))).collect()] == [urldefrag(urljoin(base, h.strip()))[0] for h in HREFS]
+    plan = df.select(links.resolve(F.col("b"), F.col("h")))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+    assert df.select(links.resolve(F.lit(None).cast("string"), F.col("h"))).distinct().count() >= 1
 
 
 def test_sitemap_kinds(spark):

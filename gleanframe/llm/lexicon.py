@@ -58,7 +58,7 @@ PROMPTS = r"""
 BYLINES = r"""
 ^(?:by|von|par|por|di|door) \S+(?: \S+){0,5}, .{1,60}$
 ^(?:text|texte|texto|testo|tekst) ?: .{3,80}$
-^.{3,60} \| .{3,60} \| (?:updated|aktualisiert|stand|mis à jour|actualizado|aggiornato|atualizado|bijgewerkt) \S+(?: \S+){0,3}$
+^.{3,60} \| .{3,60} \| (?:updated|aktualisiert|geändert|stand|mis à jour|actualizado|aggiornato|atualizado|bijgewerkt) \S+(?: \S+){0,3}$
 """
 
 # Names of a site's sections and service pages.
@@ -76,11 +76,11 @@ voorpagina, nieuws, cultuur, weer, hulp, brieven, archief, beelden, winkel, zoek
 RELATED = """
 related stories | you may also like | more from this section | most read | latest headlines | read next
 verwandte artikel | das könnte sie auch interessieren | mehr aus diesem ressort | meistgelesen | neueste meldungen
-à lire aussi | vous aimerez aussi | plus dans cette rubrique | les plus lus | derniers titres | articles liés
+à lire aussi | vous aimerez aussi | plus dans cette rubrique | les plus lus | derniers titres | dernières nouvelles | articles liés
 noticias relacionadas | también te puede gustar | más de esta sección | lo más leído | últimos titulares
 articoli correlati | potrebbe interessarti | altro da questa sezione | i più letti | ultime notizie | ultimi titoli
-artigos relacionados | também pode gostar | mais desta secção | mais lidos | os mais lidos | últimas notícias | últimos títulos
-verwante artikelen | dit vindt u misschien ook | meer uit deze rubriek | meest gelezen | laatste koppen | laatste nieuws | misschien ook interessant
+artigos relacionados | também pode gostar | mais desta secção | mais lidas | as mais lidas | mais lidos | os mais lidos | últimas notícias | últimos títulos
+verwante artikelen | dit vindt u misschien ook | meer uit deze rubriek | meest gelezen | laatste koppen | laatste nieuws | misschien ook interessant | misschien ook iets voor u
 """
 
 # Parts of notices that stand in a page's place: errors, refusals, checks and missing scripts.

@@ -107,6 +107,13 @@ def test_repeated_lines_like_brute_force(spark):
     assert repeats.repeated_lines(docs(spark, [])).count() == 0
 
 
+def test_buckets_beyond_the_bound_are_joined(spark, monkeypatch):
+    rows = [doc(i, f"Share this story number {i} with friends\nunique line {chr(97 + i)} of it\nread the full terms of use on the page of our {'new ' if i % 2 else ''}partner before you go on") for i in range(8)]
+    want = sorted(map(tuple, repeats.line_frequencies(docs(spark, rows)).collect()))
+    monkeypatch.setattr(repeats, "SENT_BUCKETS", 0)
+    assert sorted(map(tuple, repeats.line_frequencies(docs(spark, rows)).collect())) == want and len(want) == 16
+
+
 def test_near_duplicate_lines_are_clustered(spark):
     rows = [doc(i, f"please {'do ' if i % 2 else ''}read the full terms of use on the page of our partner before you go on to buy number {i}") for i in range(6)]
     got = {(r.doc_id, r.line_no): r for r in repeats.line_frequencies(docs(spark, rows)).collect()}

@@ -21,8 +21,10 @@ DEFAULT_LANGUAGE = "en"
 MAX_COMMON_WORDS = 100_000
 #: A value held by at least this share of a statistic's documents counts as hot; there are at most its reciprocal of them.
 HOT_SHARE = 0.001
-#: Outlier score from which a document may be junk; the share of words outside sentences then decides.
-JUNK_SCORE = 3.0
+#: Share of words in sentences below which a document is junk whatever its score, and below which its score decides.
+JUNK_SHARE, MIXED_SHARE = 0.5, 2 / 3
+#: Outlier score from which a mixed document is junk: the valley between the scores of prose and of the rest.
+JUNK_SCORE = 9.0
 
 # Characters that count as symbols.
 SYMBOLS = "#$%&*+/<=>@[\\]^_`{|}~¤¦§¨©¬®¯°±´¶·¸¹²³º¼½¾¿¡×÷ˆ˜€™†‡•‰�"
@@ -98,7 +100,7 @@ class LineReader:
         ]
 
 
-def _statistics(common: dict[str, frozenset[str]], default: str):
+def _statistics(common: dict[str, frozenset[str]], default: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = LineReader(common)
         for b in batches:
@@ -109,14 +111,14 @@ def _statistics(common: dict[str, frozenset[str]], default: str):
                 for c, v in zip(cols, values):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(langs, pa.string()), *[pa.array(c, pa.float64()) for c in cols]],
-                names=_STATS_SCHEMA.fieldNames(),
+                [b.column(0), pa.array(langs, pa.string()), *[pa.array(c, pa.float64()) for c in cols], *b.columns[3:]],
+                names=names,
             )
 
     return run
 
 
-def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", default_lang: str = DEFAULT_LANGUAGE) -> DataFrame:
+def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", default_lang: str = DEFAULT_LANGUAGE, with_key: bool = False) -> DataFrame:
     """One row per document with its statistics; one Arrow pass over whole texts, no shuffle.
 
     Columns: ``doc_id``, ``group_lang`` (language by common words, else by label, else ``default_lang``) and STATISTICS.
@@ -125,11 +127,14 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc
     ``sentence_share`` leave out the lines around a body (menus, notices, bylines); the latter is the share of the
     remaining words that stand in sentence lines. Null and empty texts give 0 words and shares of 0, 1, 0 and 1
     (nothing speaks against them). Null ids stay. Other columns are ignored, whatever their names. Repeated rows repeat.
+    With ``with_key`` the hash of the text is added as ``text_key``.
     """
     common = common_word_sets(common_words)
     label = label_code(F.col(lang_col)) if lang_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), label.alias("label"))
-    return rows.mapInArrow(_statistics(common, default_lang), _STATS_SCHEMA)
+    key = [F.xxhash64(F.col(text_col)).alias("text_key")] if with_key else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), label.alias("label"), *key)
+    schema = T.StructType([*_STATS_SCHEMA.fields, *[T.StructField("text_key", T.LongType()) for _ in key]])
+    return rows.mapInArrow(_statistics(common, default_lang, schema.fieldNames()), schema)
 
 
 def tail_probabilities(stats: DataFrame, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:
@@ -140,17 +145,18 @@ def tail_probabilities(stats: DataFrame, statistics: tuple[str, ...] = STATISTIC
     offsets (``running_positions``). Hot values (at least HOT_SHARE of a statistic's documents, so at most
     1/HOT_SHARE a statistic) return to the documents by broadcast, all others by a shuffled join of bounded groups.
     Rows: ``row`` (position of the document), ``stat``, ``left``, ``right``; NaN counts as a value above all others.
+    Where ``stats`` has ``once`` (1 for one copy of a text, 0 for the others), ranks are over the copies that count.
     """
     n_stats = len(statistics)
     long = stats.select(
-        "row", "group_lang",
+        "row", "group_lang", F.col("once") if "once" in stats.columns else F.lit(1).alias("once"),
         F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("value")) for i, s in enumerate(statistics)])).alias("_x"),
-    ).select("row", "group_lang", "_x.stat", "_x.value")
-    cells = materialize(long.groupBy("group_lang", "stat", "value").agg(F.count("*").alias("n")), "cells")
-    ranked = running_positions(cells, ["group_lang", "stat"], ["value"], "cell-ranks", weight="n")
+    ).select("row", "group_lang", "once", "_x.stat", "_x.value")
+    cells = materialize(long.groupBy("group_lang", "stat", "value").agg(F.count("*").alias("n"), F.sum("once").alias("texts")), "cells")
+    ranked = running_positions(cells, ["group_lang", "stat"], ["value"], "cell-ranks", weight="texts")
     ranked = materialize(ranked.select(
         F.col("group_lang").alias("_l"), F.col("stat").alias("_s"), F.col("value").alias("_v"), "n",
-        ((F.col("_before") + F.col("n")) / F.col("_total")).alias("left"),
+        ((F.col("_before") + F.col("texts")) / F.col("_total")).alias("left"),
         ((F.col("_total") - F.col("_before")) / F.col("_total")).alias("right"),
     ), "ranked")
     total = (cells.agg(F.sum("n")).first()[0] or 0) / n_stats
@@ -167,10 +173,17 @@ def outlier_scores(stats: DataFrame, statistics: tuple[str, ...] = STATISTICS) -
     """``stats`` with ``outlier_score``: the largest of three sums of negative log tail probabilities.
 
     The sums take all left tails, all right tails, and per statistic the tail on the side of its skew
-    (empirical-cumulative outlier detection). Documents are ranked within ``group_lang``. An empty table stays empty.
+    (empirical-cumulative outlier detection). Documents are ranked within ``group_lang``; where ``stats`` has
+    ``text_key``, copies of a text count once there, so that what is repeated can't become the rule by that. An empty
+    table stays empty.
     """
     stats = materialize(stats.withColumn("row", F.monotonically_increasing_id()), "stats")
-    skews = stats.groupBy("group_lang").agg(*[F.coalesce(F.skewness(s), F.lit(0.0)).alias(s) for s in statistics])
+    counted = stats
+    if "text_key" in stats.columns:
+        firsts = stats.groupBy("group_lang", "text_key").agg(F.min("row").alias("row")).select("row", F.lit(1).alias("_first"))
+        stats = materialize(stats.join(firsts, "row", "left").withColumn("once", F.coalesce("_first", F.lit(0))).drop("_first", "text_key"), "stats-once")
+        counted = stats.where("once = 1")
+    skews = counted.groupBy("group_lang").agg(*[F.coalesce(F.skewness(s), F.lit(0.0)).alias(s) for s in statistics])
     tails = tail_probabilities(stats, statistics)
     wide = tails.groupBy("row").agg(
         F.sum(-F.log("left")).alias("_left"), F.sum(-F.log("right")).alias("_right"),
@@ -186,9 +199,11 @@ def outlier_scores(stats: DataFrame, statistics: tuple[str, ...] = STATISTICS) -
 def prose_quality(docs: DataFrame, common_words: DataFrame, min_score: float = JUNK_SCORE, **columns) -> DataFrame:
     """Statistics, outlier score and ``is_prose`` of each document.
 
-    A document isn't prose if it is an outlier of its language (score of at least ``min_score``) and more than half
-    of its words, lines around the body aside, stand outside sentences. See ``text_statistics`` for odd input.
+    A document isn't prose if less than JUNK_SHARE of its words, lines around the body aside, stand in sentences, or if
+    less than MIXED_SHARE do and it is an outlier among the different texts of its language (score of at least
+    ``min_score``). See ``text_statistics`` for odd input.
     """
-    scored = outlier_scores(text_statistics(docs, common_words, **columns))
-    junk = (F.col("outlier_score") >= min_score) & (F.col("sentence_share") < 0.5)
+    scored = outlier_scores(text_statistics(docs, common_words, with_key=True, **columns))
+    share = F.col("sentence_share")
+    junk = (share < JUNK_SHARE) | (share < MIXED_SHARE) & (F.col("outlier_score") >= min_score)
     return scored.withColumn("is_prose", ~junk)

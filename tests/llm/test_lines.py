@@ -76,6 +76,18 @@ def test_tails_like_brute_force(spark, words):
         assert got[i] == pytest.approx(max(left[i], right[i], auto[i]), abs=1e-5)
 
 
+def test_junk_that_fills_a_language_is_found(spark, words):
+    table = "\n".join(f"Ab Cd | {i} | {i * 7}" for i in range(12))
+    rows = [doc(i, table) for i in range(95)] + [doc(100 + i, f"{PROSE} It was so for {i} days.") for i in range(5)]
+    got = {r.doc_id: r for r in quality.prose_quality(docs(spark, rows), words).collect()}
+    assert all(got[i].is_prose == (i >= 100) for i in got) and len(got) == 100
+    # Copies count once: the table is one of six different texts, with tails of a sixth.
+    once = {r.doc_id: r.outlier_score for r in quality.prose_quality(docs(spark, rows[94:]), words).collect()}
+    assert {i: got[i].outlier_score for i in once} == once
+    same = [doc(i, table) for i in range(30)]
+    assert not any(r.is_prose for r in quality.prose_quality(docs(spark, same), words).collect())
+
+
 def key(line):
     return "".join(c for c in line.upper().lower() if unicodedata.category(c)[0] in "LM")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,23 +13,24 @@ from ..runtime import materialize
 from . import links, sitemap
 from .filters import Filter, keep
 
-#: Levels after which an endless graph is given up by default.
-MAX_DEPTH = 50
+#: Levels after which what is known is written together, so that a deep walk's plans stay small.
+COMPACT = 16
 
 
-def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, limit: int | None = None, max_level: int | None = None, until: Callable[[DataFrame], bool] | None = None) -> DataFrame:
+def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, limit: int | None = None, max_level: int | None = None, until: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """(url, depth, parent, pos) of everything reachable over ``edges`` (src, dst, pos) from ``seeds`` (url).
 
     Each address comes once, at its least depth, from the least (parent, pos) there; seeds have depth 0 and no parent.
     With ``limit`` the loop ends once that many addresses beside the seeds are known, and the first of them in (depth,
     parent, pos) are kept. ``max_level`` bounds a level like a full queue: what is dropped may come back later.
+    Without ``max_depth`` the loop ends at the first level that brings nothing new, as it must on any table of edges.
     ``until`` is asked with each level, the seeds' among them, and ends the loop. A level is one shuffled join and one anti-join on narrow rows; no level is held on the driver.
     """
     edges = materialize(edges.select("src", "dst", "pos").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct(), "edges")
     shape = [F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("pos")]
     known = materialize(seeds.select("url").where(F.col("url").isNotNull()).distinct().select("url", F.lit(0).alias("depth"), *shape), "level-0")
     level, found = known, 0
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         if limit is not None and found >= limit or until is not None and until(level):
             break
         step = level.select(F.col("url").alias("_from")).join(edges, F.col("_from") == F.col("src"))
@@ -42,6 +44,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, lim
             break
         found += size
         known = known.unionByName(level)
+        if depth % COMPACT == 0:
+            known = materialize(known, f"known-{depth}")
     if limit is None:
         return known
     reached = known.where("depth > 0").orderBy("depth", "parent", "pos", "url").limit(max(0, limit))
@@ -54,7 +58,7 @@ def link_edges(pages: DataFrame, include: list[str] | None = None, exclude: list
     return found.select(urls.defrag(F.col("page_url")).alias("src"), F.col("link").alias("dst"), "pos")
 
 
-def deep_links(pages: DataFrame, seeds: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, limit: int | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def deep_links(pages: DataFrame, seeds: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, limit: int | None = None, max_depth: int | None = None) -> DataFrame:
     """(url, depth) links found from the seeds, in scope; links count when found, whether or not their page is there.
 
     The seeds aren't links, unless one links to them: a link to a seed counts at the least depth at which it is found.
@@ -71,7 +75,7 @@ def deep_links(pages: DataFrame, seeds: DataFrame, include: list[str] | None = N
     return found.select("url", "depth")
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, extracted: DataFrame, content_filter: Filter | None = None, include: list[str] | None = None, exclude: list[str] | None = None, limit: int | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, extracted: DataFrame, content_filter: Filter | None = None, include: list[str] | None = None, exclude: list[str] | None = None, limit: int | None = None, max_depth: int | None = None) -> DataFrame:
     """``extracted`` rows (with ``url``) of the pages visited from the seeds, that pass the filter, with ``depth``.
 
     Links of filtered pages are still followed; filtered pages don't count toward the limit.
@@ -84,7 +88,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, extracted: DataFrame, content_filt
     return rows.drop("parent", "pos")
 
 
-def sitemap_records(bodies: DataFrame, roots: DataFrame, follow_index: bool = True, max_depth: int = MAX_DEPTH, target: int | None = None) -> DataFrame:
+def sitemap_records(bodies: DataFrame, roots: DataFrame, follow_index: bool = True, max_depth: int | None = None, target: int | None = None) -> DataFrame:
     """(url, source, lastmod, changefreq, priority, depth, pos) of all sitemaps reachable from ``roots`` (url).
 
     Bodies are scanned once; the loop runs over the edges from index to child only. With ``target`` it ends at the

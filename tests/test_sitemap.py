@@ -117,3 +117,9 @@ def test_traverse(spark, limit, depth, expected):
     if limit is None and depth > 3:
         assert {r.url: r.depth for r in got} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3}
         assert {r.url: r.parent for r in got}["d"] == "b"
+
+
+def test_no_bound_of_depth_by_default(spark):
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", f'<a href="/{i + 1}">next</a>') for i in range(53)], "page_id long, url string, html string")
+    got = {r.url: r.depth for r in frontier.deep_links(pages, spark.createDataFrame([("http://a.example/0",)], "url string")).collect()}
+    assert got == {f"http://a.example/{i}": i for i in range(1, 54)}

@@ -198,6 +198,14 @@ def _site_graph(spark, d):
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "pos"))
 
 
+def _site_walk(spark, d):
+    """The edges of the graph and one seed a site."""
+    edges = materialize(_site_graph(spark, d), "site-graph")
+    pages = frontier.link_edges(table(spark, d, "pages"))
+    seeds = pages.groupBy(F.lower(urls.netloc(F.col("src"))).alias("h")).agg(F.min("src").alias("url")).select("url")
+    return edges, seeds
+
+
 _GRAPH = f"""{_LINKS}, e0 AS (SELECT DISTINCT {_DEFRAG.format("page_url")} AS src, {_DEFRAG.format("link")} AS dst FROM links WHERE {_part("link", 1)} = {_part("page_url", 1)} AND lower({_part("link", 2)}) = lower({_part("page_url", 2)})),
 e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0), seeds AS (SELECT min(src) AS url FROM e0 GROUP BY lower({_part("src", 2)})),
 b AS (SELECT url, 0 AS depth FROM seeds UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON b.url = e.src WHERE b.depth < 4)"""
@@ -205,10 +213,13 @@ b AS (SELECT url, 0 AS depth FROM seeds UNION SELECT e.dst, b.depth + 1 FROM b J
 
 @query("crawl_bfs_depth", f"WITH RECURSIVE {_GRAPH} SELECT url, min(depth) AS depth FROM b GROUP BY url")
 def crawl_bfs_depth(spark, d):
-    edges = materialize(_site_graph(spark, d), "site-graph")
-    pages = frontier.link_edges(table(spark, d, "pages"))
-    seeds = pages.groupBy(F.lower(urls.netloc(F.col("src"))).alias("h")).agg(F.min("src").alias("url")).select("url")
-    return frontier.traverse(edges, seeds, max_depth=4).select("url", "depth")
+    return frontier.traverse(*_site_walk(spark, d), max_depth=4).select("url", "depth")
+
+
+@query("crawl_bfs_full")
+def crawl_bfs_full(spark, d):
+    """``crawl_bfs_depth`` without a bound of depth: everything reachable. SQL over (url, depth) wouldn't end on cycles."""
+    return frontier.traverse(*_site_walk(spark, d)).select("url", "depth")
 
 
 @query("deep_links", f"WITH {_LINKS} SELECT DISTINCT {_DEFRAG.format('link')} AS url, 1 AS depth FROM links WHERE {_part('link', 1)} = {_part('page_url', 1)} AND lower({_part('link', 2)}) = lower({_part('page_url', 2)})")

@@ -7,6 +7,9 @@ from functools import cache, lru_cache
 
 from . import lexicon
 
+#: Characters up to which a line is judged as one; notices in a longer one are sought by sentence.
+LONG = 260
+
 # Kinds of lines.
 EMPTY, SENTENCE, SURROUNDING, MENU, CRUMB, RELATED, BYLINE, ITEM, NOTICE, OTHER = range(10)
 
@@ -15,6 +18,7 @@ _DECOR = re.compile(r"(?:--|[>»•*·]|#{1,6})\s+")
 _BULLET = re.compile(r"^(?:[-•*–]|\[[ x]\]|\d{1,3}[.)])\s+")
 _LINK = re.compile(r"\[([^\]]{1,60})\]\([^)]*\)")
 _END = re.compile(r"""[.!?…:;]["'”’»)\]]*(?:\s*\(\d+\)[.?!]?)?$""")
+_PARTS = re.compile(r"(?<=[.!?…;])\s+|\s+[|·•–—/-]\s+")
 _SEPARATORS = re.compile(r"\s*[|·•]\s*|\s{3,}")
 
 
@@ -109,15 +113,37 @@ def surrounding(line: str) -> int:
 
 
 @lru_cache(maxsize=1 << 15)
-def notice(line: str) -> bool:
-    """A line that is mostly an error, access, verification or script notice."""
-    if len(line) > 260:
-        return False
+def _short_notice(line: str) -> bool:
     s = " ".join(line.lower().split())
     covered = sum([size for _, (size, found) in lexicon.automaton().iter(s) if found[0][0] == "notice"])
     return covered >= 0.3 * len(s) or covered >= 18
 
 
+def _covered(s: str) -> int:
+    """Characters that stand in notices; overlapping hits count once."""
+    n = last = 0
+    spans = sorted([(end + 1 - size, end + 1) for end, (size, found) in lexicon.automaton().iter(s) if found[0][0] == "notice"])
+    for start, end in spans:
+        n += max(0, end - max(start, last))
+        last = max(last, end)
+    return n
+
+
+def notice_words(line: str) -> int:
+    """Words of the line that stand in notices: all or none of a short line, the notice sentences of a long one."""
+    if len(line) <= LONG:
+        return len(line.split()) if _short_notice(line) else 0
+    s = " ".join(line.lower().split())
+    if not _covered(s):
+        return 0
+    return sum(len(x.split()) for x in _PARTS.split(s) if (_short_notice(x) if len(x) <= LONG else _covered(x) >= 0.3 * len(x)))
+
+
+def notice(line: str) -> bool:
+    """A line that is mostly an error, access, verification or script notice; one of any length."""
+    return _short_notice(line) if len(line) <= LONG else 2 * notice_words(line) > len(line.split())
+
+
 def is_sentence(line: str, tokens: list[str], n_common: int) -> bool:
     """Running text: at least four words, two of them common ones, and one common word to six; no table or list entry."""
     n = len(tokens)

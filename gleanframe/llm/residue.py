@@ -101,8 +101,9 @@ def notice_coverage(lines: list[str]) -> float:
         if not s:
             continue
         n = len(s.split())
-        if prose.notice(s):
-            inside += n
+        if found := prose.notice_words(s):
+            inside += found
+            outside += n - found
         elif not prose.surrounding(s) and not _TRAILER.match(" ".join(s.lower().split())):
             outside += n
     return inside / (inside + outside) if inside else 0.0
@@ -117,7 +118,7 @@ def judge(text: str | None) -> tuple[str, float] | None:
     if has_filler_text(text):
         return "filler", 1.0
     lines = text.split("\n")
-    if any(prose.notice(s) for s in map(str.strip, lines) if s) and (share := notice_coverage(lines)) >= NOTICE_COVERAGE:
+    if any(prose.notice_words(s) for s in map(str.strip, lines) if s) and (share := notice_coverage(lines)) >= NOTICE_COVERAGE:
         return "notice", round(share, 4)
     return None
 

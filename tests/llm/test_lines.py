@@ -150,6 +150,15 @@ def test_residue(text, reason):
     assert (found and found[0]) == reason
 
 
+def test_notices_in_long_lines():
+    parts = ["Error 404: the page /x/y could not be found on this server.", "Access denied. You do not have permission to view this page.", "Please enable JavaScript to continue.", "Zet JavaScript aan om X te lezen."] * 3
+    one = " ".join(parts)
+    assert len(one) > 260 and residue.judge("\n".join(parts))[0] == residue.judge(one)[0] == "notice"
+    assert prose.notice(one) and quality.LineReader({}).sentence(one, one.lower().split())
+    assert residue.judge(f"{PROSE} {PROSE} {PROSE} {parts[1]}") is None and not prose.notice(f"{PROSE} {PROSE} {PROSE} {parts[1]}")
+    assert residue.judge(f"{PROSE} " * 3000) is None and residue.judge("x" * 5000) is None
+
+
 def test_residue_of_tables(spark):
     rows = spark.createDataFrame([(1, "{{ x_y }}", PROSE, "a"), (2, None, "Service unavailable", "b"), (3, "", None, "c"), (None, "{{ x_y }}", None, "d"), (4, PROSE * 3000, None, "e")], "item_id long, text string, content string, row_id string")
     got = sorted((r.row_id or 0, r.field, r.reason) for r in residue.residue(rows, "item_id", ("text", "content")).collect())

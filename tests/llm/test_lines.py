@@ -136,6 +136,16 @@ def test_near_duplicate_lines_are_clustered(spark):
     assert n.tolist() == [3, 3] and len(set(s[:3]) & set(s[3:])) == 2
 
 
+def test_clusters_are_whole_over_buckets(spark):
+    # A chain: each line is similar to its neighbours only, so no bucket and no representative holds all five.
+    words_ = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}{x}" for i, x in enumerate("q" * 80)]
+    rows = [doc(i, " ".join(words_[3 * i : 3 * i + 44])) for i in range(5)] + [doc(9, " ".join(words_[60:]))]
+    got = {r.doc_id: r.cluster_docs for r in repeats.line_frequencies(docs(spark, rows)).collect()}
+    assert got == dict.fromkeys(range(5), 5)
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(40, 30)], "a long, b long")
+    assert {r.key: r.cluster for r in repeats.components(links).collect()} == dict.fromkeys(range(1, 21), 1) | {30: 30, 40: 30}
+
+
 @pytest.mark.parametrize(
     ("text", "reason"),
     [

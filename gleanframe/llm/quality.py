@@ -21,10 +21,10 @@ DEFAULT_LANGUAGE = "en"
 MAX_COMMON_WORDS = 100_000
 #: A value held by at least this share of a statistic's documents counts as hot; there are at most its reciprocal of them.
 HOT_SHARE = 0.001
-#: Share of words in sentences below which a document is junk whatever its score, and below which its score decides.
-JUNK_SHARE, MIXED_SHARE = 0.5, 2 / 3
-#: Outlier score from which a mixed document is junk: the valley between the scores of prose and of the rest.
-JUNK_SCORE = 9.0
+#: Values of a document that is half prose. What lies farther out in its language, all of these taken together, is junk.
+HALF_PROSE = {"sentence_share": 0.5, "common_share": 0.22}
+#: Share of words in sentences from which an outlier is prose all the same.
+PROSE_SHARE = 2 / 3
 
 # Characters that count as symbols.
 SYMBOLS = "#$%&*+/<=>@[\\]^_`{|}~¤¦§¨©¬®¯°±´¶·¸¹²³º¼½¾¿¡×÷ˆ˜€™†‡•‰�"
@@ -137,30 +137,43 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc
     return rows.mapInArrow(_statistics(common, default_lang, schema.fieldNames()), schema)
 
 
-def tail_probabilities(stats: DataFrame, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """Left and right empirical tail of each document's statistics within its language, exactly.
-
-    ``stats`` must be materialised. Values are counted before they move, so equal values, however many, are one row
-    of the sort; the distinct values are range-partitioned, summed within partitions and shifted by partition
-    offsets (``running_positions``). Hot values (at least HOT_SHARE of a statistic's documents, so at most
-    1/HOT_SHARE a statistic) return to the documents by broadcast, all others by a shuffled join of bounded groups.
-    Rows: ``row`` (position of the document), ``stat``, ``left``, ``right``; NaN counts as a value above all others.
-    Where ``stats`` has ``once`` (1 for one copy of a text, 0 for the others), ranks are over the copies that count.
-    """
-    n_stats = len(statistics)
-    long = stats.select(
+def _long(stats: DataFrame, statistics: tuple[str, ...]) -> DataFrame:
+    """One row a document and statistic; NaN is a value above all others."""
+    return stats.select(
         "row", "group_lang", F.col("once") if "once" in stats.columns else F.lit(1).alias("once"),
         F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("value")) for i, s in enumerate(statistics)])).alias("_x"),
     ).select("row", "group_lang", "once", "_x.stat", "_x.value")
-    cells = materialize(long.groupBy("group_lang", "stat", "value").agg(F.count("*").alias("n"), F.sum("once").alias("texts")), "cells")
+
+
+def value_tails(stats: DataFrame, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """Left and right empirical tail of each value of each statistic within its language, exactly.
+
+    ``stats`` (row, group_lang, the statistics) must be materialised. Values are counted before they move, so equal
+    values, however many, are one row of the sort; the distinct values are range-partitioned, summed within partitions
+    and shifted by partition offsets (``running_positions``). Rows: ``group_lang``, ``stat``, ``value``, ``n``
+    (documents with it), ``texts`` (the language's documents that count), ``left``, ``right``. Where ``stats`` has
+    ``once`` (1 for one copy of a text, 0 for the others), ranks are over the copies that count.
+    """
+    cells = materialize(_long(stats, statistics).groupBy("group_lang", "stat", "value").agg(F.count("*").alias("n"), F.sum("once").alias("texts")), "cells")
     ranked = running_positions(cells, ["group_lang", "stat"], ["value"], "cell-ranks", weight="texts")
-    ranked = materialize(ranked.select(
-        F.col("group_lang").alias("_l"), F.col("stat").alias("_s"), F.col("value").alias("_v"), "n",
+    return materialize(ranked.select(
+        "group_lang", "stat", "value", "n", F.col("_total").alias("texts"),
         ((F.col("_before") + F.col("texts")) / F.col("_total")).alias("left"),
         ((F.col("_total") - F.col("_before")) / F.col("_total")).alias("right"),
     ), "ranked")
-    total = (cells.agg(F.sum("n")).first()[0] or 0) / n_stats
+
+
+def tail_probabilities(stats: DataFrame, statistics: tuple[str, ...] = STATISTICS, tails: DataFrame | None = None) -> DataFrame:
+    """(row, stat, left, right): the tails of each document's values (``value_tails``, or those given).
+
+    Hot values (at least HOT_SHARE of a statistic's documents, so at most 1/HOT_SHARE a statistic) return to the
+    documents by broadcast, all others by a shuffled join of bounded groups.
+    """
+    ranked = value_tails(stats, statistics) if tails is None else tails
+    long = _long(stats, statistics)
+    total = (ranked.agg(F.sum("n")).first()[0] or 0) / len(statistics)
     hot = max(1.0, total * HOT_SHARE)
+    ranked = ranked.select(F.col("group_lang").alias("_l"), F.col("stat").alias("_s"), F.col("value").alias("_v"), "n", "left", "right")
     on = F.col("group_lang").eqNullSafe(F.col("_l")) & (F.col("stat") == F.col("_s")) & F.col("value").eqNullSafe(F.col("_v"))
     keep = ["row", "stat", "left", "right"]
     tagged = long.join(F.broadcast(ranked.where(F.col("n") >= hot)), on, "left")
@@ -169,13 +182,27 @@ def tail_probabilities(stats: DataFrame, statistics: tuple[str, ...] = STATISTIC
     return common.unionByName(rest)
 
 
-def outlier_scores(stats: DataFrame, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """``stats`` with ``outlier_score``: the largest of three sums of negative log tail probabilities.
+def reference_scores(tails: DataFrame, statistics: tuple[str, ...], reference: dict[str, float]) -> DataFrame:
+    """(group_lang, cut): the score that a document with the values of ``reference`` would have in each language.
 
-    The sums take all left tails, all right tails, and per statistic the tail on the side of its skew
-    (empirical-cumulative outlier detection). Documents are ranked within ``group_lang``; where ``stats`` has
-    ``text_key``, copies of a text count once there, so that what is repeated can't become the rule by that. An empty
-    table stays empty.
+    The sum of negative log left tails. A value that all documents exceed has the tail it would have as one more document.
+    """
+    sums = []
+    for s, value in reference.items():
+        left = F.max(F.when((F.col("stat") == statistics.index(s)) & (F.col("value") <= F.lit(value)), F.col("left")))
+        sums.append(-F.log(F.coalesce(left, 1 / (F.max("texts") + 1))))
+    return tails.groupBy("group_lang").agg(sum(sums[1:], sums[0]).alias("cut"))
+
+
+def outlier_scores(stats: DataFrame, statistics: tuple[str, ...] = STATISTICS, reference: dict[str, float] = HALF_PROSE) -> DataFrame:
+    """``stats`` with ``outlier_score`` and ``junk_score``, both sums of negative log tail probabilities.
+
+    ``outlier_score`` is the largest of three sums: all left tails, all right tails, and per statistic the tail on the
+    side of its skew (empirical-cumulative outlier detection). ``junk_score`` sums the left tails of the statistics in
+    ``reference`` and takes off what a document with the reference's values would score in that language, so that 0
+    parts what is less prose than the reference from what is more, whatever share of a language is junk. Documents are
+    ranked within ``group_lang``; where ``stats`` has ``text_key``, copies of a text count once there, so that what is
+    repeated can't become the rule by that. An empty table stays empty.
     """
     stats = materialize(stats.withColumn("row", F.monotonically_increasing_id()), "stats")
     counted = stats
@@ -184,26 +211,28 @@ def outlier_scores(stats: DataFrame, statistics: tuple[str, ...] = STATISTICS) -
         stats = materialize(stats.join(firsts, "row", "left").withColumn("once", F.coalesce("_first", F.lit(0))).drop("_first", "text_key"), "stats-once")
         counted = stats.where("once = 1")
     skews = counted.groupBy("group_lang").agg(*[F.coalesce(F.skewness(s), F.lit(0.0)).alias(s) for s in statistics])
-    tails = tail_probabilities(stats, statistics)
-    wide = tails.groupBy("row").agg(
+    ranked = value_tails(stats, statistics)
+    cuts = reference_scores(ranked, statistics, reference)
+    wide = tail_probabilities(stats, statistics, ranked).groupBy("row").agg(
         F.sum(-F.log("left")).alias("_left"), F.sum(-F.log("right")).alias("_right"),
+        F.sum(F.when(F.col("stat").isin(*map(statistics.index, reference)), -F.log("left"))).alias("_junk"),
         *[F.max(F.when(F.col("stat") == i, -F.log(c))).alias(f"_{c}{i}") for i in range(len(statistics)) for c in ("left", "right")],
     )
     signs = skews.select(F.col("group_lang").alias("_g"), *[F.col(s).alias(f"_skew{i}") for i, s in enumerate(statistics)])
+    signs = signs.join(cuts, F.col("_g").eqNullSafe(F.col("group_lang"))).drop("group_lang")
     # One row a language: the number of languages is bounded by the common-word table and the known labels.
     joined = stats.join(F.broadcast(signs), F.col("group_lang").eqNullSafe(F.col("_g"))).join(wide, "row")
     auto = sum((F.when(F.col(f"_skew{i}") < 0, F.col(f"_left{i}")).otherwise(F.col(f"_right{i}")) for i in range(1, len(statistics))), F.when(F.col("_skew0") < 0, F.col("_left0")).otherwise(F.col("_right0")))
-    return joined.select("doc_id", "group_lang", *statistics, F.round(F.greatest("_left", "_right", auto), 6).alias("outlier_score"))
+    return joined.select(*[c for c in stats.columns if c not in ("row", "once")], F.round(F.greatest("_left", "_right", auto), 6).alias("outlier_score"), F.round(F.col("_junk") - F.col("cut"), 6).alias("junk_score"))
 
 
-def prose_quality(docs: DataFrame, common_words: DataFrame, min_score: float = JUNK_SCORE, **columns) -> DataFrame:
-    """Statistics, outlier score and ``is_prose`` of each document.
+def prose_quality(docs: DataFrame, common_words: DataFrame, statistics: tuple[str, ...] = STATISTICS, **columns) -> DataFrame:
+    """Statistics, outlier scores and ``is_prose`` of each document.
 
-    A document isn't prose if less than JUNK_SHARE of its words, lines around the body aside, stand in sentences, or if
-    less than MIXED_SHARE do and it is an outlier among the different texts of its language (score of at least
-    ``min_score``). See ``text_statistics`` for odd input.
+    A document isn't prose if its ``junk_score`` is 0 or more: in its language it lies at least as far out as a
+    document that is half prose would. A check follows: at least PROSE_SHARE of the words in sentences is prose.
+    ``statistics`` are those that go into ``outlier_score``, the ones of HALF_PROSE among them; ``is_prose`` doesn't
+    depend on the others. See ``text_statistics`` for odd input.
     """
-    scored = outlier_scores(text_statistics(docs, common_words, with_key=True, **columns))
-    share = F.col("sentence_share")
-    junk = (share < JUNK_SHARE) | (share < MIXED_SHARE) & (F.col("outlier_score") >= min_score)
-    return scored.withColumn("is_prose", ~junk)
+    scored = outlier_scores(text_statistics(docs, common_words, with_key=True, **columns), statistics)
+    return scored.withColumn("is_prose", (F.col("junk_score") < 0) | (F.col("sentence_share") >= PROSE_SHARE))

@@ -24,7 +24,18 @@ def p1_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_quality(spark, d).where(~F.col("is_prose")).select("doc_id")
+    """Outliers by the statistics that decide; the others need no ranks here."""
+    found = quality.prose_quality(_t(spark, d, "documents"), _t(spark, d, "common_words"), tuple(quality.HALF_PROSE))
+    return found.where(~F.col("is_prose")).select("doc_id")
+
+
+def p1_tails(spark: SparkSession, d: str) -> DataFrame:
+    """Exact tails of each document's length, words and mean word length among the documents of its label."""
+    words = F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)))
+    stats = _t(spark, d, "documents").select(F.col("doc_id").alias("row"), F.col("lang").alias("group_lang"), F.length("text").cast("double").alias("chars"), words.cast("double").alias("words"))
+    stats = materialize(stats.withColumn("word_len", F.round(F.col("chars") / (F.col("words") + 1), 6)), "simple-stats")
+    tails = quality.tail_probabilities(stats, ("chars", "words", "word_len"))
+    return tails.select(F.col("row").alias("doc_id"), "stat", F.round("left", 9).alias("left_tail"), F.round("right", 9).alias("right_tail"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -118,6 +129,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_quality": p1_quality,
+    "p1_tails": p1_tails,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
     "p3_found": p3_found,
@@ -138,6 +150,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SITE = r"coalesce(nullif(trim(source), ''), nullif(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:@]+)', 1)), ''))"
 
 ORACLE: dict[str, str] = {
+    "p1_tails": """
+WITH w AS (
+  SELECT doc_id, lang, CAST(length(text) AS DOUBLE) AS chars, CAST(len(regexp_extract_all(text, '[^ ]+')) AS DOUBLE) AS words FROM documents
+), v AS (
+  SELECT doc_id, lang, 0 AS stat, chars AS v FROM w UNION ALL SELECT doc_id, lang, 1, words FROM w UNION ALL SELECT doc_id, lang, 2, round(chars / (words + 1), 6) FROM w
+)
+SELECT doc_id, stat, round(cume_dist() OVER (PARTITION BY lang, stat ORDER BY v), 9) AS left_tail, round(cume_dist() OVER (PARTITION BY lang, stat ORDER BY v DESC), 9) AS right_tail FROM v
+""",
     "p2_found": rf"""
 WITH l AS (
   SELECT doc_id, {_SITE} AS site, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line

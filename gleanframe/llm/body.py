@@ -1,7 +1,8 @@
 """The main body of a page: parser events, text-to-tag ratio by line, Gaussian smoothing and threshold clustering.
 
-The regions found so decide every line that doesn't speak for itself. Lines whose wording or place is plain (menus,
-notices, prompts, lists of other articles, titles, sentences) are then checked exactly.
+The regions found so decide every line. In plain text, the signs that stand for markup and the wording or place of
+surroundings (menus, notices, prompts, lists of other articles) count as tags. Only a page's own title and the line
+that names its author are put back afterwards.
 """
 
 from __future__ import annotations
@@ -21,7 +22,15 @@ from . import prose
 from .residue import NOTICE_COVERAGE, has_filler_text, judge, notice_coverage
 
 #: Width of the Gaussian in lines, and rounds of the two-cluster threshold.
-SIGMA, ROUNDS = 1.0, 8
+SIGMA, ROUNDS = 0.5, 8
+#: Bounds of the threshold, as logarithms of one more than the ratio, and the ratio from which a line is full text.
+LOWEST, HIGHEST, FULL = 1.9, 2.3, 60.0
+#: Tags that a word counts as in a line with the wording or the place of surroundings.
+WORDING = 3.0
+#: Words up to which a line that ends no sentence and leads to no text can be a link.
+LONGEST_LINK = 16
+#: A run of short lines before any sentence is a menu from this number on.
+LEAST_MENU = 4
 #: A list of other articles has at least this many entries.
 LEAST_RELATED = 2
 
@@ -29,6 +38,8 @@ LEAST_RELATED = 2
 _HIDDEN = frozenset(("script", "style", "noscript", "template", "svg"))
 # Elements that hold surroundings.
 _CHROME = frozenset(("nav", "footer", "aside", "form", "button", "select"))
+_AROUND = frozenset((prose.SURROUNDING, prose.MENU, prose.CRUMB, prose.RELATED, prose.NOTICE))
+_PASSED = frozenset((prose.OTHER, prose.TITLE, prose.SURROUNDING, prose.NOTICE, prose.RELATED))
 _SENTENCE_BREAK = re.compile(r"[.!?…]\s+\S")
 
 
@@ -72,42 +83,162 @@ class LineEvents(HTMLParser):
     handle_charref = handle_entityref
 
 
+# Elements that begin a line of their own.
+_BLOCKS = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+
+
+class BlockEvents(HTMLParser):
+    """The text of a page in lines that end at block elements, the tags met in each, and the page's title."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines: list[str] = []
+        self.tags: list[float] = []
+        self.items: list[bool] = []  # whether a line is an entry of a list
+        self.title = ""
+        self._in_item = False
+        self._parts: list[str] = []
+        self._met = 0.0
+        self.hidden = self.chrome = 0
+        self._in_title = False
+
+    def _end(self) -> None:
+        text = " ".join("".join(self._parts).split())
+        if text:
+            self.lines.append(text)
+            self.items.append(self._in_item)
+            self.tags.append(self._met + (WORDING * len(text.split()) if self.chrome else 0.0))
+        self._parts, self._met = [], 0.0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _BLOCKS:
+            self._end()
+            self._in_item = tag == "li"
+        self._met += 1
+        self.hidden += tag in _HIDDEN
+        self.chrome += tag in _CHROME
+        self._in_title |= tag == "title"
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in _BLOCKS:
+            self._end()
+        self._met += 1
+
+    def handle_endtag(self, tag):
+        if tag in _BLOCKS:
+            self._end()
+            self._in_item = False
+        self.hidden = max(0, self.hidden - (tag in _HIDDEN))
+        self.chrome = max(0, self.chrome - (tag in _CHROME))
+        self._in_title &= tag not in ("title", "head")
+
+    def handle_data(self, data):
+        if self._in_title:
+            self.title += data
+        elif not self.hidden:
+            self._parts.append(data)
+
+    def close(self):
+        super().close()
+        self._end()
+
+
+def page_body(html: str | None) -> str | None:
+    """The main body of a page as text, a block a line; null stays null."""
+    if html is None:
+        return None
+    events = BlockEvents()
+    events.feed(html)
+    events.close()
+    lines, name = events.lines, _plain(events.title)
+    kinds = [prose.ITEM if item and k == prose.OTHER else k for k, item in zip([_kind(s, name) for s in lines], events.items)]
+    inside = regions([len(s) / max(1.0, t + w) for s, t, w in zip(lines, events.tags, line_tags(lines, kinds))], kinds)
+    return "\n".join(s for s, k, ok in zip(lines, kinds, inside) if ok or k == prose.TITLE)
+
+
 def _marks(s: str) -> int:
     """Signs of plain text that stand for markup: bars, dots and arrows between links, link brackets, gaps."""
     return s.count("|") + s.count("·") + s.count("»") + s.count("›") + s.count("](") + s.count("   ")
 
 
+def line_tags(lines: list[str], kinds: list[int]) -> list[float]:
+    """Tags that plain text would have had: one a sign that stands for markup, some a word for lines in the wording of
+    surroundings, for entries of a list of other articles and for runs of short lines that lead to no text."""
+    tags = [float(_marks(s)) for s in lines]
+    n_words = [len(s.split()) for s in lines]
+    at = [i for i, k in enumerate(kinds) if k != prose.EMPTY]
+    spoken = False  # whether a sentence has been met
+    related = -1  # entries so far of a list of other articles, -1 outside one
+    for p, i in enumerate(at):
+        k, n = kinds[i], n_words[i]
+        if k in _AROUND:
+            tags[i] += WORDING * n
+        if k == prose.RELATED:
+            related = 0
+        elif k in _AROUND or k in (prose.BYLINE, prose.TITLE):
+            related = -1
+        elif related >= 0:
+            one = not _SENTENCE_BREAK.search(lines[i])
+            if k == prose.OTHER or k == prose.SENTENCE and one and related < LEAST_RELATED or k == prose.ITEM and related == 0:
+                related += 1
+                tags[i] += WORDING * n
+            else:
+                related = -1
+        elif k == prose.OTHER and n <= LONGEST_LINK and not _leads_to_text(p, at, kinds) or k in (prose.OTHER, prose.ITEM) and not spoken and _in_menu(p, at, kinds, n_words):
+            tags[i] += WORDING * n
+        spoken |= k == prose.SENTENCE
+    return tags
+
+
+def _leads_to_text(p: int, at: list[int], kinds: list[int]) -> bool:
+    """A heading: after it, other headings and what is set into the text comes a sentence or an item."""
+    k = next((kinds[i] for i in at[p + 1 :] if kinds[i] not in _PASSED), None)
+    return k in (prose.SENTENCE, prose.ITEM, prose.BYLINE)
+
+
+def _in_menu(p: int, at: list[int], kinds: list[int], n_words: list[int]) -> bool:
+    """One of at least LEAST_MENU lines in a row, of the same kind and of three words at most, but not the heading of a sentence."""
+    k = kinds[at[p]]
+    if k == prose.OTHER and p + 1 < len(at) and kinds[at[p + 1]] == prose.SENTENCE:
+        return False
+    lo = hi = p
+    while lo > 0 and kinds[at[lo - 1]] == k and n_words[at[lo - 1]] <= 3 + (k == prose.ITEM):
+        lo -= 1
+    while hi + 1 < len(at) and kinds[at[hi + 1]] == k and n_words[at[hi + 1]] <= 3 + (k == prose.ITEM):
+        hi += 1
+    return n_words[at[p]] <= 3 + (k == prose.ITEM) and hi - lo + 1 >= LEAST_MENU
+
+
 def ratios(text: str, lines: list[str], kinds: list[int]) -> list[float]:
-    """Text-to-tag ratio of each line. In plain text the signs that stand for markup and the wording of surroundings
-    count as tags."""
+    """Text-to-tag ratio of each line: characters shown to a tag met (``LineEvents``) or stood for (``line_tags``)."""
+    tags = line_tags(lines, kinds)
     if "<" in text:
         events = LineEvents(len(lines))
         events.feed(text)
         events.close()
-        chars, tags = events.chars, events.tags
-    else:
-        chars, tags = [len(s) for s in lines], [0] * len(lines)
-    weight = [0 if k in (prose.EMPTY, prose.SENTENCE, prose.OTHER) else 1 if k == prose.ITEM else 4 for k in kinds]
-    return [c / max(1, t + w + _marks(s)) for c, t, w, s in zip(chars, tags, weight, lines)]
+        return [c / max(1.0, t + w) for c, t, w in zip(events.chars, events.tags, tags)]
+    return [len(s.strip()) / max(1.0, w) for s, w in zip(lines, tags)]
 
 
-_REACH = max(1, round(3 * SIGMA))
+_REACH = max(1, round(4 * SIGMA))
 _KERNEL = [math.exp(-0.5 * (d / SIGMA) ** 2) for d in range(-_REACH, _REACH + 1)]
 
 
 def regions(ratio: list[float], kinds: list[int]) -> list[bool]:
-    """Which lines lie in content regions: the ratios of lines that aren't empty, smoothed, fall into two clusters by a threshold."""
+    """Which lines lie in content regions: the ratios of lines that aren't empty, smoothed, fall into two clusters.
+
+    The threshold is the middle of the clusters' means, kept within LOWEST and HIGHEST: so a page that is all content,
+    or has none, isn't parted through its middle. Above FULL a ratio says no more.
+    """
     at = [i for i, k in enumerate(kinds) if k != prose.EMPTY]
-    r = [0.0] * _REACH + [math.log1p(ratio[i]) for i in at] + [0.0] * _REACH
+    r = [0.0] * _REACH + [math.log1p(min(ratio[i], FULL)) for i in at] + [0.0] * _REACH
     n = len(at)
     smooth = []
     for i in range(n):
         lo, hi = max(0, _REACH - i), min(len(_KERNEL), n - i + _REACH)
         smooth.append(sum(map(operator.mul, _KERNEL, r[i : i + len(_KERNEL)])) / sum(_KERNEL[lo:hi]))
-    out = [False] * len(kinds)
-    low, high = min(smooth, default=0.0), max(smooth, default=0.0)
-    cut, parted = (low + high) / 2, high - low > 0.7  # without two clearly parted clusters the page is one region
-    for _ in range(ROUNDS if parted else 0):
+    cut = (min(smooth, default=0.0) + max(smooth, default=0.0)) / 2
+    for _ in range(ROUNDS):
         below = [x for x in smooth if x < cut]
         above = n - len(below)
         if not below or not above:
@@ -117,15 +248,23 @@ def regions(ratio: list[float], kinds: list[int]) -> list[bool]:
         if abs(new - cut) < 1e-3:
             break
         cut = new
+    cut = min(max(cut, LOWEST), HIGHEST)
+    out = [False] * len(kinds)
     for i, x in zip(at, smooth):
-        out[i] = not parted or x >= cut
+        out[i] = x >= cut
     return out
 
 
-def _kind(s: str) -> int:
-    """The line's own kind; the title and headings come out as OTHER."""
+def _plain(s: str) -> str:
+    return " ".join(s.lower().split()).rstrip(".!…:»? ")
+
+
+def _kind(s: str, name: str) -> int:
+    """The line's own kind; headings come out as OTHER."""
     if not s:
         return prose.EMPTY
+    if name and len(s) <= 2 * len(name) + 10 and _plain(s) == name:
+        return prose.TITLE
     if k := prose.surrounding(s):
         return k
     if prose.notice(s):
@@ -136,58 +275,21 @@ def _kind(s: str) -> int:
 
 
 def surrounding_lines(text: str | None, title: str | None = None) -> list[int]:
-    """Numbers of the lines that aren't empty and not part of the main body.
+    """Numbers of the lines that aren't empty and not part of the main body: those outside the content regions.
 
-    Fields that as a whole are a notice or filler have none, as have null and empty ones.
+    The page's own title and the author's line belong to the body wherever they stand. Fields that as a whole are a
+    notice or filler have no such lines, as have null and empty ones.
     """
     if not text:
         return []
     raw = text.split("\n")
     lines = [s.strip() for s in raw]
-    kinds = [_kind(s) for s in lines]
+    name = _plain(title) if title else ""
+    kinds = [_kind(s, name) for s in lines]
     if prose.NOTICE in kinds and notice_coverage(raw) >= NOTICE_COVERAGE or has_filler_text(text) and _all_filler(lines):
         return []
-    name = " ".join(title.lower().split()) if title else ""
     inside = regions(ratios(text, raw, kinds), kinds)
-    out: list[int] = []
-    related = -1  # entries so far of a list of other articles, -1 outside one
-    for i, (s, k) in enumerate(zip(lines, kinds)):
-        if k == prose.EMPTY:
-            continue
-        if name and " ".join(s.lower().split()).rstrip(".!…:»? ") == name.rstrip(".!…:»? "):
-            related = -1
-            continue
-        if k == prose.BYLINE and "|" not in s:
-            related = -1
-            continue
-        if k == prose.RELATED:
-            related = 0
-            out.append(i)
-            continue
-        if k not in (prose.SENTENCE, prose.OTHER, prose.ITEM):
-            related = -1
-            out.append(i)
-            continue
-        if related >= 0:
-            one = not _SENTENCE_BREAK.search(s)
-            if k == prose.OTHER or k == prose.SENTENCE and one and related < LEAST_RELATED or k == prose.ITEM and related == 0:
-                related += 1
-                out.append(i)
-                continue
-            related = -1
-        if k == prose.OTHER and not inside[i] and not _in_body(i, kinds):
-            out.append(i)
-    return out
-
-
-def _in_body(i: int, kinds: list[int]) -> bool:
-    """A heading: the next line that isn't empty is a sentence, an item or another heading before one."""
-    for k in kinds[i + 1 :]:
-        if k in (prose.SENTENCE, prose.ITEM):
-            return True
-        if k not in (prose.EMPTY, prose.OTHER):
-            return False
-    return False
+    return [i for i, k in enumerate(kinds) if k not in (prose.EMPTY, prose.TITLE) and not inside[i] and (k != prose.BYLINE or "|" in lines[i])]
 
 
 def _all_filler(lines: list[str]) -> bool:
@@ -225,17 +327,32 @@ def boilerplate(items: DataFrame, fields: tuple[str, ...] = ("content", "text"),
     return picked.mapInArrow(_found(list(fields)), _SCHEMA)
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for title, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            gone = set(surrounding_lines(text, title))
-            out.append(text if text is None or not gone else "\n".join(s for i, s in enumerate(text.split("\n")) if i not in gone))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["item_id", "body"])
+def _each(f, names: list[str]):
+    """``f`` of a row's text (last column) and title (the one before it), beside the columns ahead of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [f(text, title) for title, text in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string())], names=names)
+
+    return run
+
 
+def body_of(text: str | None, title: str | None = None) -> str | None:
+    """The text without the lines around and inside its main body; null stays null."""
+    gone = set(surrounding_lines(text, title))
+    return text if text is None or not gone else "\n".join(s for i, s in enumerate(text.split("\n")) if i not in gone)
 
-def main_body(items: DataFrame, field: str = "content", id_col: str = "item_id", title_col: str | None = "title") -> DataFrame:
-    """(item_id, body): the field without the lines around and inside its main body; null stays null."""
+
+def main_body(items: DataFrame, fields: tuple[str, ...] = ("content", "text"), id_col: str = "item_id", title_col: str | None = "title") -> DataFrame:
+    """(item_id, field, body): each field without the lines around and inside its main body; null stays null."""
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
-    picked = items.select(F.col(id_col).cast("long").alias("item_id"), title.alias("title"), F.col(field).alias("text"))
-    return picked.mapInArrow(_bodies, "item_id long, body string")
+    both = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("_x")
+    picked = items.select(F.col(id_col).cast("long").alias("item_id"), title.alias("title"), both).select("item_id", "_x.field", "title", "_x.text")
+    return picked.mapInArrow(_each(body_of, ["item_id", "field", "body"]), "item_id long, field string, body string")
+
+
+def page_bodies(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, body) of pages of markup; one Arrow pass, no shuffle. Null pages have a null body, empty ones an empty one."""
+    picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.lit(None).cast("string").alias("title"), F.col(html_col).alias("html"))
+    return picked.mapInArrow(_each(lambda html, _: page_body(html), ["page_id", "body"]), "page_id long, body string")

@@ -40,25 +40,55 @@ gebruiken cookies om | bewaart kleine bestanden op uw apparaat | kies welke cook
 alleen met schriftelijke toestemming | alle rechten voorbehouden | is niet aansprakelijk voor gelinkte | zijn met belasting
 druk deze pagina af | deel dit bericht van | met vrienden | beluister dit artikel ( | deelden deze pagina | voor meer verhalen | hieronder meer
 de ochtendbrief van | een fout gezien? | naar boven | ga naar de inhoud | advertentie | colofon | privacy matters to | daten sind | vie privée compte pour | privacidad importa a | la privacidad | privacy conta per | privacidade importa
+uses cookies | use cookies and | cookies and similar technologies | read more | posted in | filed under | tags: | view our privacy
+verwendet cookies | cookies und ähnliche technologien | für unseren newsletter | weiterlesen | mehr erfahren | schlagwörter: | veröffentlicht in
+utilise des cookies | cookies et technologies similaires | à notre newsletter | lire la suite | en savoir plus | publié dans | mots-clés :
+utiliza cookies | cookies y tecnologías similares | a nuestro boletín | leer más | seguir leyendo | publicado en | etiquetas:
+utilizza cookie | cookie e tecnologie simili | alla nostra newsletter | leggi tutto | per saperne di più | pubblicato in | etichette:
+cookies e tecnologias semelhantes | a nossa newsletter | ler mais | saiba mais | publicado em
+gebruikt cookies | cookies en vergelijkbare technieken | voor onze nieuwsbrief | lees meer | lees verder | geplaatst in | trefwoorden:
+"""
+
+# Words of menus, notices, prompts and side boxes, by language (en de fr es it pt nl), as sites of any kind use them.
+SIGNS = """
+cookie cookies newsletter newsletters facebook twitter whatsapp linkedin pinterest instagram telegram youtube reddit email e-mail rss feed pdf copyright sitemap faq blog login logout javascript spam premium podcast podcasts app online gdpr dsgvo rgpd
+subscribe subscription subscribers unsubscribe sign signup register account accounts password share shared sharing follow print download comment comments reply replies careers press advertise advertising advertisement sponsored related recommended trending popular articles stories posts headlines website privacy policy preferences consent settings reserved terms conditions disclaimer imprint accessibility skip navigation menu previous next tags categories category about contact home browser
+abonnieren abonnement registrieren konto passwort teilen drucken herunterladen kommentar kommentare kommentieren antworten karriere presse werbung anzeige anzeigen gesponsert ähnliche empfohlen beliebt artikel beiträge schlagzeilen webseite website datenschutz datenschutzerklärung einwilligung einstellungen zustimmen vorbehalten rechte agb impressum barrierefreiheit überspringen navigation vorherige nächste schlagwörter kategorien kontakt startseite folgen merkliste
+abonner abonnez abonnement inscription inscrire inscrivez compte passe partager partagez imprimer télécharger commentaire commentaires commenter répondre carrières presse publicité sponsorisé similaires recommandés populaires articles site confidentialité politique préférences consentement paramètres accepter réservés mentions légales accessibilité navigation précédent suivant étiquettes catégories contact accueil suivre suivez
+suscribir suscríbete suscribirse suscripción boletín registrarse cuenta contraseña compartir comparte imprimir descargar comentario comentarios comentar responder empleo prensa publicidad patrocinado relacionados relacionadas recomendados populares artículos noticias sitio web privacidad política preferencias consentimiento configuración aceptar reservados aviso legal accesibilidad navegación anterior siguiente etiquetas categorías contacto inicio seguir síguenos
+abbonati abbonamento iscriviti registrati account password condividi stampa scarica commento commenti commenta rispondi carriere pubblicità sponsorizzato correlati correlate consigliati popolari articoli sito riservatezza politica preferenze consenso impostazioni accetta riservati note legali accessibilità navigazione precedente successivo etichette categorie contatti seguici
+assinar assine subscrever subscreva inscreva registar conta senha partilhar partilhe compartilhar compartilhe imprimir descarregar baixar comentário comentários comentar responder carreiras imprensa publicidade patrocinado relacionados relacionadas recomendados populares artigos site privacidade política preferências consentimento definições aceitar reservados avisos legais acessibilidade navegação anterior seguinte etiquetas categorias contacto contato início seguir siga
+abonneren abonneer inschrijven registreren account wachtwoord delen deel afdrukken downloaden reactie reacties reageer reageren vacatures pers advertentie advertenties gesponsord gerelateerde gerelateerd aanbevolen populair artikelen berichten website privacybeleid voorkeuren toestemming instellingen accepteren voorbehouden voorwaarden toegankelijkheid navigatie vorige volgende trefwoorden categorieën contact startpagina volg
+"""
+
+# Words that bear no content beside signs, so that a short line of them and one sign is a prompt.
+FILLING = """
+a all an and for in more my new of on our post the this to up us use uses using via we with you your leave write join read now here be first see view experience improve
+alle auf das dem den der die diese dieser ein eine einen für hier ihr ihre in jetzt mehr mit neue oder sie uns unsere und von wir zu zum zur schreiben hinterlassen verwendet nutzt
+au aux avec ce cette de des du en et ici la le les l maintenant nos notre nous ou par plus pour sur un une votre vos écrire laisser laissez utilise
+a al aquí con de del deja dejar e el en esta este la las los más nuestra nuestro o para por su sus tu un una y ya escribe utiliza usa
+a ai al alla con da dei del della di e i il in la le lascia lo nostra nostro o ora per più qui scrivi su sul tuo un una usa utilizza vostro
+a ao aos agora as com da das de deixe do dos e em escreva mais na no nossa nosso o os ou para por seu sua um uma usa utiliza aqui
+aan alle de deze dit een en hier het in je jouw laat meer met nieuwe nu of om onze op ons over schrijf te uw van via voor achter gebruikt
 """
 
 # Openings and closings of prompts whose middle is a name or a number, as regular expressions on the whole line.
 PROMPTS = r"""
-^read \d+ comments? on |^support .{1,60} from \d+ a month|^sign up for the .{1,60} letter|^follow .{1,60} for more|^prices on
-^lire \d+ commentaires? sur |^soutenez .{1,60} dès \d+ par mois|^suivez .{1,60} pour|^les prix de .{1,60} taxe
-^leer \d+ comentarios? en |^apoya a .{1,60} desde \d+ al mes|^sigue a .{1,60} para|^los precios de .{1,60} impuestos
-^leggi \d+ commenti su |^sostieni .{1,60} da \d+ al mese|^segui .{1,60} per altre|^i prezzi di .{1,60} imposte
-^ler \d+ comentários em |^apoie .{1,60} desde \d+ por mês|^siga .{1,60} para mais|^os preços de .{1,60} imposto
-^lees \d+ reacties op |^steun .{1,60} vanaf \d+ per maand|^volg .{1,60} voor meer|^prijzen van .{1,60} belasting|^ontvang de .{1,60} van
-^\d+ kommentare bei .{1,60} lesen|^.{1,60} ab \d+ im monat |^folgen sie .{1,60} und lesen|^alle preise bei
-^(?:registered office of|sitz von|siège de|sede de|sede di|zetel van) .{1,60}:|^© ?\d{4} |^copyright |^\(c\) \d{4}
+^read \d+ comments? on |^support [^.!?]+? from \d+ a month|^sign up for the [^.!?]+? letter|^follow [^.!?]+? for more|^prices on
+^lire \d+ commentaires? sur |^soutenez [^.!?]+? dès \d+ par mois|^suivez [^.!?]+? pour|^les prix de [^.!?]+? taxe
+^leer \d+ comentarios? en |^apoya a [^.!?]+? desde \d+ al mes|^sigue a [^.!?]+? para|^los precios de [^.!?]+? impuestos
+^leggi \d+ commenti su |^sostieni [^.!?]+? da \d+ al mese|^segui [^.!?]+? per altre|^i prezzi di [^.!?]+? imposte
+^ler \d+ comentários em |^apoie [^.!?]+? desde \d+ por mês|^siga [^.!?]+? para mais|^os preços de [^.!?]+? imposto
+^lees \d+ reacties op |^steun [^.!?]+? vanaf \d+ per maand|^volg [^.!?]+? voor meer|^prijzen van [^.!?]+? belasting|^ontvang de [^.!?]+? van
+^\d+ kommentare bei [^.!?]+? lesen|^[^.!?]+? ab \d+ im monat |^folgen sie [^.!?]+? und lesen|^alle preise bei
+^(?:registered office of|sitz von|siège de|sede de|sede di|zetel van) [^.!?]+?:|^© ?\d{4} |^copyright |^\(c\) \d{4}
 """
 
 # Bylines, with a name where the dots are.
 BYLINES = r"""
-^(?:by|von|par|por|di|door) \S+(?: \S+){0,5}, .{1,60}$
-^(?:text|texte|texto|testo|tekst) ?: .{3,80}$
-^.{3,60} \| .{3,60} \| (?:updated|aktualisiert|geändert|stand|mis à jour|actualizado|aggiornato|atualizado|bijgewerkt) \S+(?: \S+){0,3}$
+^(?:by|von|par|por|di|door) \S+(?: \S+){0,5}, [^.!?;:\s]+(?: [^.!?;:\s]+){0,4}$
+^(?:text|texte|texto|testo|tekst) ?: [^!?;:]{3,}$
+^[^|]{3,} \| [^|]{3,} \| (?:updated|aktualisiert|geändert|stand|mis à jour|actualizado|aggiornato|atualizado|bijgewerkt) \S+(?: \S+){0,3}$
 """
 
 # Names of a site's sections and service pages.
@@ -102,6 +132,23 @@ is niet gevonden op deze server | deze pagina heeft scripts nodig | sta ze toe e
 schakel javascript in om verder te gaan | zet javascript aan om | heeft javascript nodig | bevestig dat u een mens bent | is tijdelijk niet bereikbaar | pagina niet gevonden | bestaat niet meer. | is geweigerd. | is verboden. | dit account of deze pagina ( | dienst niet beschikbaar
 """
 
+# Messages of servers, gateways and unfinished pages that count where they make up most of a line.
+MESSAGES = """
+400 bad request | 401 unauthorized | 403 forbidden | 404 not found | 405 method not allowed | 408 request timeout | 410 gone | 429 too many requests | 500 internal server error | 502 bad gateway | 503 service unavailable | 504 gateway timeout | bad gateway | gateway timeout | bad request | too many requests | internal server error
+the requested url was not found | the page you requested could not be found | this page does not exist | this page isn't available | this content is not available | the page cannot be displayed | connection timed out | connection refused | this site can't be reached | your session has expired | please log in again | please sign in to continue | you are not authorized | access to this page has been denied | sorry, you have been blocked | you have been blocked | unusual traffic
+checking your browser before accessing | checking your browser | just a moment | verifying you are human | verify you are human | are you a robot | i am not a robot | complete the captcha | enable cookies | you need to enable javascript to run | enable javascript | javascript is disabled | javascript is required | requires javascript | please wait while your request | request is being verified | please wait while | redirecting | you will be redirected | using automation tools | update your browser | browser is not supported
+coming soon | under construction | site is under maintenance | undergoing scheduled maintenance | account suspended | this domain is for sale | domain is parked | default web page | it works! | no results found | nothing found | placeholder text | content goes here | insert text here | add your text here | description goes here | title goes here | this is a sample page | edit or delete it | dummy text
+fehler 404 | fehler 403 | fehler 500 | interner serverfehler | diese seite existiert nicht | seite existiert nicht | seite konnte nicht gefunden werden | ihre sitzung ist abgelaufen | zu viele anfragen | sind sie ein roboter | javascript aktivieren | javascript ist deaktiviert | im aufbau | demnächst verfügbar | wartungsarbeiten | hier text einfügen | platzhaltertext | ihr text hier
+erreur 404 | erreur 403 | erreur 500 | erreur interne du serveur | cette page n'existe pas | la page demandée est introuvable | votre session a expiré | trop de requêtes | êtes-vous un robot | activer javascript | javascript est désactivé | en construction | bientôt disponible | en maintenance | insérez votre texte ici | votre texte ici | texte de remplacement
+error 404 | error 403 | error 500 | error interno del servidor | esta página no existe | la página solicitada no existe | su sesión ha caducado | demasiadas solicitudes | es usted un robot | activar javascript | javascript está desactivado | en construcción | próximamente | en mantenimiento | inserte su texto aquí | su texto aquí | texto de relleno
+errore 404 | errore 403 | errore 500 | errore interno del server | questa pagina non esiste | la pagina richiesta non esiste | la sessione è scaduta | troppe richieste | sei un robot | abilitare javascript | javascript è disattivato | in costruzione | prossimamente | in manutenzione | inserisci qui il testo | il tuo testo qui | testo segnaposto
+erro 404 | erro 403 | erro 500 | erro interno do servidor | esta página não existe | a página solicitada não existe | a sua sessão expirou | demasiados pedidos | é um robô | ativar javascript | javascript está desativado | em construção | em breve | em manutenção | insira o texto aqui | o seu texto aqui | texto de preenchimento
+fout 404 | fout 403 | fout 500 | interne serverfout | deze pagina bestaat niet | de opgevraagde pagina bestaat niet | uw sessie is verlopen | te veel verzoeken | bent u een robot | javascript inschakelen | javascript is uitgeschakeld | in aanbouw | binnenkort beschikbaar | in onderhoud | voeg hier tekst toe | uw tekst hier | opvultekst
+"""
+
+# Beginnings of placeholders, where their full shape is then checked.
+SLOTS = "{{ {% <% ${ #{ $!{ #!{ { [[ << < [% %% % @@ __ *| xx_ xxx_ xxxx_ ~~ && %( $ [insert [your [enter [add here] todo: fixme: tk:"
+
 # Sentences that only hold the place of text to come; a name may stand where the ellipsis is.
 FILLERS = """
 insert the introduction of … here | is only a placeholder and will be replaced | sample text for … please do not publish | write two or three sentences about … goes live | your headline for … goes here | text to come | your text here
@@ -142,12 +189,16 @@ def latin_stems() -> frozenset[str]:
 
 @cache
 def automaton() -> ahocorasick.Automaton:
-    """One automaton over notices and fillers; a hit gives (kind, length, all parts in order)."""
+    """One automaton over notices, messages, fillers, pseudo-Latin and the beginnings of placeholders; a hit gives
+    (length, [(kind, all parts in order)])."""
     found: dict[str, list] = {}
-    for kind, block in (("notice", NOTICES), ("filler", FILLERS)):
+    for kind, block in (("notice", NOTICES), ("message", MESSAGES), ("filler", FILLERS)):
         for p in phrases(block):
             parts = [x.strip() for x in p.split("…")]
             found.setdefault(parts[0], []).append((kind, parts))
+    for kind, heads in (("slot", SLOTS.split()), ("latin", latin_stems())):
+        for p in heads:
+            found.setdefault(p, []).append((kind, [p]))
     a = ahocorasick.Automaton()
     for head, entries in found.items():
         a.add_word(head, (len(head), entries))

@@ -7,11 +7,13 @@ from functools import cache, lru_cache
 
 from . import lexicon
 
-#: Characters up to which a line is judged as one; notices in a longer one are sought by sentence.
+#: Characters up to which what was found in a line is remembered for the next time it comes; longer lines are read anew.
 LONG = 260
+#: Share of a line's words that must stand in sentences with the wording of surroundings, and of a sentence's words that must be signs of them.
+SURROUNDING_SHARE, SIGN_SHARE = 1 / 3, 0.3
 
 # Kinds of lines.
-EMPTY, SENTENCE, SURROUNDING, MENU, CRUMB, RELATED, BYLINE, ITEM, NOTICE, OTHER = range(10)
+EMPTY, SENTENCE, SURROUNDING, MENU, CRUMB, RELATED, BYLINE, ITEM, NOTICE, OTHER, TITLE = range(11)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _DECOR = re.compile(r"(?:--|[>»•*·]|#{1,6})\s+")
@@ -71,22 +73,47 @@ def _menu_heads() -> frozenset[str]:
 _HEAD = re.compile(r"[^\W_]+")
 
 
-@lru_cache(maxsize=1 << 16)
+@cache
+def _signs() -> tuple[frozenset[str], frozenset[str]]:
+    return frozenset(lexicon.phrases(lexicon.SIGNS, sep=" ")), frozenset(lexicon.phrases(lexicon.FILLING, sep=" "))
+
+
+def _signed(part: str) -> bool:
+    """Mostly words that sites use around a body: two at least, or one and no word that bears content."""
+    signs, filling = _signs()
+    tokens = _WORD.findall(part)
+    n = sum([t in signs for t in tokens])
+    return n >= 2 and n >= SIGN_SHARE * len(tokens) or n == 1 and all(t in signs or t in filling for t in tokens)
+
+
+def _surrounding_words(s: str) -> int:
+    """Words of a squeezed lower-case line in sentences that hold a phrase of surroundings or consist of their signs."""
+    n = 0
+    ends = [(end, size) for end, size in lexicon.surroundings().iter(s)]
+    start = 0
+    for part in _PARTS.split(s):
+        at = s.find(part, start)
+        start = at + len(part)
+        covered = max([size for end, size in ends if at <= end < start], default=0)
+        if covered and (covered >= 0.2 * len(part) or covered >= 16) or _prompts().match(part) or _signed(part):
+            n += len(part.split())
+    return n
+
+
 def surrounding(line: str) -> int:
-    """SURROUNDING, MENU, CRUMB, RELATED or BYLINE for lines around a body, else 0. Long lines are never one."""
-    if len(line) > 260:
-        return 0
+    """SURROUNDING, MENU, CRUMB, RELATED or BYLINE for lines around a body, else 0; lines of any length."""
+    return _known_surrounding(line) if len(line) <= LONG else _surrounding(line)
+
+
+def _surrounding(line: str) -> int:
     s = " ".join(line.lower().split())
-    if len(s) > 220:
-        return 0
     if (mark := _DECOR.match(s)) is not None:
         s = s[mark.end() :]
     if s.endswith((" !", " »")):
         s = s[:-2]
     if not s:
         return 0
-    core = s.rstrip(".!…:»? ")
-    if core in _related():
+    if s.rstrip(".!…:»? ") in _related():
         return RELATED
     item = _BULLET.sub("", _LINK.sub(r"\1", s) if "](" in s else s)
     head = _HEAD.search(item)
@@ -99,34 +126,33 @@ def surrounding(line: str) -> int:
         parts = [p for p in re.split(r"\s*[|·]\s*", item) if p]
         if len(parts) >= 3 and 2 * sum(1 for p in parts if _menu().fullmatch(p)) >= len(parts):
             return MENU
-    covered = 0
-    for _, n in lexicon.surroundings().iter(s):
-        covered = max(covered, n)
-    if covered and (covered >= 0.2 * len(s) or covered >= 16):
+    if _prompts().match(s) or _surrounding_words(s) >= SURROUNDING_SHARE * len(s.split()):
         return SURROUNDING
-    if len(s) <= 140:
-        if _prompts().match(s):
-            return SURROUNDING
-        if len(s) < 110 and s[-1] not in "!?" and _bylines().match(s):
-            return BYLINE
-    return 0
+    return BYLINE if s[-1] not in "!?" and _bylines().match(s) else 0
+
+
+_known_surrounding = lru_cache(maxsize=1 << 16)(_surrounding)
+
+
+def _covered(s: str) -> tuple[int, int]:
+    """Characters that stand in notices, and in notices or messages; overlapping hits count once."""
+    out = []
+    hits = sorted([(end + 1 - size, end + 1, any(kind == "notice" for kind, _ in found)) for end, (size, found) in lexicon.automaton().iter(s) if any(kind in ("notice", "message") for kind, _ in found)])
+    for any_kind in (False, True):
+        n = last = 0
+        for start, end, sure in hits:
+            if sure or any_kind:
+                n += max(0, end - max(start, last))
+                last = max(last, end)
+        out.append(n)
+    return out[0], out[1]
 
 
 @lru_cache(maxsize=1 << 15)
 def _short_notice(line: str) -> bool:
     s = " ".join(line.lower().split())
-    covered = sum([size for _, (size, found) in lexicon.automaton().iter(s) if found[0][0] == "notice"])
-    return covered >= 0.3 * len(s) or covered >= 18
-
-
-def _covered(s: str) -> int:
-    """Characters that stand in notices; overlapping hits count once."""
-    n = last = 0
-    spans = sorted([(end + 1 - size, end + 1) for end, (size, found) in lexicon.automaton().iter(s) if found[0][0] == "notice"])
-    for start, end in spans:
-        n += max(0, end - max(start, last))
-        last = max(last, end)
-    return n
+    sure, covered = _covered(s)
+    return sure >= 0.3 * len(s) or sure >= 18 or covered >= 0.5 * len(s)
 
 
 def notice_words(line: str) -> int:
@@ -134,9 +160,14 @@ def notice_words(line: str) -> int:
     if len(line) <= LONG:
         return len(line.split()) if _short_notice(line) else 0
     s = " ".join(line.lower().split())
-    if not _covered(s):
+    if not any(_covered(s)):
         return 0
-    return sum(len(x.split()) for x in _PARTS.split(s) if (_short_notice(x) if len(x) <= LONG else _covered(x) >= 0.3 * len(x)))
+    n = 0
+    for x in _PARTS.split(s):
+        sure, covered = _covered(x)
+        if sure >= 0.3 * len(x) or sure >= 18 and len(x) <= LONG or covered >= 0.5 * len(x):
+            n += len(x.split())
+    return n
 
 
 def notice(line: str) -> bool:

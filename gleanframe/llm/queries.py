@@ -58,8 +58,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_kept(spark: SparkSession, d: str) -> DataFrame:
-    """The documents that remain as content."""
-    return residue.without_residue(_t(spark, d, "documents"), "doc_id").select("doc_id")
+    """The rows of both tables that remain as content."""
+    docs = residue.without_residue(_t(spark, d, "documents"), "doc_id").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"))
+    items = residue.without_residue(_t(spark, d, "content_items"), "item_id", ("text", "content"))
+    return docs.unionByName(items.select(F.lit("content_items").alias("tbl"), F.col("item_id").alias("row_id")))
 
 
 def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
@@ -113,10 +115,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_body(spark: SparkSession, d: str) -> DataFrame:
-    """The main body of each page's whole text."""
+    """The main body of both fields of each item."""
     return body.main_body(_t(spark, d, "content_items"))
 
 
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of each page of markup."""
+    return body.page_bodies(_t(spark, d, "pages"))
+
+
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     """Language and confidence of every document and of its segments."""
     return language.identify(_t(spark, d, "documents"), _t(spark, d, "common_words"))
@@ -137,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_kept": p3_kept,
     "p5_found": p5_found,
     "p5_body": p5_body,
+    "p5_pages": p5_pages,
     "p6_found": p6_found,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,

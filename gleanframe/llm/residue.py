@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -17,8 +18,9 @@ NOTICE_COVERAGE = 0.6
 #: Share of a line's words that must be pseudo-Latin, and their least number.
 LATIN_SHARE, LATIN_WORDS = 0.35, 3
 
-# HTML elements that may stand in angle brackets without being placeholders.
-ELEMENTS = frozenset("html head body title meta link script style div span table thead tbody tr td th ul ol li img pre code main nav header footer article section aside form input button select option label iframe strong em sup sub small font center blockquote br hr".split())
+# HTML elements that may stand in angle brackets without being placeholders; those that are usual names of fields too need a closing tag.
+ELEMENTS = frozenset("html head body meta script style div span table thead tbody tr td th ul ol li img pre code main nav header footer article section aside form input button select iframe strong em sup sub small font center blockquote br hr".split())
+FIELDS = frozenset("title link label option address time summary".split())
 
 _NAME = r"(?=[A-Za-z][\w.-])[A-Za-z][A-Za-z0-9]*(?:[_.-][A-Za-z0-9]+)*"
 #: Placeholder syntaxes: doubled or marked brackets, percent, at and underscore fences, and worded slots.
@@ -29,19 +31,17 @@ PLACEHOLDER = re.compile(
     | <%[=-]?\s*{_NAME}\s*-?%>
     | [$#]!?\{{\s*{_NAME}\s*\}}
     | \{{\s*{_NAME}\s*\}}
-    | \[\[\s*{_NAME}\s*\]\] | <<\s*{_NAME}\s*>> | <(?P<angle>[a-z][a-z0-9_.-]{{2,40}})>
+    | \[\[\s*{_NAME}\s*\]\] | <<\s*{_NAME}\s*>> | <(?P<angle>[a-z][a-z0-9_.-]{{2,}})>
     | \[%\s*{_NAME}\s*%\] | %%\s*{_NAME}\s*%% | %{_NAME}% | @@{_NAME}@@ | __{_NAME}__ | \*\|{_NAME}\|\*
     | X{{2,4}}_{_NAME}_X{{2,4}} | ~~{_NAME}~~ | &&{_NAME}&& | \{{\s*{_NAME}\s*\|\s*\w+\s*\}} | %\({_NAME}\)[sd] | \${_NAME}[$;]
-    | \[(?:INSERT|YOUR|ENTER|ADD|Insert|Your|Enter|Add)\s[^\]\n]{{2,80}}\]
-    | \[[A-Za-z_. ]{{2,40}}\s(?:here|HERE|goes\ here|GOES\ HERE)\]
+    | \[(?:INSERT|YOUR|ENTER|ADD|Insert|Your|Enter|Add)\s[^\]\n]{{2,}}\]
+    | \[[A-Za-z_.\ -]{{2,}}\s(?:here|HERE|goes\ here|GOES\ HERE)\]
     | (?:TODO|FIXME|TK):\s{_NAME}
     | (?<!\S)\{{\d{{1,2}}\}}(?!\S)
     )(?![\w`])""",
     re.X,
 )
-_MAYBE = ("{", "[", "<", "%", "@@", "__", "TODO:", "FIXME:", "TK:", "*|", "~~", "&&", "$", "XX_")
-# Beginnings of pseudo-Latin words that are rare in living languages; without one a text isn't read for it.
-_LATIN_SIGNS = ("lorem", "ipsum", "adipi", "incid", "cillu", "occae", "exerc", "excep", "ullam", "nostr", "venia", "fugia", "repre", "proid", "cupid", "eiusm", "aliqu", "commo")
+_STOP = re.compile(r"[.!?…](?=\s|$)")
 _TRAILER = re.compile(r"^\S+(?: \S+){0,3} / [0-9a-f]{5,}$")
 
 _SCHEMA = T.StructType([
@@ -50,17 +50,16 @@ _SCHEMA = T.StructType([
 ])
 
 
-def has_placeholder(text: str) -> bool:
-    """An unfilled placeholder that isn't quoted as code (an odd number of backticks before it in its line)."""
-    if not any(m in text for m in _MAYBE):
-        return False
+def placeholder_size(text: str) -> int:
+    """Characters of unfilled placeholders that aren't quoted as code (an odd number of backticks before them in their line)."""
+    n = 0
     for m in PLACEHOLDER.finditer(text):
-        if m["angle"] in ELEMENTS:
+        if m["angle"] in ELEMENTS or m["angle"] in FIELDS and f"</{m['angle']}>" in text:
             continue
         start = text.rfind("\n", 0, m.start()) + 1
         if text.count("`", start, m.start()) % 2 == 0:
-            return True
-    return False
+            n += m.end() - m.start()
+    return n
 
 
 def is_pseudo_latin(tokens: list[str]) -> bool:
@@ -69,28 +68,27 @@ def is_pseudo_latin(tokens: list[str]) -> bool:
     return len(found) >= LATIN_WORDS and len(found) >= LATIN_SHARE * len(tokens) and len(set(found)) >= min(3, len(tokens))
 
 
-def has_filler(squeezed: str) -> bool:
-    """A sentence that holds the place of text to come; its parts must follow each other within a line's length."""
-    for end, (_, entries) in lexicon.automaton().iter(squeezed):
+def latin_size(text: str) -> int:
+    """Characters of the lines in pseudo-Latin."""
+    return sum(len(line) for line in text.lower().split("\n") if is_pseudo_latin(line.split()))
+
+
+def filler_size(squeezed: str, hits: list) -> int:
+    """Characters of the sentences that hold the place of text to come; their parts must lie in one or in the one after it."""
+    n = 0
+    for end, (size, entries) in hits:
         for kind, parts in entries:
             if kind == "filler":
                 at = end + 1
+                bound = next((m.end() for m in itertools.islice(_STOP.finditer(squeezed, at), 1, 2)), len(squeezed)) if len(parts) > 1 else at
                 for p in parts[1:]:
-                    at = squeezed.find(p, at, at + 100)
+                    at = squeezed.find(p, at, bound + len(p))
                     if at < 0:
                         break
                     at += len(p)
                 if at >= 0:
-                    return True
-    return False
-
-
-def has_filler_text(text: str) -> bool:
-    """Filler sentences or a line of pseudo-Latin."""
-    low = text.lower()
-    if any(x in low for x in _LATIN_SIGNS) and any(is_pseudo_latin(line.split()) for line in low.split("\n") if len(line) > 20):
-        return True
-    return has_filler(" ".join(low.split()))
+                    n += at - end - 1 + size
+    return n
 
 
 def notice_coverage(lines: list[str]) -> float:
@@ -109,16 +107,35 @@ def notice_coverage(lines: list[str]) -> float:
     return inside / (inside + outside) if inside else 0.0
 
 
+def _hits(text: str) -> tuple[str, list, set[str]]:
+    """The squeezed text, the automaton's hits in it, and their kinds."""
+    squeezed = " ".join(text.lower().split())
+    hits = list(lexicon.automaton().iter(squeezed))
+    return squeezed, hits, {kind for _, (_, entries) in hits for kind, _ in entries}
+
+
+def has_filler_text(text: str) -> bool:
+    """Filler sentences or a line of pseudo-Latin."""
+    squeezed, hits, kinds = _hits(text)
+    return "latin" in kinds and latin_size(text) > 0 or "filler" in kinds and filler_size(squeezed, hits) > 0
+
+
 def judge(text: str | None) -> tuple[str, float] | None:
-    """(reason, coverage) if the text is residue, else None. Reasons: placeholder, filler, notice."""
+    """(reason, coverage) if the text is residue, else None. Reasons: placeholder, filler, notice.
+
+    One pass of the automaton tells which kinds the text can hold at all; the shapes of those are then checked. A
+    placeholder or filler counts wherever it stands (its ``coverage`` is its share of the text's characters), a notice
+    only where it covers at least NOTICE_COVERAGE of the words.
+    """
     if not text:
         return None
-    if has_placeholder(text):
-        return "placeholder", 1.0
-    if has_filler_text(text):
-        return "filler", 1.0
-    lines = text.split("\n")
-    if any(prose.notice_words(s) for s in map(str.strip, lines) if s) and (share := notice_coverage(lines)) >= NOTICE_COVERAGE:
+    squeezed, hits, kinds = _hits(text)
+    if "slot" in kinds and (n := placeholder_size(text)):
+        return "placeholder", round(n / len(text), 4)
+    n = (latin_size(text) if "latin" in kinds else 0) + (filler_size(squeezed, hits) if "filler" in kinds else 0)
+    if n:
+        return "filler", round(min(1.0, n / len(text)), 4)
+    if ("notice" in kinds or "message" in kinds) and (share := notice_coverage(text.split("\n"))) >= NOTICE_COVERAGE:
         return "notice", round(share, 4)
     return None
 

@@ -88,6 +88,18 @@ def test_junk_that_fills_a_language_is_found(spark, words):
     assert not any(r.is_prose for r in quality.prose_quality(docs(spark, same), words).collect())
 
 
+def test_the_score_decides(spark, words, monkeypatch):
+    junk = [doc(i, "\n".join(f"Ab{k} Cd | {k} | {i * 7}" for k in range(6 + i % 5))) for i in range(12)]
+    mixed = [doc(50 + i, f"{PROSE} It is {i}.\n" + "\n".join(["the mill and the road"] * 6)) for i in range(4)]
+    rows = junk + mixed + [doc(100 + i, f"{PROSE} It was so for {i} days.") for i in range(40)]
+    got = {r.doc_id: r for r in quality.prose_quality(docs(spark, rows), words).collect()}
+    assert all(not got[i].is_prose for i in range(12)) and all(got[i].is_prose for i in range(50, 140) if i in got)
+    few = quality.prose_quality(docs(spark, rows), words, tuple(quality.HALF_PROSE)).collect()
+    assert {r.doc_id: (r.is_prose, r.junk_score) for r in few} == {i: (r.is_prose, r.junk_score) for i, r in got.items()}
+    monkeypatch.setattr(quality, "PROSE_SHARE", 2.0)  # without the check the score alone
+    assert {r.doc_id for r in quality.prose_quality(docs(spark, rows), words).collect() if not r.is_prose} == set(range(12))
+
+
 def key(line):
     return "".join(c for c in line.upper().lower() if unicodedata.category(c)[0] in "LM")
 
@@ -189,11 +201,61 @@ def test_main_body(spark):
     rows = spark.createDataFrame([(1, text, "The story of A and B", None, "x"), (2, None, None, PROSE * 2000, "x"), (1, text, None, text, "x")], "item_id long, content string, title string, text string, lines string")
     got = body.boilerplate(rows).collect()
     assert sorted((r.item_id, r.field, len(r.lines)) for r in got) == [(1, "content", 8), (1, "content", 8), (1, "text", 8)]
-    kept = {r.item_id: r.body for r in body.main_body(rows.limit(2)).collect()}
-    assert kept[2] is None and kept[1].split("\n") == [s for i, s in enumerate(PAGE) if i not in (0, 1, 3, 10, 11, 12, 13, 15)]
+    kept = {(r.item_id, r.field): r.body for r in body.main_body(rows.limit(2)).collect()}
+    assert kept[2, "content"] is None and kept[1, "content"].split("\n") == [s for i, s in enumerate(PAGE) if i not in (0, 1, 3, 10, 11, 12, 13, 15)]
+    assert len(kept) == 4 and kept[1, "text"] is None and kept[2, "text"] == PROSE * 2000
     assert body.boilerplate(rows.limit(0)).count() == 0
 
 
+def test_regions_decide(monkeypatch):
+    text = "\n".join(PAGE)
+    for inside in (True, False):
+        monkeypatch.setattr(body, "regions", lambda ratio, kinds: [inside] * len(kinds))
+        assert len(set(body.surrounding_lines(text, PAGE[4])) & {0, 1, 3, 10, 11, 12, 13, 15}) in (0, 8) and body.surrounding_lines(text, PAGE[4]) != [0, 1, 3, 10, 11, 12, 13, 15]
+
+
+def test_unknown_menus_are_found_by_their_place():
+    page = ["Etusivu", "Uutiset", "Urheilu", "Kulttuuri", "Mylly ja tie", "Vanha mylly on kaupungin laidalla, ja tie laaksoon oli talvella poikki lumen takia. Nyt se on auki.", "Se on auki taas ensi viikolla, kun lumi on sulanut ja tie kuivunut.", "Tie B", "Tori C"]
+    assert body.surrounding_lines("\n".join(page)) == [0, 1, 2, 3, 7, 8]
+
+
+def test_pages_of_markup(spark):
+    html = f"<html><head><title>The old mill</title><script>var a = '<p>no</p>';</script></head><body><nav><a href=x>Etusivu</a> <a href=y>Uutiset</a></nav><!-- x --><h1>The old mill</h1><p>{PROSE}<p>{PROSE} <b>Now</b> &amp; then.</p><ul><li>one of the &eacute;ntries<li>two of the entries</ul><aside>Something else here</aside><footer>Nothing of the kind</footer>"
+    rows = spark.createDataFrame([(1, html, "a"), (2, None, "b"), (3, "", "c"), (None, "<p>" + PROSE * 3000, "d")], "page_id long, html string, body string")
+    got = {r.page_id: r.body for r in body.page_bodies(rows).collect()}
+    assert got[1].split("\n") == ["The old mill", PROSE, f"{PROSE} Now & then.", "one of the éntries", "two of the entries"]
+    assert got[2] is None and got[3] == "" and len(got[None]) > 1000 and body.page_bodies(rows.limit(0)).count() == 0
+
+
+EVERYDAY = """Subscribe to our newsletter | Share on Facebook | This website uses cookies to improve your experience. | Related articles | Leave a comment | About / Careers / Press | Follow us on Twitter | Read more | Abonnieren Sie unseren Newsletter | Partager sur Facebook | Deja un comentario | Condividi su Twitter"""
+MESSAGES = """403 Forbidden | Coming soon | Checking your browser before accessing example.com. | You need to enable JavaScript to run this app. | Error 500: internal server error | Page not found | Bad gateway | Sorry, you have been blocked | Just a moment... | Diese Seite existiert nicht | Página en construcción | Too many requests"""
+
+
+@pytest.mark.parametrize("line", EVERYDAY.split(" | "))
+def test_everyday_surroundings(line):
+    assert prose.surrounding(line.replace(" / ", " | "))
+
+
+@pytest.mark.parametrize("line", MESSAGES.split(" | "))
+def test_everyday_messages(line):
+    assert residue.judge(line)[0] == "notice" and residue.judge(f"{PROSE} {PROSE}\n{line}") is None
+
+
+@pytest.mark.parametrize("line", [PROSE, "The library keeps a record of all the cookies that a site sets in a browser, and of what they are for.", "The mill press was sold to a category of people who follow the old ways of the valley."])
+def test_content_is_no_surrounding(line):
+    assert prose.surrounding(line) == 0 and residue.judge(line) is None
+
+
+def test_length_is_no_switch():
+    cookie = "We use cookies and similar technologies on this website. You can view our privacy policy and change your settings. All rights reserved. Subscribe to our newsletter."
+    long = " ".join([cookie] * 12)
+    assert prose.surrounding(cookie) == prose.surrounding(long) == prose.SURROUNDING
+    assert prose.surrounding(f"{PROSE} {PROSE} {PROSE} All rights reserved.") == 0
+    far = "Sample text for " + "the very long name of somebody " * 20 + "please do not publish"
+    assert residue.judge(far)[0] == "filler" and residue.judge("[INSERT " + "X " * 200 + "]")[0] == "placeholder"
+    assert residue.judge("La receta <title> es de ayer")[0] == "placeholder" and residue.judge("The page has <title>a b</title> in it") is None
+
+
 def test_regions_of_markup():
     html = "<nav><a href=x>a</a> <a href=y>b</a> <a href=z>c</a></nav>\n<nav><a href=x>d</a> <a href=x>e</a> <a href=x>f</a></nav>\n" + "\n".join(f"<p>{PROSE}</p>" for _ in range(5)) + "\n<footer><a href=x>a</a><a href=x>b</a><a href=x>c</a></footer>"
     lines = html.split("\n")

@@ -46,6 +46,11 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return repeats.without_repeated_lines(_t(spark, d, "documents"))
 
 
+def p2_clean_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same for lines that are repeated by their letters, near-duplicates left in."""
+    return repeats.without_repeated_lines(_t(spark, d, "documents"), near=False)
+
+
 def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Every field that holds residue, with the reason and the covered share."""
     docs = residue.residue(_t(spark, d, "documents"), "doc_id", ("text",)).select(F.lit("documents").alias("tbl"), "*")
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_tails": p1_tails,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p2_clean_exact": p2_clean_exact,
     "p3_found": p3_found,
     "p3_reasons": p3_reasons,
     "p3_kept": p3_kept,
@@ -157,6 +163,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # Site of a document: its source, else the host of its url.
 _SITE = r"coalesce(nullif(trim(source), ''), nullif(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:@]+)', 1)), ''))"
 
+# Occurrences g of the lines that five documents of a site have.
+_REPEATED = rf"""WITH l AS (
+  SELECT doc_id, {_SITE} AS site, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line
+  FROM documents WHERE text IS NOT NULL
+), k AS (
+  SELECT doc_id, site, line_no, regexp_replace(replace(lower(line), 'ß', 'ss'), '[^\p{{L}}\p{{M}}]+', '', 'g') AS key FROM l WHERE site IS NOT NULL
+), g AS (
+  SELECT doc_id, line_no FROM k WHERE key <> '' AND (site, key) IN (SELECT (site, key) FROM k WHERE key <> '' GROUP BY site, key HAVING count(DISTINCT doc_id) >= 5)
+)"""
+
 ORACLE: dict[str, str] = {
     "p1_tails": """
 WITH w AS (
@@ -167,14 +183,15 @@ WITH w AS (
 SELECT doc_id, stat, round(cume_dist() OVER (PARTITION BY lang, stat ORDER BY v), 9) AS left_tail, round(cume_dist() OVER (PARTITION BY lang, stat ORDER BY v DESC), 9) AS right_tail FROM v
 """,
     "p2_found": rf"""
-WITH l AS (
-  SELECT doc_id, {_SITE} AS site, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line
-  FROM documents WHERE text IS NOT NULL
-), k AS (
-  SELECT doc_id, site, line_no, regexp_replace(replace(lower(line), 'ß', 'ss'), '[^\p{{L}}\p{{M}}]+', '', 'g') AS key FROM l WHERE site IS NOT NULL
-)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM k WHERE key <> '' AND (site, key) IN (
-  SELECT (site, key) FROM k WHERE key <> '' GROUP BY site, key HAVING count(DISTINCT doc_id) >= 5
+{_REPEATED} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM g
+""",
+    "p2_clean_exact": rf"""
+{_REPEATED}, d AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS removed FROM g GROUP BY doc_id), a AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
+), t AS (
+  SELECT a.doc_id, string_agg(line, chr(10) ORDER BY a.line_no) AS text FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.line_no = g.line_no WHERE g.doc_id IS NULL GROUP BY a.doc_id
 )
+SELECT documents.doc_id, CASE WHEN d.removed IS NULL THEN documents.text ELSE coalesce(t.text, '') END AS text, coalesce(d.removed, 0) AS removed
+FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id LEFT JOIN t ON documents.doc_id = t.doc_id
 """,
 }

@@ -131,11 +131,55 @@ def test_repeated_lines_like_brute_force(spark):
     assert repeats.repeated_lines(docs(spark, [])).count() == 0
 
 
-def test_buckets_beyond_the_bound_are_joined(spark, monkeypatch):
-    rows = [doc(i, f"Share this story number {i} with friends\nunique line {chr(97 + i)} of it\nread the full terms of use on the page of our {'new ' if i % 2 else ''}partner before you go on") for i in range(8)]
+def test_large_buckets_are_split(spark, monkeypatch):
+    base = [chr(97 + i % 26) * 3 + chr(97 + i // 26) for i in range(40)]
+    rows = []
+    for i in range(24):
+        own = list(base)
+        own[i % 3] = "z" + chr(97 + i)  # one to three shingles of 36 differ
+        rows.append(doc(i, " ".join(own[::-1] if i % 4 == 3 else own)))
     want = sorted(map(tuple, repeats.line_frequencies(docs(spark, rows)).collect()))
-    monkeypatch.setattr(repeats, "SENT_BUCKETS", 0)
-    assert sorted(map(tuple, repeats.line_frequencies(docs(spark, rows)).collect())) == want and len(want) == 16
+    monkeypatch.setattr(repeats, "GROUP", 2)
+    monkeypatch.setattr(repeats, "HEADS", 2)
+    assert sorted(map(tuple, repeats.line_frequencies(docs(spark, rows)).collect())) == want and {r[2] for r in want} == {18, 6}
+
+
+def test_filter_keeps_its_members(spark):
+    ids = np.random.default_rng(6).integers(-(1 << 62), 1 << 62, 3000)
+    bits = repeats.id_filter(spark.createDataFrame([(int(i),) for i in ids[:1000]], "id long"))
+    hit = repeats._may_be_in(ids, bits)
+    assert hit[:1000].all() and hit[1000:].mean() < 0.01
+
+
+def test_same_letters_in_other_case_are_one_line(spark):
+    rows = [doc(i, s) for i, s in enumerate(["the big cat sat on a mat", "the Big cat sat on a mat", "the big Cat sat on a mat", "the big cat Sat on a mat", "The Big Cat sat on a Mat"])]
+    assert {r.doc_id for r in repeats.repeated_lines(docs(spark, rows)).collect()} == set(range(5))
+
+
+def test_documents_are_counted_not_lines(spark):
+    names = ["Ann", "Bob", "Cid", "Dan", "Eve"]
+    rows = [doc(1, "\n".join(f"the story of {n} is told in the town hall on a quiet day" for n in names)), doc(2, "the story of Fay is told in the town hall on a quiet day")]
+    got = repeats.without_repeated_lines(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.removed) for r in got) == [(1, 0), (2, 0)]
+    rows += [doc(10 + i, f"the story of {n} is told in the town hall on a quiet day") for i, n in enumerate(["Gil", "Hal", "Ida"])]
+    assert sorted((r.doc_id, r.removed) for r in repeats.without_repeated_lines(docs(spark, rows)).collect()) == [(1, 5), (2, 1), (10, 1), (11, 1), (12, 1)]
+
+
+def test_recall_of_near_duplicate_clusters(spark):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows, n = [], 0
+    for site in range(300):
+        base = ["".join(rng.choice(letters, 6)) for _ in range(60)]
+        for k in range(5):
+            own = list(base)
+            if k:  # a word near an end changes two of 56 shingles, one at an end one: similarities of 0.8 and more
+                own[int(rng.integers(0, 3))] = "".join(rng.choice(letters, 7))
+                own[-1 - int(rng.integers(0, 3))] = "".join(rng.choice(letters, 7))
+            rows.append(doc(n, " ".join(own), source=f"s{site}"))
+            n += 1
+    got = repeats.line_frequencies(docs(spark, rows)).where("cluster_docs = 5").count()
+    assert got >= 0.98 * n
 
 
 def test_near_duplicate_lines_are_clustered(spark):

@@ -186,10 +186,17 @@ def test_near_duplicate_lines_are_clustered(spark):
     rows = [doc(i, f"please {'do ' if i % 2 else ''}read the full terms of use on the page of our partner before you go on to buy number {i}") for i in range(6)]
     got = {(r.doc_id, r.line_no): r for r in repeats.line_frequencies(docs(spark, rows)).collect()}
     assert len(got) == 6 and all(r.line_docs == 3 for r in got.values())
-    found = repeats._Hasher(4)
-    a, b = ([found.word(w) for w in s.split()] for s in ("a b c d e f g", "a b c d e f h"))
-    s, n = found.shingles(a + b, np.array([len(a), len(b)]))
-    assert n.tolist() == [3, 3] and len(set(s[:3]) & set(s[3:])) == 2
+    x = repeats.Lines(["a b c d e f g\nA 1\na  B b-c (d) 2 e f 9 H", "A b! C2 d e F g"], np.array([1, 1]))
+    assert x.doc.tolist() == [0, 0, 0, 1] and x.place.tolist() == [0, 1, 2, 0] and x.sizes.tolist() == [7, 0, 6, 4]
+    assert x.key[0] == x.key[3] != x.key[2] and x.line[0] != x.line[3] and x.line[1] == x.key[1]
+    s, n = x.shingles(np.array([0, 2]))
+    assert n.tolist() == [3, 2] and s[0] == s[3] and s[1] == s[4] and s[2] not in s[3:]
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("Straße", "STRASSE", True), ("a\u0301b", "a b", False), ("Σας", "σΑΣ", True), ("x² y", "X Y", True), ("ab", "ba", False), ("𐐀a", "𐐨A", True), ("ﬁn", "FIN", True), ("", "12", True)])
+def test_keys_of_letters(a, b, same):
+    x = repeats.Lines([a, b], np.array([5, 5]))
+    assert (x.key[0] == x.key[1]) == same and (x.has[0] == x.has[1])
 
 
 def test_clusters_are_whole_over_buckets(spark):

@@ -1,9 +1,10 @@
 """Mixed timestamp formats and zones brought to one UTC instant each.
 
-Every value gets all its valid readings; a Viterbi path over each source's records in order then picks one, with
-penalties for switching between day-first and month-first and for going back in time. Sources are cut into blocks of
-bounded length: blocks are summarised by their cost matrices, the matrices are chained, and each block is solved with
-the costs at both its ends, which gives exactly the path over the whole source.
+Every value gets an array of all its valid readings, one a format: day or month first, wall clock of the site or UTC.
+A Viterbi path over each source's records in order then picks the format of each, with penalties for switching formats
+and for going back in time; what is known of a site is the cost of doing otherwise. Sources are cut into blocks of bounded
+length: blocks are summarised by their cost matrices, the matrices are chained, and each block is solved with the costs
+at both its ends, which gives exactly the path over the whole source.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from ..runtime import materialize, running_positions
 
 #: Records of one source that are solved together; longer sources are cut and joined exactly.
 BLOCK = 50_000
-#: Costs: another order of day and month than the record before, an instant before the last one, a value that the order can't read.
-SWITCH, BACKWARD, UNREADABLE = 3.0, 1.0, 8.0
+#: Costs: another order of day and month, or another clock, than at the record before; an instant before the last one; a
+#: value that a format can't read; a reading against the site's known order, or in UTC where the site's zone is known; one
+#: against the usual order beside a 12-hour clock (month first) or between full stops (day first).
+SWITCH, BACKWARD, UNREADABLE, PRIOR, UNUSUAL = 3.0, 1.0, 8.0, 20.0, 1.5
+#: Formats: day or month first, in the site's clock or in UTC.
+FORMATS = ("day first, local", "day first, UTC", "month first, local", "month first, UTC")
 #: Most rows of the table of sites that is sent to the executors.
-MAX_SITES = 1_000_000
-
-_INF = 1e15
+MAX_SITES = 200_000
 
 # Month names and abbreviations in seven languages, in calendar order; a form may serve several languages.
 MONTHS = (
@@ -138,8 +141,20 @@ def _moment(y: int, m: int, d: int, g: dict, tz: str | None) -> int | None:
         return None
 
 
-def readings(value: str | None, tz: str | None) -> tuple[int | None, int | None]:
-    """All readings of a value: (day first, month first) in UTC microseconds; both the same where the order is clear.
+def readings(value: str | None, tz: str | None) -> list[int | None]:
+    """All readings of a value in UTC microseconds: one if all FORMATS agree, two (local, UTC) if only the clock
+    matters, else one a format, None where that format has none; empty if no format reads the value."""
+    local = day_month_readings(value, tz)
+    if local == (None, None):
+        return []
+    utc = local if _zone(tz) is None else day_month_readings(value, None)
+    if local[0] != local[1]:
+        return [local[0], utc[0], local[1], utc[1]]
+    return [local[0]] if utc == local else [local[0], utc[0]]
+
+
+def day_month_readings(value: str | None, tz: str | None) -> tuple[int | None, int | None]:
+    """Readings of a value: (day first, month first) in UTC microseconds; both the same where the order is clear.
 
     Null, blank, relative and impossible values have none. A value without zone is local time of ``tz`` (null: UTC).
     """
@@ -192,29 +207,35 @@ def readings(value: str | None, tz: str | None) -> tuple[int | None, int | None]
 
 _READ = T.StructType([
     T.StructField("grp", T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("known", T.IntegerType()),
-    T.StructField("day_first", T.LongType()), T.StructField("month_first", T.LongType()),
+    T.StructField("readings", T.ArrayType(T.LongType())), T.StructField("usual", T.IntegerType()),
 ])
 
 
+def usual_order(value: str) -> int:
+    """0 if the day usually comes first in numeric dates written so, 1 if the month, -1 if the writing doesn't tell."""
+    m = _NUMERIC.fullmatch(value.strip())
+    return -1 if m is None else 1 if m["ap"] else 0 if m["sep"] == "." else -1
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        first, second = [], []
-        for v, tz in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-            d, m = readings(v, tz)
-            first.append(d)
-            second.append(m)
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=_READ.fieldNames())
+        values = b.column(3).to_pylist()
+        found = [readings(v, tz) for v, tz in zip(values, b.column(4).to_pylist())]
+        usual = [usual_order(v) if len(r) == len(FORMATS) else -1 for v, r in zip(values, found)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.list_(pa.int64())), pa.array(usual, pa.int32())], names=_READ.fieldNames())
 
 
 def interpret(rows: DataFrame, sites: DataFrame, group: str, id_col: str, value_col: str, url_col: str, source_col: str | None, local: bool = True) -> DataFrame:
-    """All readings of one column: (grp, row_id, known, day_first, month_first), rows without a reading left out.
+    """All readings of one column: (grp, row_id, known, readings, usual), rows without a reading left out.
 
-    ``group`` names the column's results; records are grouped by ``source_col`` (by site where None). ``known`` is 0
+    ``group`` names the column's results; a source is a value of ``source_col`` (if any) and a site. ``known`` is 0
     for sites that write the day first, 1 for the month, -1 if the table of sites doesn't tell. With ``local`` a value
     without zone is read in the site's zone, else in UTC. Null ids, urls and sources stay (a null source is a source).
     """
     host = url_site(F.col(url_col))
-    own = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col else F.coalesce(host, F.lit(""))
+    own = F.coalesce(host, F.lit(""))
+    if source_col:
+        own = F.concat(F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.lit("\t"), own)
     picked = rows.select(F.concat(F.lit(group + "\t"), own).alias("grp"), F.col(id_col).cast("long").alias("row_id"), F.col(value_col).cast("string").alias("value"), host.alias("host"))
     known = sites.select(F.lower(F.trim("site")).alias("_site"), F.col("tz").alias("_tz"), F.col("day_order").alias("_order")).dropna(subset=["_site"]).dropDuplicates(["_site"])
     if known.limit(MAX_SITES + 1).count() <= MAX_SITES:
@@ -222,101 +243,145 @@ def interpret(rows: DataFrame, sites: DataFrame, group: str, id_col: str, value_
     joined = picked.where(F.trim("value") != "").join(known, F.col("host") == F.col("_site"), "left")
     order = F.when(F.col("_order") == "dmy", 0).when(F.col("_order") == "mdy", 1).otherwise(-1).cast("int").alias("known")
     read = joined.select("grp", "row_id", order, "value", (F.col("_tz") if local else F.lit(None).cast("string")).alias("tz")).mapInArrow(_read, _READ)
-    return read.where(F.col("day_first").isNotNull() | F.col("month_first").isNotNull())
+    return read.where(F.size("readings") > 0)
+
+
+_N = len(FORMATS)
+#: SWITCH for each of order and clock that differ, format by format.
+_SWITCHES = SWITCH * np.array([[(i // 2 != j // 2) + (i % 2 != j % 2) for j in range(_N)] for i in range(_N)], float)
 
 
 def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Instants (rows x orders), whether they exist, and the cost of each order by itself."""
-    cols = [t.column(c).combine_chunks() for c in ("day_first", "month_first")]
-    at = np.stack([c.fill_null(0).to_numpy(zero_copy_only=False) for c in cols], 1)
-    have = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in cols], 1)
-    known = t.column("known").to_numpy()
+    """Instants (rows x formats), whether they exist, and the cost of each format by itself."""
+    column = t.column("readings").combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten()
+    values, valid = flat.fill_null(0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    place = starts[:, None] + np.where(sizes == _N, np.arange(_N)[:, None], np.where(sizes == 2, (np.arange(_N) % 2)[:, None], 0)).T
+    at, have = values[place], valid[place]
     cost = np.where(have, 0.0, UNREADABLE)
-    cost[known >= 0] = 0.0  # the site's order is certain, even for a value that it makes impossible
-    cost[known == 0, 1] = _INF
-    cost[known == 1, 0] = _INF
+    known = t.column("known").to_numpy()
+    ordered = (sizes == _N) & (known >= 0)
+    cost[ordered[:, None] & (np.arange(_N) // 2 != known[:, None])] += PRIOR
+    usual = t.column("usual").to_numpy()
+    cost[(usual >= 0)[:, None] & (np.arange(_N) // 2 != usual[:, None])] += UNUSUAL
+    clocked = at[:, ::2] != at[:, 1::2]
+    cost[:, 1::2] += PRIOR * clocked
     return at, have, cost
 
 
 def _steps(at: np.ndarray, have: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Cost of going from order i at one record to order j at the next, the next one's own cost included."""
+    """Cost of going from format i at one record to format j at the next, the next one's own cost included."""
     back = (at[1:, None, :] < at[:-1, :, None]) & have[1:, None, :] & have[:-1, :, None]
-    return back * BACKWARD + SWITCH * (1 - np.eye(2)) + cost[1:, None, :]
+    return back * BACKWARD + _SWITCHES + cost[1:, None, :]
+
 
+def _through(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least costs over a then b (... x formats x formats)."""
+    return (a[..., :, :, None] + b[..., None, :, :]).min(axis=-2)
 
-def _chain(steps: np.ndarray, own: np.ndarray) -> list[list[float]]:
-    """Least cost from each order at a block's first record to each order at its last."""
-    m = [[own[0], 2 * _INF], [2 * _INF, own[1]]]
-    for (a, b), (c, d) in steps.tolist():
-        m = [[min(r[0] + a, r[1] + c), min(r[0] + b, r[1] + d)] for r in m]
-    return m
 
+def _chain(steps: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Least cost from each format at a block's first record to each at its last: steps are joined two by two."""
+    start = np.where(np.eye(_N, dtype=bool), own[:, None], 1e15)
+    while len(steps) > 1:
+        even = len(steps) // 2 * 2
+        steps = np.concatenate([_through(steps[:even:2], steps[1:even:2]), steps[even:]])
+    return _through(start, steps[0]) if len(steps) else start
 
-_SUMMARY = "grp string, block long, f0 long, f1 long, h0 boolean, h1 boolean, l0 long, l1 long, g0 boolean, g1 boolean, m00 double, m01 double, m10 double, m11 double"
+
+_SUMMARY = "grp string, block long, first array<long>, first_have array<boolean>, last array<long>, last_have array<boolean>, costs array<double>"
 
 
 def _summarise(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     t = table.sort_by("_before")
     at, have, cost = _arrays(t)
     m = _chain(_steps(at, have, cost), cost[0])
-    names = [x.split()[0] for x in _SUMMARY.split(", ")]
-    row = [t.column("grp")[0].as_py(), t.column("block")[0].as_py(), *at[0].tolist(), *have[0].tolist(), *at[-1].tolist(), *have[-1].tolist(), *m[0], *m[1]]
-    return pa.table({n: [v] for n, v in zip(names, row)})
+    row = [t.column("grp")[0].as_py(), t.column("block")[0].as_py(), at[0].tolist(), have[0].tolist(), at[-1].tolist(), have[-1].tolist(), m.reshape(-1).tolist()]
+    return pa.table({n.split()[0]: [v] for n, v in zip(_SUMMARY.split(", "), row)})
 
 
-_ENDS = "grp string, block long, in0 double, in1 double, out0 double, out1 double"
+_ENDS = "grp string, block long, entry array<double>, leave array<double>"
 
 
 def _ends(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Costs that reach each block of one source from before and from after it."""
     rows = table.sort_by("block").to_pylist()
-
-    def link(a: dict, b: dict) -> list[list[float]]:
-        last, first = [(a["l0"], a["g0"]), (a["l1"], a["g1"])], [(b["f0"], b["h0"]), (b["f1"], b["h1"])]
-        return [[(SWITCH if i != j else 0.0) + (BACKWARD if last[i][1] and first[j][1] and first[j][0] < last[i][0] else 0.0) for j in (0, 1)] for i in (0, 1)]
-
-    into, cost = [[0.0, 0.0]], [0.0, 0.0]
+    costs = [np.array(r["costs"]).reshape(_N, _N) for r in rows]
+    links = []
     for a, b in zip(rows, rows[1:]):
-        m = [[a["m00"], a["m01"]], [a["m10"], a["m11"]]]
-        end = [min(cost[i] + m[i][j] for i in (0, 1)) for j in (0, 1)]
-        step = link(a, b)
-        cost = [min(end[i] + step[i][j] for i in (0, 1)) for j in (0, 1)]
-        low = min(cost)
-        cost = [c - low for c in cost]
-        into.append(cost)
-    out, cost = [[0.0, 0.0]], [0.0, 0.0]
-    for a, b in zip(rows[-2::-1], rows[:0:-1]):
-        m = [[b["m00"], b["m01"]], [b["m10"], b["m11"]]]
-        start = [min(m[i][j] + cost[j] for j in (0, 1)) for i in (0, 1)]
-        step = link(a, b)
-        cost = [min(step[i][j] + start[j] for j in (0, 1)) for i in (0, 1)]
-        low = min(cost)
-        cost = [c - low for c in cost]
-        out.append(cost)
-    out.reverse()
-    return pa.table({"grp": [r["grp"] for r in rows], "block": pa.array([r["block"] for r in rows], pa.int64()), "in0": [x[0] for x in into], "in1": [x[1] for x in into], "out0": [x[0] for x in out], "out1": [x[1] for x in out]})
+        pair = np.array([a["last"], b["first"]]), np.array([a["last_have"], b["first_have"]])
+        links.append(_steps(*pair, np.zeros((2, _N)))[0])
+    entry = [np.zeros(_N)]
+    for m, link in zip(costs, links):
+        end = (entry[-1][:, None] + m).min(axis=0)
+        into = (end[:, None] + link).min(axis=0)
+        entry.append(into - into.min())
+    leave = [np.zeros(_N)]
+    for m, link in zip(costs[:0:-1], links[::-1]):
+        start = (m + leave[-1]).min(axis=1)
+        out = (link + start).min(axis=1)
+        leave.append(out - out.min())
+    leave.reverse()
+    return pa.table({"grp": [r["grp"] for r in rows], "block": pa.array([r["block"] for r in rows], pa.int64()), "entry": [x.tolist() for x in entry], "leave": [x.tolist() for x in leave]})
 
 
 _PICKED = "grp string, row_id long, utc string"
 
 
+def _path(at: np.ndarray, have: np.ndarray, cost: np.ndarray, entry: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """The cheapest format of each record; ties keep the format, then take the first."""
+    n = len(at)
+    # Records that all formats read alike take part only as neighbours in time: the path is sought over the others.
+    clear = (at == at[:, :1]).all(axis=1) & have.all(axis=1) & (cost == cost[:, :1]).all(axis=1)
+    before = np.zeros((n, _N))
+    before[1:] = BACKWARD * ((at[1:] < at[:-1]) & have[1:] & have[:-1])  # exact where the record before is clear
+    after = np.zeros((n, _N))
+    after[:-1] = BACKWARD * ((at[1:] < at[:-1]) & have[1:] & have[:-1])  # exact where the next one is clear
+    open_ = np.flatnonzero(~clear)
+    path = np.zeros(n, np.int64)
+    if not len(open_):
+        path[:] = int(np.argmin(entry + leave))
+        return path
+    prev_clear = np.ones(n, bool)
+    prev_clear[1:] = clear[:-1]
+    next_clear = np.ones(n, bool)
+    next_clear[:-1] = clear[1:]
+    node = cost + np.where(prev_clear[:, None], before, 0.0) + np.where(next_clear[:, None], after, 0.0)
+    costs = (entry if open_[0] == 0 else (entry[:, None] + _SWITCHES).min(axis=0)) + node[open_[0]]
+    cur = costs.tolist()
+    came: list[list[int]] = []
+    a, b = open_[:-1], open_[1:]
+    pairs = BACKWARD * ((at[b][:, None, :] < at[a][:, :, None]) & have[b][:, None, :] & have[a][:, :, None]) + _SWITCHES
+    apart = np.diff(open_) > 1
+    pairs[apart] = _SWITCHES
+    pairs = pairs + node[b][:, None, :]
+    for step in pairs.tolist():
+        new, back = [], []
+        for j in range(_N):
+            best, by = cur[j] + step[j][j], j
+            for i in range(_N):
+                if (x := cur[i] + step[i][j]) < best:
+                    best, by = x, i
+            new.append(best)
+            back.append(by)
+        cur = new
+        came.append(back)
+    end = leave if open_[-1] == n - 1 else (_SWITCHES + leave).min(axis=1)
+    state = int(np.argmin(np.array(cur) + end))
+    for k in range(len(open_) - 1, -1, -1):
+        path[open_[k]] = state
+        if k:
+            state = came[k - 1][state]
+    return path
+
+
 def _solve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     t = table.sort_by("_before")
     at, have, cost = _arrays(t)
-    entry = [(t.column(c)[0].as_py() or 0.0) for c in ("in0", "in1")]
-    leave = [(t.column(c)[0].as_py() or 0.0) for c in ("out0", "out1")]
-    c0, c1 = entry[0] + cost[0, 0], entry[1] + cost[0, 1]
-    came: list[tuple[bool, bool]] = []
-    for (a, b), (c, d) in _steps(at, have, cost).tolist():
-        x0, y0, x1, y1 = c0 + a, c1 + c, c0 + b, c1 + d
-        came.append((y0 < x0, y1 <= x1))  # ties keep the order
-        c0, c1 = min(x0, y0), min(x1, y1)
-    state = 0 if c0 + leave[0] <= c1 + leave[1] else 1
-    path = np.empty(len(at), np.int64)
-    path[-1] = state
-    for k in range(len(came) - 1, -1, -1):
-        state = int(came[k][state])
-        path[k] = state
+    ends = [np.array(t.column(c)[0].as_py() or [0.0] * _N) for c in ("entry", "leave")]
+    path = _path(at, have, cost, *ends)
     r = np.arange(len(at))
     ok = have[r, path]
     text = np.char.add(np.datetime_as_string(at[r, path][ok].astype("datetime64[us]"), unit="us"), "Z")
@@ -327,17 +392,19 @@ def _solve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def choose(read: DataFrame, block: int = BLOCK) -> DataFrame:
     """One reading of each value: (grp, row_id, utc), ``utc`` as ``YYYY-MM-DDTHH:MM:SS.ffffffZ``.
 
-    Where the site's order is known it holds, and a value it makes impossible gives no row. Repeated rows are records
-    of their own; an empty table gives an empty result.
+    All that decides are the costs on top of this module: PRIOR outweighs what order and time can say about a value, so
+    where the site's order is known it holds, and a value it makes impossible gives no row. Repeated rows are records of
+    their own; an empty table gives an empty result.
     """
     placed = running_positions(materialize(read, "readings"), ["grp"], ["row_id"], "reading-positions")
     placed = materialize(placed.withColumn("block", F.floor(F.col("_before") / F.lit(block))), "reading-blocks")
     many = placed.where(F.col("_total") > block)
-    narrow = ["grp", "block", "_before", "known", "day_first", "month_first"]
+    narrow = ["grp", "block", "_before", "known", "readings", "usual"]
     summary = many.select(*narrow).groupBy("grp", "block").applyInArrow(_summarise, _SUMMARY)
     # One row a block of a long source.
     ends = materialize(summary.groupBy("grp").applyInArrow(_ends, _ENDS), "block-ends")
-    ends = ends.select(F.col("grp").alias("_g"), F.col("block").alias("_b"), "in0", "in1", "out0", "out1")
-    alone = placed.where(F.col("_total") <= block).select("row_id", *narrow, *[F.lit(0.0).alias(c) for c in ("in0", "in1", "out0", "out1")])
-    cut = many.join(ends, (F.col("grp") == F.col("_g")) & (F.col("block") == F.col("_b"))).select("row_id", *narrow, "in0", "in1", "out0", "out1")
+    ends = ends.select(F.col("grp").alias("_g"), F.col("block").alias("_b"), "entry", "leave")
+    nothing = [F.lit(None).cast("array<double>").alias(c) for c in ("entry", "leave")]
+    alone = placed.where(F.col("_total") <= block).select("row_id", *narrow, *nothing)
+    cut = many.join(ends, (F.col("grp") == F.col("_g")) & (F.col("block") == F.col("_b"))).select("row_id", *narrow, "entry", "leave")
     return alone.unionByName(cut).groupBy("grp", "block").applyInArrow(_solve, _PICKED)

@@ -28,20 +28,20 @@ def iso(us):
     ],
 )
 def test_clear_values(value, tz, expected):
-    a, b = ts.readings(value, tz)
+    a, b = ts.day_month_readings(value, tz)
     assert a == b and iso(a) == expected
 
 
 def test_ambiguous_values():
-    assert [iso(x) for x in ts.readings("03/04/2024", None)] == ["2024-04-03T00:00:00", "2024-03-04T00:00:00"]
-    assert [iso(x) for x in ts.readings("25.12.24", None)] == ["2024-12-25T00:00:00", None]
-    assert ts.readings("31/31/2022", None) == (None, None)
+    assert [iso(x) for x in ts.day_month_readings("03/04/2024", None)] == ["2024-04-03T00:00:00", "2024-03-04T00:00:00"]
+    assert [iso(x) for x in ts.day_month_readings("25.12.24", None)] == ["2024-12-25T00:00:00", None]
+    assert ts.day_month_readings("31/31/2022", None) == (None, None)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="0123456789-/:. TZWaeJnuprsmd+,", max_size=30))
 def test_never_crashes(value):
-    ts.readings(value, "Europe/Paris")
+    ts.day_month_readings(value, "Europe/Paris")
 
 
 @settings(max_examples=100, deadline=None)
@@ -49,7 +49,26 @@ def test_never_crashes(value):
 def test_round_trip(moment):
     us = (moment - datetime(1970, 1, 1)) // timedelta(microseconds=1)
     for text in (moment.isoformat() + "Z", moment.strftime("%Y/%m/%d %H:%M:%S.%f") + " UTC"):
-        assert ts.readings(text, "Asia/Tokyo") == (us, us)
+        assert ts.day_month_readings(text, "Asia/Tokyo") == (us, us)
+
+
+def test_arrays_of_readings():
+    assert [iso(x) for x in ts.readings("03/04/2024", "Asia/Tokyo")] == ["2024-04-02T15:00:00", "2024-04-03T00:00:00", "2024-03-03T15:00:00", "2024-03-04T00:00:00"]
+    assert [iso(x) for x in ts.readings("2024-03-04", "Asia/Tokyo")] == ["2024-03-03T15:00:00", "2024-03-04T00:00:00"]
+    assert [iso(x) for x in ts.readings("25/12/2024", None)] == ["2024-12-25T00:00:00"] * 2 + [None] * 2
+    assert len(ts.readings("2024-03-04", None)) == len(ts.readings("2024-03-04T00:00:00Z", "Asia/Tokyo")) == 1
+    assert ts.readings("31/31/2022", "Asia/Tokyo") == ts.readings(None, None) == []
+
+
+def test_the_path_decides(spark, monkeypatch):
+    rows = [(i, v, u, "s", None, None, None) for i, (v, u) in enumerate([("03/04/2024", "http://a.example/"), ("2024-01-01", "http://a.example/"), ("25/12/2024", "http://b.example/")])]
+    want = run(spark, rows)
+    assert want == {0: "2024-04-02T22:00:00.000000Z", 1: "2023-12-31T23:00:00.000000Z"}
+    read = [ts.readings("03/04/2024", "Europe/Berlin")]
+    at, have, cost = ts._arrays(ts.pa.table({"readings": ts.pa.array(read, ts.pa.list_(ts.pa.int64())), "known": ts.pa.array([0], ts.pa.int32()), "usual": ts.pa.array([-1], ts.pa.int32())}))
+    assert cost.tolist() == [[0.0, ts.PRIOR, ts.PRIOR, 2 * ts.PRIOR]] and have.all()
+    free = ts.np.zeros(4)
+    assert ts._path(at, have, cost, free, free).tolist() == [0] and ts._path(at, have, cost * 0, free, ts.np.array([9.0, 9.0, 9.0, 0.0])).tolist() == [3]
 
 
 SITES = [("a.example", "Europe/Berlin", "dmy"), ("b.example", "America/New_York", "mdy"), (None, None, None)]
@@ -74,7 +93,7 @@ def test_site_order_zone_and_odd_input(spark):
 
 def best_path(values):
     """Brute force over all assignments of an order to each record of a site that isn't known."""
-    read = [ts.readings(v, None) for v in values]
+    read = [ts.day_month_readings(v, None) for v in values]
     read = [r for r in read if r != (None, None)]
     best = None
     for path in itertools.product((0, 1), repeat=len(read)):
@@ -87,7 +106,7 @@ def best_path(values):
 
 def cost_of(values, got):
     """The least cost of a path that gives these instants."""
-    read = [r for r in (ts.readings(v, None) for v in values) if r != (None, None)]
+    read = [r for r in (ts.day_month_readings(v, None) for v in values) if r != (None, None)]
     best = None
     for path in itertools.product((0, 1), repeat=len(read)):
         if [iso(r[p]) for r, p in zip(read, path) if r[p] is not None] != [datetime.fromisoformat(g[:-1]).isoformat() for g in got]:
@@ -111,6 +130,12 @@ def test_blocks_give_the_best_path(spark, block):
         assert cost_of(vs, [got[i] for i in sorted(got) if i // 100 == g]) == pytest.approx(best_path(vs))
 
 
+def test_writing_decides_where_nothing_else_does(spark):
+    got = run(spark, [(1, "03/04/2024 5:05 PM", "http://unknown.example/", "s", None, None, None), (2, "03.04.2024", "http://unknown.example/", "t", None, None, None)])
+    assert got == {1: "2024-03-04T17:05:00.000000Z", 2: "2024-04-03T00:00:00.000000Z"}
+    assert [ts.usual_order(v) for v in ("03/04/2024", "03.04.24", "3/4/2024 1:02 am", "2024-03-04")] == [-1, 0, 1, -1]
+
+
 def test_evidence_in_a_source_decides(spark):
     vs = ["25/03/2024", "04/05/2024", "05/06/2024", "26/07/2024"]
     got = run(spark, [(i, v, "http://unknown.example/", "s", None, None, None) for i, v in enumerate(vs)])

@@ -66,16 +66,39 @@ def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     return out
 
 
+def block_quotas(held: dict[str, int], wanted: dict[str, tuple[float, int]], total: int, block_tokens: int = BLOCK_TOKENS) -> dict[str, int]:
+    """Blocks of each source: ``held`` tokens by source, ``wanted`` weights and repeats, ``total`` tokens to give out."""
+    names = sorted(s for s in held if s in wanted and held[s] > 0)
+    caps = [-(-wanted[s][1] * held[s] // block_tokens) for s in names]
+    return dict(zip(names, apportion([wanted[s][0] for s in names], caps, int(total / block_tokens + 0.5))))
+
+
+def attainable_shares(held: dict[str, int], wanted: dict[str, tuple[float, int]], total: int) -> dict[str, float]:
+    """The shares of a mixture without rounding: in proportion to the weights, but no source above its repeats."""
+    left, out = float(total), dict.fromkeys(wanted, 0.0)
+    open_ = {s for s in wanted if held.get(s, 0) > 0}
+    while open_:
+        unit = left / sum(wanted[s][0] for s in open_)
+        full = {s for s in open_ if wanted[s][1] * held[s] <= unit * wanted[s][0]}
+        for s in full or open_:
+            out[s] = float(wanted[s][1] * held[s]) if full else unit * wanted[s][0]
+            left -= out[s]
+        open_ = open_ - full if full else set()
+    reached = sum(out.values())
+    return {s: x / reached if reached else 0.0 for s, x in out.items()}
+
+
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", url_col: str = "url", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The documents of a mixture: ``doc_id``, ``source``, ``n_tokens``, ``copies`` (at least 1).
 
     ``source`` is the document's own or, where null, the host of its url. The mixture has about ``total_tokens`` (by
-    default what the targeted sources hold). Each source's documents, in seeded order within its shards, are cut into
-    blocks of equal tokens (a document belongs to the block its middle falls into). Blocks are the seats: they go
-    to sources by weight up to ``max_repeats`` times their number, then to a source's shards by their number of
-    blocks; within a shard every block is taken equally often, a seeded run of them once more. Sources without target,
-    targets without documents, texts without tokens and null texts give no rows. Repeated rows are separate documents.
-    No step holds more than a shard's narrow rows in order; one source may hold any share of all documents.
+    default what the targeted sources hold). Each source's documents, in seeded order within its shards, are a row of
+    tokens cut into blocks of ``block_tokens``. Blocks are the seats: they go to sources by weight up to ``max_repeats``
+    times what they hold, then to a source's shards by their tokens. A shard's quota of blocks is as many whole rounds
+    of its documents as fit, and from the beginning of the row the documents whose middle lies in the blocks that are
+    left: so a shard is off its quota by half a document at most. Sources without target, targets without documents,
+    texts without tokens and null texts give no rows. Repeated rows are separate documents. No step holds more than a
+    shard's narrow rows in order; one source may hold any share of all documents.
     """
     wanted = read_targets(targets)
     spark = docs.sparkSession
@@ -86,32 +109,28 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     sizes = sizes.join(F.broadcast(goal.select("source")), "source", "left_semi")
     held = {r["source"]: r["t"] for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     total_held = sum(held.values())
-    total = total_held if total_tokens is None else total_tokens
+    quotas = block_quotas(held, wanted, total_held if total_tokens is None else total_tokens, block_tokens)
     per_shard = max(SHARD_TOKENS, -(-total_held // MAX_SHARDS))
     shards = spark.createDataFrame([(s, max(1, -(-t // per_shard))) for s, t in held.items()], "source string, shards long")
     own = F.xxhash64(F.lit(seed), F.col("doc_id"))
     rows = sizes.join(F.broadcast(shards), "source").withColumn("shard", F.pmod(own, F.col("shards"))).withColumn("at", F.xxhash64(F.lit(seed + 1), F.col("doc_id"))).drop("shards")
     order = Window.partitionBy("source", "shard").orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("block", F.floor((F.sum("n_tokens").over(order) - F.col("n_tokens") / 2) / F.lit(block_tokens)))
-    blocked = materialize(rows.select("doc_id", "source", "shard", "n_tokens", "block"), "mix-blocks")
+    placed = materialize(rows.withColumn("end", F.sum("n_tokens").over(order)).select("doc_id", "source", "shard", "n_tokens", "end"), "mix-places")
     # One row a shard: at most MAX_SHARDS and the number of targets.
-    per = blocked.groupBy("source", "shard").agg(F.ceil(F.sum("n_tokens") / F.lit(block_tokens)).alias("blocks"), F.sum("n_tokens").alias("tokens")).orderBy("source", "shard").collect()
+    per = placed.groupBy("source", "shard").agg(F.max("end").alias("tokens")).orderBy("source", "shard").collect()
     by_source: dict[str, list] = {}
     for r in per:
         by_source.setdefault(r["source"], []).append(r)
-    names = list(by_source)
-    quotas = apportion([wanted[s][0] for s in names], [wanted[s][1] * sum(r["blocks"] for r in by_source[s]) for s in names], round(total / block_tokens))
     plan = []
-    for s, q in zip(names, quotas):
-        repeats = wanted[s][1]
-        for r, own_q in zip(by_source[s], apportion([float(r["blocks"]) for r in by_source[s]], [r["blocks"] * repeats for r in by_source[s]], q)):
-            plan.append((s, r["shard"], r["blocks"], own_q))
-    quota = F.broadcast(spark.createDataFrame(plan, "source string, shard long, blocks long, quota long"))
-    rows = blocked.join(quota, ["source", "shard"])
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("shard")), F.col("blocks"))
-    extra = F.pmod(F.col("block") + start, F.col("blocks")) < F.col("quota") % F.col("blocks")
-    copies = (F.floor(F.col("quota") / F.col("blocks")) + extra.cast("long")).cast("int").alias("copies")
-    return rows.select("doc_id", "source", "n_tokens", copies).where(F.col("copies") > 0)
+    for s, own_shards in by_source.items():
+        caps = [-(-r["tokens"] * wanted[s][1] // block_tokens) for r in own_shards]
+        for r, q in zip(own_shards, apportion([float(r["tokens"]) for r in own_shards], caps, quotas[s])):
+            given = min(q * block_tokens, r["tokens"] * wanted[s][1])
+            plan.append((s, r["shard"], given // r["tokens"], given % r["tokens"]))
+    quota = F.broadcast(spark.createDataFrame(plan, "source string, shard long, rounds long, rest long"))
+    extra = (F.col("end") - F.col("n_tokens") / 2 < F.col("rest")).cast("int")
+    rows = placed.join(quota, ["source", "shard"]).select("doc_id", "source", "n_tokens", (F.col("rounds") + extra).cast("int").alias("copies"))
+    return rows.where(F.col("copies") > 0)
 
 
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

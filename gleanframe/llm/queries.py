@@ -114,6 +114,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(mixing.mix(_t(spark, d, "documents"), targets), targets)
 
 
+def p7_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 256 characters that each source gets: the apportionment alone, over sizes that SQL can tell."""
+    docs = _t(spark, d, "documents").select(repeats.site_of(F.col("source"), F.col("url")).alias("source"), F.length("text").alias("n"))
+    wanted = mixing.read_targets(_t(spark, d, "mix_targets"))
+    goal = spark.createDataFrame([(s,) for s in wanted], "source string")
+    held = {r["source"]: r["t"] for r in docs.join(F.broadcast(goal), "source").groupBy("source").agg(F.sum("n").alias("t")).where("t > 0").collect()}
+    quotas = mixing.block_quotas(held, wanted, sum(held.values()))
+    return spark.createDataFrame([(s, q) for s, q in quotas.items() if q], "source string, quota long")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = body.boilerplate(_t(spark, d, "content_items"))
     return found.select("item_id", "field", F.explode("lines").alias("line_no"))
@@ -156,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_quotas": p7_quotas,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }
@@ -193,5 +204,13 @@ SELECT doc_id, stat, round(cume_dist() OVER (PARTITION BY lang, stat ORDER BY v)
 )
 SELECT documents.doc_id, CASE WHEN d.removed IS NULL THEN documents.text ELSE coalesce(t.text, '') END AS text, coalesce(d.removed, 0) AS removed
 FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id LEFT JOIN t ON documents.doc_id = t.doc_id
+""",
+    "p7_quotas": rf"""
+WITH h AS (SELECT {_SITE} AS source, sum(length(text)) AS t FROM documents GROUP BY ALL HAVING sum(length(text)) > 0),
+g AS (SELECT h.source, weight, t, CAST(ceil(max_repeats * t / 256.0) AS BIGINT) AS cap FROM h JOIN mix_targets m ON h.source = m.source WHERE weight > 0 AND max_repeats > 0),
+n AS (SELECT CAST(floor(sum(t) / 256.0 + 0.5) AS BIGINT) AS seats FROM g),
+q AS (SELECT source, weight / (2 * k + 1) AS v FROM (SELECT source, weight, unnest(range(least(cap, seats))) AS k FROM g, n)),
+r AS (SELECT source, row_number() OVER (ORDER BY v DESC, source) AS place FROM q)
+SELECT source, count(*) AS quota FROM r, n WHERE place <= seats GROUP BY source
 """,
 }

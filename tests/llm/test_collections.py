@@ -138,6 +138,27 @@ def test_mix(spark, corpus):
     assert mixing.mix(corpus, targets.limit(0)).count() == 0
 
 
+def test_shares_are_what_can_be_reached(spark, corpus):
+    """Every source is within one of its documents of the share that weights and repeats allow."""
+    for repeats_, total in ((2, None), (3, 60_000), (1, 9_000)):
+        targets = spark.createDataFrame([("a", 0.5, repeats_), ("b", 0.3, repeats_), ("c", 0.2, 1)], "source string, weight double, max_repeats int")
+        wanted = mixing.read_targets(targets)
+        mixed = mixing.mix(corpus, targets, total_tokens=total)
+        all_docs = mixing.mix(corpus, targets, total_tokens=10**8).toPandas()
+        held = {k: int(v) for k, v in all_docs.groupby("source").n_tokens.sum().items()}
+        longest = all_docs.groupby("source").n_tokens.max()
+        want = mixing.attainable_shares(held, wanted, total or sum(held.values()))
+        reached = {r.source: r for r in mixing.mix_shares(mixed, targets).collect()}
+        size = sum(r.tokens for r in reached.values())
+        for s, r in reached.items():
+            assert abs(r.share - want[s]) * size <= longest[s] + mixing.BLOCK_TOKENS and r.most_copies <= wanted[s][1]
+
+
+def test_attainable_shares():
+    got = mixing.attainable_shares({"a": 100, "b": 1000, "d": 0}, {"a": (0.5, 1), "b": (0.5, 5), "c": (0.1, 1), "d": (0.2, 1)}, 1000)
+    assert got == {"a": pytest.approx(0.1), "b": pytest.approx(0.9), "c": 0.0, "d": 0.0} and mixing.attainable_shares({}, {}, 10) == {}
+
+
 def test_labels(spark):
     rows = ["en_GB", "English", "eng", " DE ", "es-419", "Français", "??", "", None, "und", "unknown", "english-ish words", "nl-BE"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v string").orderBy("i")

@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import settings as settings_module
 from ..functions import urls
 from ..operators import extract, frontier, links, robots, sitemap
 from ..operators.filters import Filter
-from ..runtime import ship
+from ..runtime import ship, small_or_plain
 from ..schema import spark_type
 from ..settings import Settings
 from ..sources import corpus
 
 
+#: Strategies of extraction beside the built-in ones: pages and settings to rows with ``url``.
+STRATEGIES: dict[str, Callable[[DataFrame, Settings], DataFrame]] = {}
+
+
+def register_strategy(name: str, extract_pages: Callable[[DataFrame, Settings], DataFrame]) -> None:
+    """Add a strategy, or put another in its place; settings then accept its name."""
+    STRATEGIES[name] = extract_pages
+    settings_module.OWN_STRATEGIES.add(name)
+
+
 #: Times the limit at which a walk over sitemaps that nothing filters ends.
 OVERFETCH = 3
 
@@ -62,6 +73,8 @@ class Engine:
 
     def _extract(self, pages: DataFrame) -> DataFrame:
         s = self.settings
+        if (own := STRATEGIES.get(s.scraping_strategy)) is not None:
+            return own(pages, s)
         skip = list(s.exclude_selectors or ())
         if s.scraping_strategy == "markdownify":
             return extract.markdownify(pages, skip)
@@ -96,8 +109,9 @@ class SiteMap(Engine):
             if rows.isEmpty():
                 rows = None
         if rows is None and m.html_fallback and self.pages is not None:
-            found = frontier.html_fallback(self.pages, seed.select(F.col("base").alias("url")), m.max_depth, m.max_pages)
-            rows = found.select("url", F.lit("html_crawl").alias("source"), F.lit(None).cast("string").alias("lastmod"), "depth", F.lit(0).alias("pos"))
+            rules = own_robots if m.respect_robots else None
+            found = frontier.html_fallback(self.pages, seed.select(F.col("base").alias("url")), m.max_depth, m.max_pages, rules)
+            rows = found.select("url", F.lit("html_crawl").alias("source"), F.lit(None).cast("string").alias("lastmod"), "depth", F.col("seq").alias("pos"))
         if rows is None:
             return self.spark.createDataFrame([], "url string")
         order = ["depth", "source", "pos", "url"]
@@ -117,7 +131,7 @@ class LinkExtractor(Engine):
         s = self.settings
         include, exclude = list(s.include_link_patterns or ()), list(s.exclude_link_patterns or ())
         if s.link_extraction_strategy == "shallow":
-            own = self.pages.join(F.broadcast(self._seeds(url)), "url", "left_semi")
+            own = self.pages.join(small_or_plain(self._seeds(url)), "url", "left_semi")
             return links.shallow_links(own, include, exclude, s.link_extraction_limit, "url").select(F.col("link").alias("url"))
         return frontier.deep_links(self.pages, self._seeds(url), include, exclude, s.link_extraction_limit).select("url")
 
@@ -148,9 +162,8 @@ class Crawler(Engine):
         """Content rows beside their address; the limit counts pages that pass the filter."""
         self._ensure_open()
         s = self.settings
-        content = extract.wrap_crawl(self._extract(self.pages))
         n = s.link_extraction_limit if limit is None else limit
-        found = frontier.crawl(self.pages, self._seeds(url), content, filters, list(s.include_link_patterns or ()), list(s.exclude_link_patterns or ()), n)
+        found = frontier.crawl(self.pages, self._seeds(url), lambda visited: extract.wrap_crawl(self._extract(visited)), filters, list(s.include_link_patterns or ()), list(s.exclude_link_patterns or ()), n)
         return found.drop("depth")
 
     def stream(self, url: str | Sequence[str], filters: Filter | None = None) -> Iterator[Row]:

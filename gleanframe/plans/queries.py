@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from ..functions import text, urls
 from ..functions.dates import in_range, lastmod_date
 from ..operators import dedupe, extract, filters, frontier, links, metrics, robots, sitemap, timestamps
 from ..runtime import materialize, scratch
-from ..sinks.files import union_keys
+from ..sinks.files import union_keys, write_jsonl
 from ..sources import corpus
 from ..streaming import results
 
@@ -136,6 +138,19 @@ def links_shallow(spark, d):
     return links.shallow_links(table(spark, d, "pages"))
 
 
+@query("shallow_limit", f"""WITH {_LINKS}, l AS (SELECT page_id, page_url, pos, href, {_DEFRAG.format("link")} AS link FROM links),
+s AS (SELECT page_id, link, min(pos) AS pos FROM l WHERE href NOT ILIKE 'mailto:%' AND href NOT ILIKE 'javascript:%' AND {_part("link", 2)} = {_part("page_url", 2)} AND regexp_replace(link, '/+$', '') <> regexp_replace(page_url, '/+$', '') GROUP BY page_id, link)
+SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS r FROM s) WHERE r <= 3""")
+def shallow_limit(spark, d):
+    return links.shallow_links(table(spark, d, "pages"), limit=3)
+
+
+@query("links_exclude", f"SELECT record_id FROM url_records WHERE NOT {_part('url', 3)} GLOB '*.html' AND NOT {_part('url', 3)} GLOB '/[a-d]*'")
+def links_exclude(spark, d):
+    u = F.col("url")
+    return links.in_scope(table(spark, d, "url_records"), urls.origin(u), None, ["*.html", "/[a-d]*"], "url").select("record_id")
+
+
 @query("links_include", f"SELECT record_id FROM url_records WHERE {_part('url', 3)} GLOB '/en/*' OR {_part('url', 3)} GLOB '*/202[!4]/*'")
 def links_include(spark, d):
     u = F.col("url")
@@ -256,6 +271,82 @@ def sitemap_tree(spark, d):
     return frontier.traverse(tree, roots).select("url", "depth")
 
 
+def _tree_pages(spark, d):
+    """Pages of a tree, each with links to the ones below in order: regions, nations, customers; orders aren't held."""
+    base = "http://tree.example/"
+
+    def level(t: str, key: str, mark: str, name: str, below: str, up: str, child: str, mark_below: str) -> DataFrame:
+        under = table(spark, d, below).groupBy(F.col(up).alias("k")).agg(F.array_sort(F.collect_list(child)).alias("c"))
+        rows = table(spark, d, t).join(under, F.col(key) == F.col("k"), "left")
+        anchors = F.array_join(F.transform("c", lambda c: F.concat(F.lit(f'<a href="/{mark_below}'), c, F.lit('">x</a>'))), "")
+        html = F.concat(F.lit("<html><title>"), name, F.lit("</title><body>"), F.coalesce(anchors, F.lit("")), F.lit("</body></html>"))
+        return rows.select(F.col(key).cast("long").alias("page_id"), F.concat(F.lit(base + mark), key).alias("url"), html.alias("html"))
+
+    customers = level("customer", "c_custkey", "c", "c_name", "orders", "o_custkey", "o_orderkey", "o")
+    return level("region", "r_regionkey", "r", "r_name", "nation", "n_regionkey", "n_nationkey", "n").unionByName(level("nation", "n_nationkey", "n", "n_name", "customer", "c_nationkey", "c_custkey", "c")).unionByName(customers)
+
+
+def _seed(spark, url: str) -> DataFrame:
+    return spark.createDataFrame([(url,)], "url string")
+
+
+_TREE = """t AS (
+  SELECT 'n' || n_nationkey AS node, 1 AS depth, 'r' || n_regionkey AS parent, n_nationkey AS pos, n_name AS title FROM nation WHERE n_regionkey = 0
+  UNION ALL SELECT 'c' || c_custkey, 2, 'n' || c_nationkey, c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0
+  UNION ALL SELECT 'o' || o_orderkey, 3, 'c' || o_custkey, o_orderkey, NULL FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0)"""
+
+
+@query("deep_links_limit", f"WITH {_TREE} SELECT 'http://tree.example/' || node AS url, depth FROM (SELECT * FROM t ORDER BY depth, parent, pos LIMIT 400)")
+def deep_links_limit(spark, d):
+    """The first 400 links from one seed, over three levels."""
+    return frontier.deep_links(_tree_pages(spark, d), _seed(spark, "http://tree.example/r0"), limit=400)
+
+
+@query("deep_links_tree", f"WITH {_TREE} SELECT 'http://tree.example/' || node AS url, depth FROM t")
+def deep_links_tree(spark, d):
+    """All links from one seed, over three levels."""
+    return frontier.deep_links(_tree_pages(spark, d), _seed(spark, "http://tree.example/r0"))
+
+
+@query("crawl_bfs_limit", f"WITH {_TREE} SELECT 'http://tree.example/' || node AS url, title FROM (SELECT * FROM t WHERE title LIKE '%1%' ORDER BY depth, parent, pos LIMIT 100)")
+def crawl_bfs_limit(spark, d):
+    """The first 100 pages with a 1 in their title, from one seed, over two levels of pages that have none."""
+    found = frontier.crawl(_tree_pages(spark, d), _seed(spark, "http://tree.example/r0"), extract.heuristic, filters.by_keywords("1", "title"), limit=100)
+    return found.select("url", "title")
+
+
+@query("crawl_tree", f"WITH {_TREE} SELECT 'http://tree.example/' || node AS url, depth FROM t WHERE title LIKE '%1%'")
+def crawl_tree(spark, d):
+    found = frontier.crawl(_tree_pages(spark, d), _seed(spark, "http://tree.example/r0"), extract.heuristic, filters.by_keywords("1", "title"))
+    return found.select("url", "depth")
+
+
+@query("crawl_deep_chain", "WITH RECURSIVE c AS (SELECT 0 AS i UNION ALL SELECT i + 1 FROM c WHERE i + 1 < (SELECT 3 * count(*) FROM nation)) SELECT 'http://chain.example/p' || i AS url, i AS depth FROM c WHERE i > 0")
+def crawl_deep_chain(spark, d):
+    """Pages that each name only the next one: as many levels as there are pages."""
+    i = F.col("n_nationkey") * 3 + F.col("k")
+    nodes = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, range(3)))).alias("k")).select(i.alias("page_id"))
+    last = nodes.agg(F.max("page_id")).first()[0]
+    html = F.when(F.col("page_id") < last, F.concat(F.lit('<a href="/p'), (F.col("page_id") + 1).cast("string"), F.lit('">next</a>'))).otherwise(F.lit("<p>end</p>"))
+    pages = nodes.select("page_id", F.concat(F.lit("http://chain.example/p"), "page_id").alias("url"), html.alias("html"))
+    return frontier.deep_links(pages, _seed(spark, "http://chain.example/p0"))
+
+
+@query(
+    "html_fallback",
+    """WITH n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS place, starts_with('n' || n_nationkey, 'n1') AS banned FROM nation WHERE n_regionkey = 1),
+c AS (SELECT c_custkey, c_acctbal FROM customer JOIN n ON c_nationkey = n_nationkey WHERE NOT banned ORDER BY place, c_custkey LIMIT 150 - 1 - (SELECT count(*) FROM n))
+SELECT 'http://tree.example/r1' AS url, 0 AS depth UNION ALL SELECT 'http://tree.example/n' || n_nationkey, 1 FROM n WHERE NOT banned
+UNION ALL SELECT 'http://tree.example/c' || c_custkey, 2 FROM c WHERE c_acctbal >= 0""",
+)
+def html_fallback(spark, d):
+    """A walk with addresses that are disallowed or not held on its way, which count toward the number of pages."""
+    pages = _tree_pages(spark, d)
+    poor = table(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("http://tree.example/c"), "c_custkey").alias("url"))
+    rules = spark.createDataFrame([("http://tree.example", "User-agent: *\nDisallow: /n1")], "base string, body string")
+    return frontier.html_fallback(pages.join(poor, "url", "left_anti"), _seed(spark, "http://tree.example/r1"), 2, 150, rules).select("url", "depth")
+
+
 # Sitemaps and robots
 
 
@@ -322,6 +413,52 @@ def rss_scan(spark, d):
     return sitemap.scan(table(spark, d, "nation").select(F.col("n_name").alias("url"), body.alias("body"))).select("sitemap", "kind", "loc")
 
 
+@query("regex_scan", f"SELECT DISTINCT 'b' || (record_id % 20) AS sitemap, url AS loc FROM url_records WHERE NOT contains(url, '<') AND url = {_trim('url')}")
+def regex_scan(spark, d):
+    """Bodies that break off: a pattern finds their addresses, each once."""
+    rows = table(spark, d, "url_records").where(~F.col("url").contains("<") & (F.col("url") == urls.trimmed(F.col("url"))))
+    one = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod>"))
+    bodies = rows.groupBy(F.concat(F.lit("b"), F.col("record_id") % 20).alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(one), "")).alias("body"))
+    return sitemap.scan(bodies).select("sitemap", "loc")
+
+
+@query(
+    "probe_common_paths",
+    "SELECT DISTINCT base, base || p AS sitemap FROM robots_bodies, (VALUES ('/sitemap.xml'), ('/sitemap_index.xml'), ('/wp-sitemap.xml'), ('/sitemap.xml.gz'), ('/index-sitemap.xml'), ('/sitemap/sitemap.xml')) v(p) WHERE base || p IN (SELECT url FROM sitemap_bodies WHERE length(body) > 0)",
+)
+def probe_common_paths(spark, d):
+    return sitemap.probe_common_paths(table(spark, d, "robots_bodies").select("base").distinct(), table(spark, d, "sitemap_bodies"))
+
+
+@query(
+    "sitemaps_of",
+    r"""WITH n AS (SELECT DISTINCT base, regexp_replace(l, '(?i)^\s*sitemap:\s*', '') AS sitemap FROM (SELECT base, unnest(string_split(body, chr(10))) AS l FROM robots_bodies) WHERE regexp_matches(l, '(?i)^\s*sitemap:'))
+SELECT * FROM n UNION SELECT DISTINCT base, base || p FROM robots_bodies, (VALUES ('/sitemap.xml'), ('/sitemap_index.xml'), ('/wp-sitemap.xml'), ('/sitemap.xml.gz'), ('/index-sitemap.xml'), ('/sitemap/sitemap.xml')) v(p) WHERE base || p IN (SELECT url FROM sitemap_bodies WHERE length(body) > 0)""",
+)
+def sitemaps_of(spark, d):
+    return sitemap.sitemaps_of(table(spark, d, "robots_bodies"), table(spark, d, "sitemap_bodies"))
+
+
+@query("gunzip_bodies", "SELECT url || '.gz' AS url, body FROM sitemap_bodies WHERE body IS NOT NULL")
+def gunzip_bodies(spark, d):
+    """Bodies packed, and then unfolded and decoded again."""
+
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([gzip.compress(x.encode()) for x in b.column(1).to_pylist()], pa.binary())], names=["url", "body"])
+
+    rows = table(spark, d, "sitemap_bodies").where("body IS NOT NULL").select(F.concat("url", F.lit(".gz")).alias("url"), "body")
+    return corpus.unzipped(rows.mapInArrow(packed, "url string, body binary")).select("url", corpus.decode_text(F.col("body")).alias("body"))
+
+
+@query("jsonl_round_trip", "SELECT item_id, url, title, date FROM content_items")
+def jsonl_round_trip(spark, d):
+    """Items written as JSON lines and read back, nulls among them."""
+    folder = scratch(spark, "jsonl")
+    write_jsonl(table(spark, d, "content_items").select("item_id", "url", "title", "date"), folder)
+    return spark.read.schema("item_id long, url string, title string, date string").json(folder)
+
+
 @query("sitemap_records", "SELECT 'l' || n_nationkey AS source, 'http://x.example/' || c_custkey AS url, 2 AS depth FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
 def sitemap_records(spark, d):
     """An index of indexes down to leaves, from one root."""
@@ -490,6 +627,13 @@ def bench_strategy_stats(spark, d):
     return metrics.strategy_stats(both).withColumn("avg_length", F.round("avg_length", 6))
 
 
+@query("requested_success", "SELECT count(*) AS requested, count(p.url) AS succeeded, count(p.url) / count(*) AS success_rate FROM (SELECT DISTINCT url FROM url_records UNION SELECT url FROM content_items) r LEFT JOIN (SELECT DISTINCT url FROM pages WHERE length(html) > 0) p ON r.url = p.url")
+def requested_success(spark, d):
+    """Successes over all addresses that were asked for, also those without any result."""
+    asked = table(spark, d, "url_records").select("url").unionByName(table(spark, d, "content_items").select("url"))
+    return metrics.requested_stats(asked, table(spark, d, "pages").select("url", F.col("html").alias("text"))).select("requested", "succeeded", "success_rate")
+
+
 @query("navigations_per_page", "SELECT count(url) AS navigations, count(DISTINCT url) AS pages, count(url) / nullif(count(DISTINCT url), 0) AS per_page FROM content_items")
 def navigations_per_page(spark, d):
     return metrics.navigations_per_page(table(spark, d, "content_items"))

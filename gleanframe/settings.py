@@ -33,6 +33,10 @@ class ProxyRotationMethod(str, Enum):
     RANDOM = "random"
 
 
+#: Names of strategies that were registered beside those above.
+OWN_STRATEGIES: set[str] = set()
+
+
 def _member(kind: type[Enum], value: Any, name: str) -> str:
     try:
         return kind(value).value
@@ -106,7 +110,8 @@ class Settings:
 
     def __post_init__(self) -> None:
         self.link_extraction_strategy = _member(LinkExtractionStrategy, self.link_extraction_strategy, "link_extraction_strategy")
-        self.scraping_strategy = _member(ScrapingStrategy, self.scraping_strategy, "scraping_strategy")
+        if self.scraping_strategy not in OWN_STRATEGIES:
+            self.scraping_strategy = _member(ScrapingStrategy, self.scraping_strategy, "scraping_strategy")
         self.scraping_output_format = _member(OutputFormat, self.scraping_output_format, "scraping_output_format")
         self.proxy_rotation_method = _member(ProxyRotationMethod, self.proxy_rotation_method, "proxy_rotation_method")
         if self.logging_level not in (None, "DEBUG", "INFO", "WARNING", "ERROR"):

@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,18 +23,82 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, _HIDDEN, " ")
 
 
+# Elements without content.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class _Cutter(HTMLParser):
+    """Places (start, end) of the elements that selectors choose, nested ones of the same tag included."""
+
+    def __init__(self, html: str, tags: frozenset[str], classes: frozenset[str], ids: frozenset[str]):
+        super().__init__(convert_charrefs=False)
+        self.html, self.tags, self.classes, self.ids = html, tags, classes, ids
+        self.starts = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.cuts: list[tuple[int, int]] = []
+        self.open: tuple[str, int] | None = None
+        self.depth = 0
+        self.feed(html)
+        self.close()
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def _chosen(self, tag: str, attrs) -> bool:
+        found = {k: v or "" for k, v in attrs}
+        return tag in self.tags or not self.classes.isdisjoint(found.get("class", "").split()) or found.get("id") in self.ids
+
+    def handle_starttag(self, tag, attrs):
+        if self.open is not None:
+            self.depth += tag == self.open[0]
+        elif self._chosen(tag, attrs):
+            if tag in _VOID:
+                self.handle_startendtag(tag, attrs)
+            else:
+                self.open, self.depth = (tag, self._at()), 1
+
+    def handle_startendtag(self, tag, attrs):
+        if self.open is None and self._chosen(tag, attrs):
+            self.cuts.append((self._at(), self._at() + len(self.get_starttag_text() or "")))
+
+    def handle_endtag(self, tag):
+        if self.open is not None and tag == self.open[0]:
+            self.depth -= 1
+            if not self.depth:
+                end = self.html.find(">", self._at())
+                self.cuts.append((self.open[1], len(self.html) if end < 0 else end + 1))
+                self.open = None
+
+    def result(self) -> str:
+        out, last = [], 0
+        for a, b in self.cuts:
+            out += [self.html[last:a], " "]
+            last = b
+        return "".join(out) + self.html[last:]
+
+
 def without_elements(html: Column, selectors: Sequence[str]) -> Column:
-    """The page without elements chosen by tag, ``.class`` or ``#id``; an element ends at its first end tag."""
-    for s in selectors:
-        if s.startswith((".", "#")):
-            name = "class" if s[0] == "." else "id"
-            value = re.escape(s[1:])
-            inner = rf"[^\"']*\b{value}\b[^\"']*" if s[0] == "." else value
-            for tag in ("div", "section", "aside", "p", "span", "ul", "nav", "header", "footer", "form"):
-                html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*\b{name}=[\"']{inner}[\"'][^>]*>.*?</{tag}\s*>", " ")
-        else:
-            html = F.regexp_replace(html, rf"(?is)<{re.escape(s)}\b.*?</{re.escape(s)}\s*>", " ")
-    return html
+    """The page without elements chosen by tag, ``.class`` or ``#id``, whatever is nested in them; unclosed ones stay.
+
+    Elements chosen by tag that hold none of their kind are cut in the JVM; a parser in Arrow batches reads only pages
+    with nested ones, or in which a class or id occurs at all.
+    """
+    tags = [s.lower() for s in selectors if not s.startswith((".", "#"))]
+    classes, ids = [s[1:] for s in selectors if s.startswith(".")], [s[1:] for s in selectors if s.startswith("#")]
+    cut, parse = html, F.lit(False)
+    for t in tags:
+        cut = F.regexp_replace(cut, rf"(?is)<{re.escape(t)}\b.*?</{re.escape(t)}\s*>", " ")
+    for t in tags:
+        parse |= cut.rlike(rf"(?i)</{re.escape(t)}\s*>")
+    for name in (*classes, *ids):
+        parse |= html.contains(name)
+    chosen = frozenset(tags), frozenset(classes), frozenset(ids)
+
+    @F.pandas_udf(T.StringType())
+    def parsed(pages: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else _Cutter(h, *chosen).result() for h in pages], dtype="object")
+
+    return F.when(parse, parsed(F.when(parse, html))).otherwise(cut)
 
 
 def squeezed(text: Column) -> Column:

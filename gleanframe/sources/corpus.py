@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gzip
 import io
+import time
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,14 +64,66 @@ def misses(queue: DataFrame, corpus: DataFrame, url_col: str = "url") -> DataFra
     return queue.select(F.col(url_col).alias("url")).join(held, F.col("url") == F.col("_url"), "left_anti")
 
 
+class Response(NamedTuple):
+    """What a fetcher may give instead of bytes: a status, the body, and the encoding the server names for it."""
+
+    status: int
+    body: bytes | None = None
+    encoding: str | None = None
+
+
+Fetcher = Callable[[str], "bytes | Response | None"]
+
+
+def get(url: str, fetcher: Fetcher, retries: int = 2, delay: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> bytes | None:
+    """The body of an address, or None.
+
+    Status 200 gives the body, unfolded if the address ends in ``.gz`` or the encoding is gzip; 404 gives None at once;
+    any other status, and any error, is tried again, ``retries`` times in all, after ``delay`` seconds, twice that, and
+    so on. A fetcher that gives bytes or None means 200 or 404.
+    """
+    for attempt in range(1, max(1, retries) + 1):
+        try:
+            found = fetcher(url)
+            if not isinstance(found, Response):
+                found = Response(404 if found is None else 200, found)
+            if found.status == 200:
+                body = found.body or b""
+                return unzip(body) if url.endswith(".gz") or (found.encoding or "").lower() == "gzip" else body
+            if found.status == 404:
+                return None
+        except Exception:  # any error of the network counts as a try
+            pass
+        if attempt < max(1, retries):
+            sleep(delay * attempt)
+    return None
+
+
+def fetched(queue: DataFrame, fetcher: Fetcher, url_col: str = "url", retries: int = 2, delay: float = 0.0, parts: int | None = None) -> DataFrame:
+    """(url, body) of the addresses of ``queue``, fetched where they are; those that give none drop out, null ones too.
+
+    ``parts`` spreads a small queue over that many tasks. Repeated addresses are fetched again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            urls = b.column(0).to_pylist()
+            bodies = [get(u, fetcher, retries, delay) for u in urls]
+            ok = [i for i, x in enumerate(bodies) if x is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([urls[i] for i in ok], pa.string()), pa.array([bodies[i] for i in ok], pa.binary())], names=["url", "body"])
+
+    rows = queue.select(F.col(url_col).alias("url")).where(F.col("url").isNotNull())
+    return (rows.repartition(parts) if parts else rows).mapInArrow(run, "url string, body binary")
+
+
 class _Range(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, urls: list[str], fetcher: Callable[[str], bytes | None], retries: int, parts: int):
-        self.urls, self.fetcher, self.retries, self.parts = urls, fetcher, retries, parts
+    def __init__(self, urls: list[str], fetcher: Fetcher, retries: int, parts: int, delay: float):
+        self.urls, self.fetcher, self.retries, self.parts, self.delay = urls, fetcher, retries, parts, delay
 
     def partitions(self):
         n = max(1, min(self.parts, len(self.urls)))
@@ -77,21 +131,15 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         for url in partition.urls:
-            body = None
-            for _ in range(max(1, self.retries)):
-                try:
-                    body = self.fetcher(url)
-                    break
-                except Exception:
-                    continue
+            body = get(url, self.fetcher, self.retries, self.delay)
             if body is not None:
                 yield (url, bytes(body))
 
 
-def fetcher_source(fetcher: Callable[[str], bytes | None], name: str = "fetched", retries: int = 2, parts: int = 8) -> type[DataSource]:
-    """A data source class whose rows are (url, body) of the addresses in its ``urls`` option (one a line).
+def fetcher_source(fetcher: Fetcher, name: str = "fetched", retries: int = 2, parts: int = 8, delay: float = 0.0) -> type[DataSource]:
+    """A data source class whose rows are (url, body) of the addresses in its ``urls`` option (one a line), by ``get``.
 
-    Exceptions are tried again; None (not found) and addresses that keep failing give no row.
+    The option is for the seeds of a person; a table of addresses goes through ``fetched``.
     """
 
     class Fetched(DataSource):
@@ -103,6 +151,6 @@ def fetcher_source(fetcher: Callable[[str], bytes | None], name: str = "fetched"
             return "url string, body binary"
 
         def reader(self, schema) -> DataSourceReader:
-            return _Reader([u for u in self.options.get("urls", "").split("\n") if u], fetcher, retries, parts)
+            return _Reader([u for u in self.options.get("urls", "").split("\n") if u], fetcher, retries, parts, delay)
 
     return Fetched

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from gleanframe.__main__ import main
 from gleanframe.operators import filters as fl
-from gleanframe.plans.engine import Crawler, LinkExtractor, Scraper, SiteMap, timed
+from gleanframe.operators import frontier, metrics
+from gleanframe.plans.engine import Crawler, LinkExtractor, Scraper, SiteMap, register_strategy, timed
 from gleanframe.settings import LLMSettings, ProxySettings, Settings, SitemapSettings
 from gleanframe.streaming import results
 
@@ -141,3 +142,51 @@ def test_running_counts(spark, pages, tmp_path):
     q = results.running_counts(stream, "host").writeStream.outputMode("update").foreachBatch(lambda b, _: out.extend(r.pages for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert max(out) == 6
+
+
+def test_fallback_takes_held_and_allowed_pages_in_order(spark):
+    rows = [(BASE + "/", page("/x/ /gone /no/1 /y#f /x", "home")), (BASE + "/x/", page("/z", "x")), (BASE + "/y", page("/x", "y")), (BASE + "/no/1", page("/behind", "no")), (BASE + "/behind", page("", "b")), (BASE + "/z", page("/deep", "z")), (BASE + "/deep", "")]
+    pages = spark.createDataFrame(rows, "url string, html string").withColumn("page_id", F.monotonically_increasing_id())
+    robots = spark.createDataFrame([(BASE, "User-agent: *\nDisallow: /no")], "base string, body string")
+    seed = spark.createDataFrame([(BASE,)], "url string")
+
+    def walk(**options):
+        return [(r.url.removeprefix(BASE), r.depth) for r in frontier.html_fallback(pages, seed, **options).orderBy("seq").collect()]
+
+    assert walk(robots_bodies=robots) == [("", 0), ("/x/", 1), ("/y", 1), ("/z", 2)]
+    assert walk(max_depth=1) == [("", 0), ("/x/", 1), ("/no/1", 1), ("/y", 1)] and walk(max_pages=2) == [("", 0), ("/x/", 1)]
+    assert frontier.html_fallback(pages, seed.limit(0)).count() == 0
+    with SiteMap(spark, pages, Settings(), robots) as m:
+        assert urls(m.run(BASE)) == ["", "/x/", "/y", "/z"]
+
+
+def test_registered_strategy_priority_and_levels(spark, pages):
+    register_strategy("lengths", lambda found, settings: found.select("url", F.length("html").alias("size")))
+    with Crawler(spark, pages, Settings(scraping_strategy="lengths", link_extraction_limit=2)) as c:
+        assert sorted(r.size for r in c.run(BASE + "/").collect())[0] > 0 and c.run(BASE + "/").count() == 2
+    edges = spark.createDataFrame([("a", "b", 0, False), ("a", "c", 1, True), ("a", "d", 2, None), ("c", "e", 0, False)], "src string, dst string, pos int, priority boolean")
+    said = []
+    seeds = spark.createDataFrame([("a",)], "url string")
+    assert {r.url for r in frontier.traverse(edges, seeds, limit=1).collect()} == {"a", "c"}
+    assert {r.url for r in frontier.traverse(edges, seeds, on_level=lambda depth, size: said.append((depth, size))).collect()} == set("abcde") and said == [(1, 3), (2, 1)]
+
+
+def test_walks_read_the_seeds_sites_only(spark, pages):
+    seeds = spark.createDataFrame([(BASE + "/",)], "url string")
+    other = pages.unionByName(pages.withColumn("url", F.replace("url", F.lit(BASE), F.lit("http://b.example"))))
+    assert frontier.site_pages(other, seeds).count() == pages.count()
+    many = spark.createDataFrame([(f"http://s{i}.example/",) for i in range(frontier.MAX_PREFIXES + 1)] + [(BASE + "/",)], "url string")
+    assert frontier.site_pages(other, many).count() == pages.count()
+    assert sorted(r.url for r in frontier.deep_links(other, seeds, limit=4).collect()) == [BASE + x for x in ("/", "/a", "/b", "/skip/x")] or frontier.deep_links(other, seeds, limit=4).count() == 4
+
+
+def test_requested_and_random_choice(spark):
+    asked = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("c",)], "url string")
+    results = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", ""), ("z", "x")], "url string, text string")
+    row = metrics.requested_stats(asked, results, seconds=2.0).first()
+    assert (row.requested, row.succeeded, round(row.success_rate, 3), row.pages_per_second) == (3, 1, 0.333, 0.5)
+    assert metrics.requested_stats(asked.limit(0), results).first().success_rate is None
+    rows = spark.range(300).withColumnRenamed("id", "pos")
+    got = [r.choice for r in metrics.random_choice(rows, ["a", "b", "c"], 1).orderBy("pos").collect()]
+    assert got == [r.choice for r in metrics.random_choice(rows, ["a", "b", "c"], 1).orderBy("pos").collect()] and min(map(got.count, "abc")) > 60
+    assert metrics.random_choice(rows, []).first().choice is None

@@ -150,3 +150,45 @@ def test_stats(spark):
     assert (got["a"].pages, got["a"].succeeded, got["a"].likely_failed, got["a"].avg_length, got["a"].median_length) == (3, 2, 1, 50.5, 50.5)
     assert got["b"].succeeded == 0 and got["b"].avg_length is None
     assert [r.choice for r in metrics.round_robin(spark.range(4).withColumnRenamed("id", "pos"), ["x", "y"]).collect()] == ["x", "y", "x", "y"]
+
+
+@pytest.mark.parametrize(
+    ("html", "selectors", "left"),
+    [
+        ("<div class=ad><div>in</div>LEAK</div><p>stay</p>", [".ad"], " <p>stay</p>"), ("<nav>a<nav>b</nav>LEAK</nav>x", ["nav"], " x"), ("<nav>a</nav>x<nav>b</nav>y", ["nav"], " x y"),
+        ("<section id='x y'>k</section><article id=x>g</article>", ["#x"], "<section id='x y'>k</section> "), ("<p class='big ad-free'>k</p><p class='ad big'>g</p>", [".ad"], "<p class='big ad-free'>k</p> "),
+        ("<div class=ad>open", [".ad"], "<div class=ad>open"), ("a<img class=ad src=x>b<br class='ad'/>c", [".ad"], "a b c"), (None, [".ad"], None), ("", [".ad", "nav"], ""), ("no ad here", [".ad"], "no ad here"),
+    ],
+)
+def test_elements_with_nested_ones(spark, html, selectors, left):
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(extract.without_elements(F.col("h"), selectors)).first()[0] == left
+
+
+def test_get_like_a_client():
+    tries, slept = [], []
+
+    def server(url):
+        tries.append(url)
+        n = len(tries)
+        if url == "gone":
+            return corpus.Response(404)
+        if url == "late":
+            return corpus.Response(429) if n < 3 else corpus.Response(200, b"x")
+        if url == "bad":
+            raise OSError("no way")
+        return corpus.Response(200, gzip.compress(b"y"), "GZIP") if url == "packed" else None if url == "none" else gzip.compress(b"z")
+
+    def ask(url, **options):
+        tries.clear(), slept.clear()
+        return corpus.get(url, server, sleep=slept.append, **options), len(tries), list(slept)
+
+    assert ask("gone", retries=5) == (None, 1, []) and ask("none", retries=5) == (None, 1, [])
+    assert ask("late", retries=3, delay=0.5) == (b"x", 3, [0.5, 1.0]) and ask("late", retries=2, delay=1.0) == (None, 2, [1.0])
+    assert ask("bad", retries=2) == (None, 2, [0.0]) and ask("packed") == (b"y", 1, []) and ask("a.gz")[0] == b"z"
+
+
+def test_fetched_where_the_queue_is(spark):
+    queue = spark.createDataFrame([("a",), ("b",), (None,), ("gone",), ("a",)], "url string")
+    got = sorted((r.url, bytes(r.body)) for r in corpus.fetched(queue, lambda u: None if u == "gone" else u.encode() * 2, parts=2).collect())
+    assert got == [("a", b"aa"), ("a", b"aa"), ("b", b"bb")] and corpus.fetched(queue.limit(0), lambda u: b"x").count() == 0

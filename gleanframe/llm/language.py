@@ -8,6 +8,7 @@ most of its common words in that language.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,10 +25,12 @@ from .quality import LineReader, common_word_sets
 
 #: Labelled documents a language that profiles are fitted on, and n-grams a profile.
 SAMPLE, PROFILE = 300, 400
+#: Characters of a sample text from which its distance says how far texts of its language lie, and texts that must say so.
+LEAST_CHARS, LEAST_TEXTS = 80, 50
 #: Words that a line must have to be compared by itself.
 LEAST_WORDS = 5
-#: Words of a text's lines in another language from which it is a segment of its own.
-SEGMENT_WORDS = 5
+#: Language of texts that lie farther from every profile than any text of the sample from its own, by this factor.
+UNKNOWN, FARTHEST = "und", 1.1
 
 _LETTERS = 62  # the commonest letters have numbers from 1, all others share the last one; 0 parts words
 _OTHER = _LETTERS + 1
@@ -42,6 +45,7 @@ class Profiles:
     letters: np.ndarray  # code point -> number
     dense: np.ndarray  # n-gram -> its column in places, or -1
     places: np.ndarray  # languages x n-grams
+    farthest: float = math.inf  # distance beyond which a text is in none of the languages
 
     @property
     def size(self) -> int:
@@ -94,7 +98,15 @@ def fit(samples: dict[str, list[str]], size: int = PROFILE) -> Profiles:
     places = np.full((len(langs), len(known)), size, np.int32)
     for i, top in enumerate(tops):
         places[i, dense[top]] = np.arange(len(top))
-    return Profiles(langs, letters, dense, places)
+    out = Profiles(langs, letters, dense, places)
+    own = []
+    for i, k in enumerate(langs):
+        texts = [t.lower() for t in samples[k] if len(t) >= LEAST_CHARS]
+        if len(texts) >= LEAST_TEXTS:
+            own.append(_distances(_counts(texts, out), out)[:, i])
+    if own:
+        out.farthest = FARTHEST * float(np.concatenate(own).max())
+    return out
 
 
 def _distances(counts: np.ndarray, p: Profiles) -> np.ndarray:
@@ -120,12 +132,11 @@ def _counts(texts: list[str], p: Profiles) -> np.ndarray:
     return np.bincount(line[ok] * p.size + gram[ok], minlength=len(texts) * p.size).reshape(len(texts), p.size)
 
 
-def best(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest language of each text and a confidence from 0 to 1: how much farther the second one is."""
-    if distances.shape[1] == 1:
-        return np.zeros(len(distances), np.int64), np.ones(len(distances))
-    two = np.sort(distances, axis=1)[:, :2]
-    return distances.argmin(axis=1), np.where(two[:, 1] > 0, 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9), 0.0)
+def confidence(distances: np.ndarray, n: int) -> float:
+    """From 0 to 1: how much nearer the ``n``-th language is than the nearest of the others; 1 if there are no others."""
+    others = np.delete(distances, n)
+    least = float(others.min(initial=np.inf))
+    return 1.0 if not len(others) else max(0.0, 1 - float(distances[n]) / least) if least > 0 else 0.0
 
 
 def fit_profiles(docs: DataFrame, common_words: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
@@ -171,10 +182,12 @@ class Tagger:
         self.p, self.common, self.reader = profiles, common, LineReader(common)
         self.block = max(64, 6_000_000 // max(1, profiles.size))
 
-    def lines(self, text: str) -> tuple[list[tuple[int, str, list[str]]], bool]:
-        """Body lines fit to be compared, and whether the text is running text: at least half of its words, lines around
-        the body aside, stand in sentences, and not all of it is notices."""
+    def lines(self, text: str) -> tuple[list[tuple[int, str, str | None]], bool]:
+        """Body lines fit to be compared, each with the language that most of its common words are in (None if it has less
+        than two), and whether the text is running text: at least half of its words, lines around the body aside, stand
+        in sentences, and not all of it is notices."""
         out, inside, counted, speaking = [], 0, 0, False
+        by_word, known, langs = self.reader.by_word, self.reader.any_common, self.reader.langs
         for i, line in enumerate(text.split("\n")):
             s = line.strip()
             if not s or prose.surrounding(s):
@@ -184,48 +197,72 @@ class Tagger:
             counted += len(tokens)
             if prose.notice(s):
                 inside += len(tokens)
-            elif self.reader.sentence(s, tokens):
+                continue
+            common = [t for t in tokens if t in by_word]
+            if prose.is_sentence(s, tokens, sum([t in known for t in common])):
                 inside += len(tokens)
                 speaking = True
                 if len(tokens) >= LEAST_WORDS and prose.ends_sentence(s) and not prose.bullet(s):
-                    out.append((i, low, tokens))
+                    votes = [0] * len(langs)
+                    for t in common:
+                        for k in by_word[t]:
+                            votes[k] += 1
+                    most = max(votes)
+                    out.append((i, low, langs[votes.index(most)] if most >= 2 else None))
         return out, speaking and 2 * inside >= counted
 
     def tag(self, texts: list[str]) -> list[tuple[str | None, float, bool, list[tuple[int, int, str, float]]]]:
-        p, found, flat, owner = self.p, [], [], []
+        """Language, confidence, whether it is running text, and segments of each text.
+
+        Lines in a row whose common words are in one language are compared as one; they are a segment of their own if the
+        nearest profile is of that language too, else they are in the language of their text.
+        """
+        p, runs, flat, owner = self.p, [], [], []
         for d, text in enumerate(texts):
             own, running = self.lines(text)
-            found.append((own, running))
-            flat += [low for _, low, _ in own] or [text.lower()]
-            owner += [d] * (len(own) or 1)
+            parts: list[list] = []
+            for i, low, lang in own:
+                if parts and (lang is None or parts[-1][2] in (None, lang)):
+                    parts[-1][1] = i
+                    parts[-1][2] = parts[-1][2] or lang
+                    parts[-1][3].append(low)
+                else:
+                    parts.append([i, i, lang, [low]])
+            runs.append((parts, running))
+            flat += [" ".join(x[3]) for x in parts] or [text.lower()]
+            owner += [d] * (len(parts) or 1)
         if not p.langs:
-            return [(None, 0.0, r, []) for _, r in found]
-        line_d, whole = [], np.zeros((len(texts), p.size), np.int64)
+            return [(None, 0.0, r, []) for _, r in runs]
+        found, whole = [], np.zeros((len(texts), p.size), np.int64)
         for a in range(0, len(flat), self.block):
             counts = _counts(flat[a : a + self.block], p)
-            line_d.append(_distances(counts, p))
+            found.append(_distances(counts, p))
             ids, starts = np.unique(owner[a : a + self.block], return_index=True)
             whole[ids] += np.add.reduceat(counts, starts, axis=0)
-        line_best, line_conf = best(np.concatenate(line_d))
-        doc_best, doc_conf = best(_distances(whole, p))
+        of_run = np.concatenate(found) if found else np.zeros((0, len(p.langs)))
+        of_text = _distances(whole, p)
+        run_best, text_best = of_run.argmin(axis=1), of_text.argmin(axis=1)
         empty = whole.sum(axis=1) == 0
         out, at = [], 0
-        for d, (own, running) in enumerate(found):
-            lang = None if empty[d] else p.langs[doc_best[d]]
+        for d, (parts, running) in enumerate(runs):
+            n = int(text_best[d])
+            # A text in several languages lies between their profiles: its runs tell whether they are known.
+            far = of_text[d, n] > p.farthest and of_run[at : at + (len(parts) or 1)].min() > p.farthest
+            lang = None if empty[d] else UNKNOWN if far else p.langs[n]
             segments: list[list] = []
-            for k, (i, _, tokens) in enumerate(own):
-                best_lang = p.langs[line_best[at + k]]
-                if best_lang != lang:
-                    named, n = prose.hits(tokens, self.common)
-                    if named != best_lang or n < 2:
-                        best_lang = lang
-                if segments and segments[-1][2] == best_lang:
-                    segments[-1][1] = i
-                    segments[-1][3].append(float(line_conf[at + k]))
+            for k, (first, last, named, _) in enumerate(parts):
+                best_n = int(run_best[at + k])
+                own = best_n if p.langs[best_n] == named and of_run[at + k, best_n] <= p.farthest else n
+                name = lang if own == n else named
+                conf = confidence(of_run[at + k], own) if name != UNKNOWN else 0.0
+                if segments and segments[-1][2] == name:
+                    segments[-1][1] = last
+                    segments[-1][3].append(conf)
                 else:
-                    segments.append([i, i, best_lang, [float(line_conf[at + k])]])
-            at += len(own) or 1
-            out.append((lang, round(float(doc_conf[d]), 4) if lang else 0.0, running, [(a, b, s, round(sum(c) / len(c), 4)) for a, b, s, c in segments]))
+                    segments.append([first, last, name, [conf]])
+            at += len(parts) or 1
+            sure = confidence(of_text[d], n) if lang not in (None, UNKNOWN) else 0.0
+            out.append((lang, round(sure, 4), running, [(a, b, x, round(sum(c) / len(c), 4)) for a, b, x, c in segments]))
         return out
 
 

@@ -184,6 +184,18 @@ def test_profiles_on_held_out_lines():
     assert all(0 <= t[1] <= 1 and t[2] for t in tags)
 
 
+def test_unknown_languages_and_mixed_texts():
+    rng = random.Random(3)
+    profiles = language.fit({k: [" ".join(sentence(k, rng) for _ in range(rng.randint(2, 6))) for _ in range(60)] for k in TEXTS})
+    tagger = language.Tagger(profiles, COMMON)
+    finnish = "Vanha mylly on kaupungin laidalla, ja tie laaksoon oli talvella poikki lumen takia. Nyt se on auki ja kaikki voivat mennä sinne taas."
+    en, de = (" ".join(sentence(k, rng) for _ in range(4)) for k in ("en", "de"))
+    got = tagger.tag([finnish, f"{en}\n{de}\n{de}", en, "", "Старая мельница."])
+    assert got[0][0] == language.UNKNOWN and got[0][1] == 0 and got[3][0] is None
+    assert [x[:3] for x in got[1][3]] == [(0, 0, "en"), (1, 2, "de")] and got[2][0] == "en" and got[2][1] > 0
+    assert language.fit({k: [t] for k, t in TEXTS.items()}).farthest == float("inf")
+
+
 def test_out_of_place_like_brute_force():
     profiles = language.fit({k: [t] for k, t in TEXTS.items()}, size=50)
     texts = ["die mühle", "the the mill", "", "日本", "ein weg und the road"]

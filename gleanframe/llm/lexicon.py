@@ -189,10 +189,10 @@ def latin_stems() -> frozenset[str]:
 
 @cache
 def automaton() -> ahocorasick.Automaton:
-    """One automaton over notices, messages, fillers, pseudo-Latin and the beginnings of placeholders; a hit gives
-    (length, [(kind, all parts in order)])."""
+    """One automaton over surroundings, notices, messages, fillers, pseudo-Latin and the beginnings of placeholders; a hit
+    gives (length, [(kind, all parts in order)])."""
     found: dict[str, list] = {}
-    for kind, block in (("notice", NOTICES), ("message", MESSAGES), ("filler", FILLERS)):
+    for kind, block in (("around", SURROUNDINGS), ("notice", NOTICES), ("message", MESSAGES), ("filler", FILLERS)):
         for p in phrases(block):
             parts = [x.strip() for x in p.split("…")]
             found.setdefault(parts[0], []).append((kind, parts))
@@ -204,12 +204,3 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(head, (len(head), entries))
     a.make_automaton()
     return a
-
-
-@cache
-def surroundings() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for p in phrases(SURROUNDINGS):
-        a.add_word(p, len(p))
-    a.make_automaton()
-    return a

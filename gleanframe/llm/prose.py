@@ -51,6 +51,11 @@ def _related() -> frozenset[str]:
     return frozenset(lexicon.phrases(lexicon.RELATED))
 
 
+@cache
+def _related_heads() -> frozenset[str]:
+    return frozenset(w.split()[0] for w in _related())
+
+
 def words(line: str) -> list[str]:
     return _WORD.findall(line.lower())
 
@@ -86,85 +91,127 @@ def _signed(part: str) -> bool:
     return n >= 2 and n >= SIGN_SHARE * len(tokens) or n == 1 and all(t in signs or t in filling for t in tokens)
 
 
-def _surrounding_words(s: str) -> int:
-    """Words of a squeezed lower-case line in sentences that hold a phrase of surroundings or consist of their signs."""
-    n = 0
-    ends = [(end, size) for end, size in lexicon.surroundings().iter(s)]
-    start = 0
+@cache
+def _prompt_heads() -> frozenset[str]:
+    """First words of the prompts; those that begin with a name or a number are told by their digit."""
+    found = re.findall(r"[(|^]+([^\W\d_]+)", "|".join(lexicon.phrases(lexicon.PROMPTS, sep="\n")))
+    return frozenset(w for x in found for w in (x, lexicon.plain(x)))
+
+
+_STOPS = ".:!?,;"
+_DIGIT = re.compile(r"\d")
+
+
+def _prompt(s: str, tokens: list[str]) -> bool:
+    return bool(tokens) and (tokens[0] in _prompt_heads() or _DIGIT.search(s) is not None) and _prompts().match(s) is not None
+
+
+def _surrounding_words(s: str, hits: list[tuple[int, int]]) -> int:
+    """Words of a squeezed lower-case line in sentences that hold a phrase of surroundings (``hits``: end, length), are
+    prompts or consist of signs."""
+    n = start = 0
     for part in _PARTS.split(s):
         at = s.find(part, start)
         start = at + len(part)
-        covered = max([size for end, size in ends if at <= end < start], default=0)
-        if covered and (covered >= 0.2 * len(part) or covered >= 16) or _prompts().match(part) or _signed(part):
+        covered = max([size for end, size in hits if at <= end < start], default=0)
+        if covered and (covered >= 0.2 * len(part) or covered >= 16) or _signed(part) or _prompt(part, part.split()):
             n += len(part.split())
     return n
 
 
+@lru_cache(maxsize=1 << 10)
+def _read(line: str) -> tuple[str, list[str], list[tuple[int, int]], list[tuple[int, int, bool]]]:
+    """The squeezed line in lower case, its words, the phrases of surroundings in it (end, length) and those of notices
+    and messages (start, end, whether a notice)."""
+    tokens = line.lower().split()
+    s = " ".join(tokens)
+    around, notices = [], []
+    for end, (size, found) in lexicon.automaton().iter(s):
+        kinds = [kind for kind, _ in found]
+        if "around" in kinds:
+            around.append((end, size))
+        if "notice" in kinds or "message" in kinds:
+            notices.append((end + 1 - size, end + 1, "notice" in kinds))
+    return s, tokens, around, notices
+
+
+@cache
+def _byline_heads() -> frozenset[str]:
+    return frozenset("by von par por di door text texte texto testo tekst text: texte: texto: testo: tekst:".split())
+
+
 def surrounding(line: str) -> int:
     """SURROUNDING, MENU, CRUMB, RELATED or BYLINE for lines around a body, else 0; lines of any length."""
     return _known_surrounding(line) if len(line) <= LONG else _surrounding(line)
 
 
 def _surrounding(line: str) -> int:
-    s = " ".join(line.lower().split())
-    if (mark := _DECOR.match(s)) is not None:
-        s = s[mark.end() :]
-    if s.endswith((" !", " »")):
-        s = s[:-2]
+    s, tokens, hits, _ = _read(line)
     if not s:
         return 0
-    if s.rstrip(".!…:»? ") in _related():
+    odd = not s[0].isalpha() or s[-1] in "!»"
+    if odd:
+        if (mark := _DECOR.match(s)) is not None:
+            s = s[mark.end() :]
+            hits = [(end - mark.end(), size) for end, size in hits if end - size + 1 >= mark.end()]
+        if s.endswith((" !", " »")):
+            s = s[:-2]
+        if not s:
+            return 0
+        tokens = s.split()
+    if tokens[0].rstrip(_STOPS) in _related_heads() and s.rstrip(".!…:»? ") in _related():
         return RELATED
-    item = _BULLET.sub("", _LINK.sub(r"\1", s) if "](" in s else s)
+    item = _LINK.sub(r"\1", s) if "](" in s else s
+    item = item if item[0].isalpha() else _BULLET.sub("", item)
     head = _HEAD.search(item)
     if head and head[0] in _menu_heads():
         if _menu().fullmatch(_SEPARATORS.sub(" ", item).rstrip(".!…:»? ")):
             return MENU
         if _crumb().match(s):
             return CRUMB
-    if "|" in item or "·" in item:
+    barred = "|" in item
+    if barred or "·" in item:
         parts = [p for p in re.split(r"\s*[|·]\s*", item) if p]
         if len(parts) >= 3 and 2 * sum(1 for p in parts if _menu().fullmatch(p)) >= len(parts):
             return MENU
-    if _prompts().match(s) or _surrounding_words(s) >= SURROUNDING_SHARE * len(s.split()):
+    if _prompt(s, tokens):
         return SURROUNDING
-    return BYLINE if s[-1] not in "!?" and _bylines().match(s) else 0
+    signs = _signs()[0]
+    if (hits or not signs.isdisjoint(tokens) or tokens[-1].rstrip(_STOPS) in signs or tokens[0].rstrip(_STOPS) in signs) and _surrounding_words(s, hits) >= SURROUNDING_SHARE * len(tokens):
+        return SURROUNDING
+    return BYLINE if (barred or tokens[0] in _byline_heads()) and s[-1] not in "!?" and _bylines().match(s) else 0
 
 
 _known_surrounding = lru_cache(maxsize=1 << 16)(_surrounding)
 
 
-def _covered(s: str) -> tuple[int, int]:
-    """Characters that stand in notices, and in notices or messages; overlapping hits count once."""
+def _covered(hits: list[tuple[int, int, bool]], start: int, end: int) -> tuple[int, int]:
+    """Characters from ``start`` to ``end`` that stand in notices, and in notices or messages; overlapping hits count once."""
     out = []
-    hits = sorted([(end + 1 - size, end + 1, any(kind == "notice" for kind, _ in found)) for end, (size, found) in lexicon.automaton().iter(s) if any(kind in ("notice", "message") for kind, _ in found)])
     for any_kind in (False, True):
         n = last = 0
-        for start, end, sure in hits:
-            if sure or any_kind:
-                n += max(0, end - max(start, last))
-                last = max(last, end)
+        for a, b, sure in hits:
+            if (sure or any_kind) and a >= start and b <= end:
+                n += max(0, b - max(a, last))
+                last = max(last, b)
         out.append(n)
     return out[0], out[1]
 
 
-@lru_cache(maxsize=1 << 15)
-def _short_notice(line: str) -> bool:
-    s = " ".join(line.lower().split())
-    sure, covered = _covered(s)
-    return sure >= 0.3 * len(s) or sure >= 18 or covered >= 0.5 * len(s)
-
-
 def notice_words(line: str) -> int:
     """Words of the line that stand in notices: all or none of a short line, the notice sentences of a long one."""
-    if len(line) <= LONG:
-        return len(line.split()) if _short_notice(line) else 0
-    s = " ".join(line.lower().split())
-    if not any(_covered(s)):
+    s, tokens, _, hits = _read(line)
+    if not hits:
         return 0
-    n = 0
+    hits = sorted(hits)
+    if len(line) <= LONG:
+        sure, covered = _covered(hits, 0, len(s))
+        return len(tokens) if sure >= 0.3 * len(s) or sure >= 18 or covered >= 0.5 * len(s) else 0
+    n = start = 0
     for x in _PARTS.split(s):
-        sure, covered = _covered(x)
+        at = s.find(x, start)
+        start = at + len(x)
+        sure, covered = _covered(hits, at, start)
         if sure >= 0.3 * len(x) or sure >= 18 and len(x) <= LONG or covered >= 0.5 * len(x):
             n += len(x.split())
     return n
@@ -172,7 +219,8 @@ def notice_words(line: str) -> int:
 
 def notice(line: str) -> bool:
     """A line that is mostly an error, access, verification or script notice; one of any length."""
-    return _short_notice(line) if len(line) <= LONG else 2 * notice_words(line) > len(line.split())
+    n = notice_words(line)
+    return n > 0 and 2 * n > len(line.split())
 
 
 def is_sentence(line: str, tokens: list[str], n_common: int) -> bool:

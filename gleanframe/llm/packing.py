@@ -84,9 +84,9 @@ class _Sums:
                 return found
             self.refresh()
         if self.triples[gap]:
-            for a in np.flatnonzero(c[:gap] > 0)[::-1].tolist():
+            for a in np.flatnonzero((c[:gap] > 0) & self.pairs[gap:0:-1])[::-1].tolist():
                 c[a] -= 1
-                found = self._pair(gap - a) if self.pairs[gap - a] else None
+                found = self._pair(gap - a)
                 c[a] += 1
                 if found is not None:
                     return (a, *found)

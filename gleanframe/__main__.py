@@ -18,8 +18,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--concurrency", type=int, default=10)
     c.add_argument("--strategy", choices=("shallow", "deep"), default="deep")
     c.add_argument("--format", choices=("markdown", "json", "xml", "xmltei"), default="json")
-    c.add_argument("--include", nargs="*")
-    c.add_argument("--exclude", nargs="*")
+    c.add_argument("--include", nargs="+", action="extend", help="patterns of links to follow; may be given several times")
+    c.add_argument("--exclude", nargs="+", action="extend", help="patterns of links not to follow; may be given several times")
     return p
 
 

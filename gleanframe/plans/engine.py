@@ -17,6 +17,7 @@ from ..operators.filters import Filter
 from ..runtime import ship, small_or_plain
 from ..schema import spark_type
 from ..settings import Settings
+from ..sinks.files import plain
 from ..sources import corpus
 
 
@@ -151,6 +152,14 @@ class Scraper(Engine):
         pages = corpus.fetch(self._seeds(url), self.pages)
         return extract.wrap_scrape(self._extract(pages))
 
+    def results(self, url: str | Sequence[str]) -> list[dict] | dict | None:
+        """The rows as plain values: for one address its result or None, for several a list with those that have one.
+
+        Meant for what a person asks for: the results come to the driver.
+        """
+        found = [plain(r) for r in self.stream(url)]
+        return (found[0] if found else None) if isinstance(url, str) else found
+
     def stream(self, url: str | Sequence[str]) -> Iterator[Row]:
         return self.run(url).toLocalIterator()
 

@@ -10,6 +10,7 @@ from gleanframe.__main__ import main
 from gleanframe.operators import filters as fl
 from gleanframe.operators import frontier, metrics
 from gleanframe.plans.engine import Crawler, LinkExtractor, Scraper, SiteMap, register_strategy, timed
+from gleanframe.sources import models
 from gleanframe.settings import LLMSettings, ProxySettings, Settings, SitemapSettings
 from gleanframe.streaming import results
 
@@ -190,3 +191,43 @@ def test_requested_and_random_choice(spark):
     got = [r.choice for r in metrics.random_choice(rows, ["a", "b", "c"], 1).orderBy("pos").collect()]
     assert got == [r.choice for r in metrics.random_choice(rows, ["a", "b", "c"], 1).orderBy("pos").collect()] and min(map(got.count, "abc")) > 60
     assert metrics.random_choice(rows, []).first().choice is None
+
+
+def test_results_take_the_shape_of_the_question(spark, pages):
+    with Scraper(spark, pages) as s:
+        assert s.results(BASE + "/a")["result"]["text"] == "fox one" and s.results(BASE + "/none") is None
+        assert [r["url"] for r in s.results([BASE + "/a", BASE + "/none", BASE + "/a"])] == [BASE + "/a"] * 2
+
+
+def test_repeated_flags():
+    from gleanframe.__main__ import parser
+
+    args = parser().parse_args(["crawl", "u", "--pages", "p", "--include", "/a", "--include", "/b", "/c"])
+    assert args.include == ["/a", "/b", "/c"] and args.exclude is None
+
+
+def test_model_providers(spark, pages):
+    asked = []
+
+    def post(url, payload, headers, timeout):
+        asked.append((url, payload, headers, timeout))
+        return {"response": "l", "candidates": [{"content": {"parts": [{"text": "g"}]}}], "choices": [{"message": {"content": "o"}}]}
+
+    shape = {"title": "T", "type": "object", "properties": {"t": {"type": "string"}}}
+    assert models.model("Ollama", "m", options={"top_p": 1, "odd": 2}, post=post)("p", shape) == "l"
+    assert asked[-1][0] == "http://localhost:11434/api/generate" and asked[-1][1]["options"] == {"top_p": 1} and asked[-1][1]["format"] == shape and not asked[-1][1]["think"]
+    assert models.model("gemini", "m", "k", timeout=3, post=post)("p") == "g"
+    assert asked[-1][0].endswith("/v1beta/models/m:generateContent") and "generationConfig" not in asked[-1][1] and asked[-1][3] == 3
+    assert models.model("openai", "m", "k", options={"odd": 2}, strict=False, post=post)("p", shape) == "o"
+    sent = asked[-1][1]
+    assert sent["odd"] == 2 and sent["response_format"]["json_schema"]["name"] == "T" and sent["response_format"]["json_schema"]["schema"]["additionalProperties"] is False and asked[-1][2] == {"Authorization": "Bearer k"}
+    assert models.model("openai", "m", base_url="http://here/v1/", post=post)("p") == "o" and asked[-1][0] == "http://here/v1/chat/completions" and asked[-1][2] == {}
+    for provider, key in (("openai", None), ("google", None), ("other", "k")):
+        with pytest.raises(ValueError):
+            models.model(provider, "m", key)
+    for message in ({"refusal": "no"}, {"content": ""}):
+        with pytest.raises(RuntimeError):
+            models.model("openai", "m", "k", post=lambda *a, m=message: {"choices": [{"message": m}]})("p")
+    generate = models.model("ollama", "m", post=lambda *a: {"response": '{"t": "ok"}'})
+    with Scraper(spark, pages, Settings(scraping_strategy="genai", genai=LLMSettings(shape, generate))) as s:
+        assert "ok" in str(s.run(BASE + "/a").first())

@@ -283,7 +283,8 @@ def _tree_pages(spark, d):
         return rows.select(F.col(key).cast("long").alias("page_id"), F.concat(F.lit(base + mark), key).alias("url"), html.alias("html"))
 
     customers = level("customer", "c_custkey", "c", "c_name", "orders", "o_custkey", "o_orderkey", "o")
-    return level("region", "r_regionkey", "r", "r_name", "nation", "n_regionkey", "n_nationkey", "n").unionByName(level("nation", "n_nationkey", "n", "n_name", "customer", "c_nationkey", "c_custkey", "c")).unionByName(customers)
+    pages = level("region", "r_regionkey", "r", "r_name", "nation", "n_regionkey", "n_nationkey", "n").unionByName(level("nation", "n_nationkey", "n", "n_name", "customer", "c_nationkey", "c_custkey", "c")).unionByName(customers)
+    return materialize(pages, "tree-pages")
 
 
 def _seed(spark, url: str) -> DataFrame:

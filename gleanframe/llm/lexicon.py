@@ -61,6 +61,28 @@ assinar assine subscrever subscreva inscreva registar conta senha partilhar part
 abonneren abonneer inschrijven registreren account wachtwoord delen deel afdrukken downloaden reactie reacties reageer reageren vacatures pers advertentie advertenties gesponsord gerelateerde gerelateerd aanbevolen populair artikelen berichten website privacybeleid voorkeuren toestemming instellingen accepteren voorbehouden voorwaarden toegankelijkheid navigatie vorige volgende trefwoorden categorieën contact startpagina volg
 """
 
+# Further words of footers and prompts (rights, liability, prices, places of service), in the same order.
+SERVICE = """
+reprint reprinted reproduction written permission liability liable linked prices tax taxes vat phone fax registered listen readers minutes top print page correction feedback mistake agree device files
+nachdruck schriftlicher genehmigung zustimmung haftet haftung verlinkter verlinkte inhalt preise steuer mehrwertsteuer telefon sitz hören minuten leser seite drucken oben korrektur gerät dateien annehmen
+reprise reproduction écrit accord décline responsabilité liées prix taxe taxes tva téléphone siège écoutez minutes lecteurs page imprimer haut correction appareil fichiers erreur rédaction
+copia reproducción permiso escrito responde enlazadas precios impuestos iva teléfono sede escucha minutos lectores página imprimir arriba corrección equipo archivos error redacción
+copia riproduzione consenso scritto risponde responsabilità collegate prezzi imposte iva telefono sede ascolta minuti lettori pagina stampare su correzione dispositivo file errore redazione
+cópia reprodução licença escrita responde responsabilidade ligadas preços imposto iva telefone sede ouça minutos leitores página imprimir topo correção aparelho ficheiros erro redação
+overname schriftelijke toestemming aansprakelijk gelinkte prijzen belasting btw telefoon zetel beluister minuten lezers pagina afdrukken boven correctie apparaat bestanden fout redactie
+"""
+
+# Words of notices that stand in a page's place (errors, refusals, checks, missing scripts), in the same order.
+TROUBLE = """
+error denied forbidden permission access blocked unavailable busy server page found find exist exists scripts script javascript enable enabled disabled reload refresh browser verify human robot captcha try again later wrong loading temporarily request account requires require needs need allow continue cannot settings security connection session expired supported turn
+fehler zugriff verweigert gesperrt berechtigung server überlastet seite gefunden existiert skripte skript javascript aktivieren aktiviert deaktiviert eingeschaltet neu browser bestätigen mensch roboter versuchen später erneut vorübergehend erreichbar verfügbar anfrage konto benötigt braucht erlauben fortfahren fortzufahren einstellungen verbindung sitzung abgelaufen unterstützt dürfen schiefgegangen
+erreur accès refusé interdit bloqué serveur occupé page introuvable trouvée existe scripts script javascript activer activez activé désactivé recharger rechargez navigateur confirmer vérifier humain robot réessayer réessayez tard indisponible temporairement chargement compte demande besoin exige autorisez autoriser continuer paramètres connexion session expirée droit problème
+error acceso denegado prohibido bloqueado permiso servidor ocupado página encontró encontrada existe scripts javascript activar active desactivado recargue recargar navegador confirme verificar persona humano robot inténtelo intente tarde disponible cuenta solicitud necesita requiere permita continuar ajustes conexión sesión caducado falló
+errore accesso negato vietato bloccato permesso server occupato pagina trovata esiste script javascript attiva attivare abilita abilitare disattivato ricarica browser conferma verifica persona umano robot riprova tardi disponibile account richiesta richiede consenti continuare impostazioni connessione sessione scaduta puoi funzionato
+erro acesso negado proibido bloqueado permissão servidor ocupado página encontrada existe scripts javascript ligue ligar ative ativar desativado recarregue navegador confirme verificar pessoa humano robô tente tarde disponível indisponível conta pedido precisa preciso requer permita continuar definições ligação sessão expirou correu
+fout toegang geweigerd verboden geblokkeerd toestemming server bezet pagina gevonden bestaat scripts javascript schakel inschakelen uitgeschakeld herlaad browser bevestig verifiëren mens robot probeer opnieuw later bereikbaar beschikbaar account verzoek nodig vereist continueren instellingen verbinding sessie verlopen mag mis
+"""
+
 # Words that bear no content beside signs, so that a short line of them and one sign is a prompt.
 FILLING = """
 a all an and for in more my new of on our post the this to up us use uses using via we with you your leave write join read now here be first see view experience improve

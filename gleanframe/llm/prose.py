@@ -11,6 +11,8 @@ from . import lexicon
 LONG = 260
 #: Share of a line's words that must stand in sentences with the wording of surroundings, and of a sentence's words that must be signs of them.
 SURROUNDING_SHARE, SIGN_SHARE = 1 / 3, 0.3
+#: Share of a sentence's words that must be words of notices for it to be one without a known phrase.
+TROUBLE_SHARE = 0.2
 
 # Kinds of lines.
 EMPTY, SENTENCE, SURROUNDING, MENU, CRUMB, RELATED, BYLINE, ITEM, NOTICE, OTHER, TITLE = range(11)
@@ -80,7 +82,12 @@ _HEAD = re.compile(r"[^\W_]+")
 
 @cache
 def _signs() -> tuple[frozenset[str], frozenset[str]]:
-    return frozenset(lexicon.phrases(lexicon.SIGNS, sep=" ")), frozenset(lexicon.phrases(lexicon.FILLING, sep=" "))
+    return frozenset(lexicon.phrases(lexicon.SIGNS + lexicon.SERVICE, sep=" ")), frozenset(lexicon.phrases(lexicon.FILLING, sep=" "))
+
+
+@cache
+def _trouble() -> frozenset[str]:
+    return frozenset(lexicon.phrases(lexicon.TROUBLE, sep=" "))
 
 
 def _signed(part: str) -> bool:
@@ -198,21 +205,40 @@ def _covered(hits: list[tuple[int, int, bool]], start: int, end: int) -> tuple[i
     return out[0], out[1]
 
 
+def _troubled(part: str) -> bool:
+    """At least two words of notices, and TROUBLE_SHARE of all words."""
+    tokens, trouble = _WORD.findall(part), _trouble()
+    n = sum([t in trouble for t in tokens])
+    return n >= 2 and n >= TROUBLE_SHARE * len(tokens)
+
+
+def speaks_of_trouble(squeezed: str) -> bool:
+    """Whether a sixth of a text's words are words of notices: only then can it be nothing but notices without a known
+    phrase (a share of TROUBLE_SHARE in NOTICE_COVERAGE of its words)."""
+    tokens = squeezed.split()
+    trouble = _trouble()
+    return 6 * sum([t in trouble or t.rstrip(_STOPS) in trouble for t in tokens]) >= len(tokens)
+
+
 def notice_words(line: str) -> int:
     """Words of the line that stand in notices: all or none of a short line, the notice sentences of a long one."""
     s, tokens, _, hits = _read(line)
     if not hits:
-        return 0
+        if _trouble().isdisjoint(tokens):
+            return 0
+        n = sum([len(x.split()) for x in _PARTS.split(s) if _troubled(x)])
+        return n if len(line) > LONG else len(tokens) if 2 * n > len(tokens) else 0
     hits = sorted(hits)
     if len(line) <= LONG:
         sure, covered = _covered(hits, 0, len(s))
-        return len(tokens) if sure >= 0.3 * len(s) or sure >= 18 or covered >= 0.5 * len(s) else 0
+        known = sure >= 0.3 * len(s) or sure >= 18 or covered >= 0.5 * len(s)
+        return len(tokens) if known or 2 * sum([len(x.split()) for x in _PARTS.split(s) if _troubled(x)]) > len(tokens) else 0
     n = start = 0
     for x in _PARTS.split(s):
         at = s.find(x, start)
         start = at + len(x)
         sure, covered = _covered(hits, at, start)
-        if sure >= 0.3 * len(x) or sure >= 18 and len(x) <= LONG or covered >= 0.5 * len(x):
+        if sure >= 0.3 * len(x) or sure >= 18 and len(x) <= LONG or covered >= 0.5 * len(x) or _troubled(x):
             n += len(x.split())
     return n
 

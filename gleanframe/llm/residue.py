@@ -135,7 +135,7 @@ def judge(text: str | None) -> tuple[str, float] | None:
     n = (latin_size(text) if "latin" in kinds else 0) + (filler_size(squeezed, hits) if "filler" in kinds else 0)
     if n:
         return "filler", round(min(1.0, n / len(text)), 4)
-    if ("notice" in kinds or "message" in kinds) and (share := notice_coverage(text.split("\n"))) >= NOTICE_COVERAGE:
+    if ("notice" in kinds or "message" in kinds or prose.speaks_of_trouble(squeezed)) and (share := notice_coverage(text.split("\n"))) >= NOTICE_COVERAGE:
         return "notice", round(share, 4)
     return None
 

@@ -318,3 +318,9 @@ def test_lexicon_has_plain_forms():
     assert "seite drucken" in lexicon.phrases(lexicon.SURROUNDINGS) and "sigue mas abajo" in lexicon.phrases(lexicon.SURROUNDINGS)
     assert all(len(s) >= 4 for s in lexicon.latin_stems())
     assert all(len(list(itertools.islice(b.split("|"), 400))) < 400 for b in (lexicon.SURROUNDINGS, lexicon.NOTICES))
+
+
+def test_notices_and_surroundings_without_known_phrases():
+    for s in ("This server denied access to the account.", "Der Zugriff auf die Seite ist gesperrt.", "Votre navigateur doit activer les scripts.", "Activa los scripts del navegador y recargue la página."):
+        assert residue.judge(s)[0] == "notice" and residue.judge(f"{PROSE}\n{PROSE}\n{s}") is None
+    assert residue.judge(f"{PROSE} The page on the server was blocked.") is None

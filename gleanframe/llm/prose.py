@@ -85,6 +85,16 @@ def _signs() -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(lexicon.phrases(lexicon.SIGNS + lexicon.SERVICE, sep=" ")), frozenset(lexicon.phrases(lexicon.FILLING, sep=" "))
 
 
+def _may_be_signed(tokens: list[str]) -> bool:
+    """Whether enough of a line's words are signs for SURROUNDING_SHARE of it to be sentences of signs."""
+    signs, filling = _signs()
+    if signs.isdisjoint(tokens) and tokens[-1].rstrip(_STOPS) not in signs and tokens[0].rstrip(_STOPS) not in signs:
+        return False
+    bare = [t.rstrip(_STOPS) for t in tokens]
+    n = sum([t in signs for t in bare])
+    return n >= 2 and n >= SIGN_SHARE * SURROUNDING_SHARE * len(bare) or 3 * (n + sum([t in filling for t in bare])) >= 2 * len(bare)
+
+
 @cache
 def _trouble() -> frozenset[str]:
     return frozenset(lexicon.phrases(lexicon.TROUBLE, sep=" "))
@@ -183,8 +193,7 @@ def _surrounding(line: str) -> int:
             return MENU
     if _prompt(s, tokens):
         return SURROUNDING
-    signs = _signs()[0]
-    if (hits or not signs.isdisjoint(tokens) or tokens[-1].rstrip(_STOPS) in signs or tokens[0].rstrip(_STOPS) in signs) and _surrounding_words(s, hits) >= SURROUNDING_SHARE * len(tokens):
+    if (hits or _may_be_signed(tokens)) and _surrounding_words(s, hits) >= SURROUNDING_SHARE * len(tokens):
         return SURROUNDING
     return BYLINE if (barred or tokens[0] in _byline_heads()) and s[-1] not in "!?" and _bylines().match(s) else 0
 
@@ -224,7 +233,11 @@ def notice_words(line: str) -> int:
     """Words of the line that stand in notices: all or none of a short line, the notice sentences of a long one."""
     s, tokens, _, hits = _read(line)
     if not hits:
-        if _trouble().isdisjoint(tokens):
+        trouble = _trouble()
+        if trouble.isdisjoint(tokens):
+            return 0
+        n = sum([t in trouble or t.rstrip(_STOPS) in trouble for t in tokens])
+        if n < 2 or n < TROUBLE_SHARE / 2 * len(tokens):
             return 0
         n = sum([len(x.split()) for x in _PARTS.split(s) if _troubled(x)])
         return n if len(line) > LONG else len(tokens) if 2 * n > len(tokens) else 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import body, language, mixing, packing, quality, repeats, residue
+from . import body, labels, language, mixing, packing, quality, repeats, residue
 from .tokens import VOCABULARY, token_counts
 from ..runtime import materialize
 
@@ -105,6 +105,18 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p6_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What must not be: containers above their capacity, and documents whose pieces aren't their tokens. No rows."""
+    sizes, capacities = _sizes(spark, d), _capacities(spark, d)
+    goal = spark.createDataFrame(list(capacities.items()), "container string, capacity long")
+    placed = materialize(p6_pack(spark, d), "placed")
+    full = placed.where(F.col("container_no").isNotNull()).groupBy("container", "container_no").agg(F.sum("size").alias("held"))
+    over = full.join(F.broadcast(goal), "container").where(F.col("held") > F.col("capacity")).select("container", F.col("container_no").alias("id"))
+    whole = placed.groupBy("container", "doc_id").agg(F.sum("size").alias("held"))
+    lost = whole.join(sizes, "doc_id").where(F.col("held") != F.col("n_tokens")).select("container", F.col("doc_id").alias("id"))
+    return over.unionByName(lost)
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
 
@@ -139,6 +151,11 @@ def p5_pages(spark: SparkSession, d: str) -> DataFrame:
     return body.page_bodies(_t(spark, d, "pages"))
 
 
+def p8_label_codes(spark: SparkSession, d: str) -> DataFrame:
+    """The given labels as codes."""
+    return _t(spark, d, "documents").select("doc_id", labels.label_code(F.col("lang")).alias("label"))
+
+
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     """Language and confidence of every document and of its segments."""
     return language.identify(_t(spark, d, "documents"), _t(spark, d, "common_words"))
@@ -164,11 +181,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
+    "p6_violations": p6_violations,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p7_quotas": p7_quotas,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
+    "p8_label_codes": p8_label_codes,
 }
 
 # Site of a document: its source, else the host of its url.
@@ -212,5 +231,12 @@ n AS (SELECT CAST(floor(sum(t) / 256.0 + 0.5) AS BIGINT) AS seats FROM g),
 q AS (SELECT source, weight / (2 * k + 1) AS v FROM (SELECT source, weight, unnest(range(least(cap, seats))) AS k FROM g, n)),
 r AS (SELECT source, row_number() OVER (ORDER BY v DESC, source) AS place FROM q)
 SELECT source, count(*) AS quota FROM r, n WHERE place <= seats GROUP BY source
+""",
+    "p6_violations": "SELECT '' AS container, CAST(0 AS BIGINT) AS id WHERE false",
+    "p8_label_codes": r"""
+WITH n(label, name) AS (VALUES ('en', 'en eng english'), ('de', 'de deu ger german deutsch'), ('fr', 'fr fra fre french français francais'), ('es', 'es spa spanish español espanol castellano'),
+  ('it', 'it ita italian italiano'), ('pt', 'pt por portuguese português portugues'), ('nl', 'nl nld dut dutch nederlands'))
+SELECT doc_id, n.label FROM (SELECT doc_id, lower(regexp_extract(trim(lang), '^([\p{L}]+)(?:[-_][\p{L}0-9]{2,8})*$', 1)) AS head FROM documents) d
+LEFT JOIN n ON list_contains(string_split(n.name, ' '), d.head) AND d.head <> ''
 """,
 }

@@ -231,9 +231,14 @@ def crawl_bfs_depth(spark, d):
     return frontier.traverse(*_site_walk(spark, d), max_depth=4).select("url", "depth")
 
 
-@query("crawl_bfs_full")
+_REACHED = f"""{_LINKS}, e0 AS (SELECT DISTINCT {_DEFRAG.format("page_url")} AS src, {_DEFRAG.format("link")} AS dst FROM links WHERE {_part("link", 1)} = {_part("page_url", 1)} AND lower({_part("link", 2)}) = lower({_part("page_url", 2)})),
+e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0), seeds AS (SELECT min(src) AS url FROM e0 GROUP BY lower({_part("src", 2)})),
+b(url, depth) USING KEY (url) AS (SELECT url, 0 FROM seeds UNION SELECT e.dst, min(b.depth) + 1 FROM b JOIN e ON b.url = e.src WHERE NOT EXISTS (SELECT 1 FROM recurring.b r WHERE r.url = e.dst) GROUP BY e.dst)"""
+
+
+@query("crawl_bfs_full", f"WITH RECURSIVE {_REACHED} SELECT url, depth FROM b")
 def crawl_bfs_full(spark, d):
-    """``crawl_bfs_depth`` without a bound of depth: everything reachable. SQL over (url, depth) wouldn't end on cycles."""
+    """``crawl_bfs_depth`` without a bound of depth: everything reachable."""
     return frontier.traverse(*_site_walk(spark, d)).select("url", "depth")
 
 
@@ -668,6 +673,28 @@ def stream_crawl(spark, d):
     return spark.read.schema("url string, title string").parquet(f"{folder}/out")
 
 
+_ISO = r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)"
+
+
+def _iso_sql(t: str, key: str, field: str) -> str:
+    return (
+        f"SELECT '{t}' AS tbl, {key} AS row_id, '{field}' AS field, strftime(try_cast(v AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%fZ') AS utc"
+        f" FROM (SELECT {key}, {_trim(field)} AS v FROM {t}) WHERE regexp_full_match(v, '{_ISO}') AND try_cast(v AS TIMESTAMPTZ) IS NOT NULL"
+    )
+
+
+@query("p4_iso", " UNION ALL ".join([_iso_sql("url_records", "record_id", "lastmod"), _iso_sql("url_records", "record_id", "discovered_at"), _iso_sql("content_items", "item_id", "date")]))
+def p4_iso(spark, d):
+    """The part of p4_found that SQL can read too: values written as ISO instants with an offset."""
+    records, items = table(spark, d, "url_records"), table(spark, d, "content_items")
+    written = (
+        records.select(F.lit("url_records").alias("tbl"), F.col("record_id").alias("row_id"), F.lit("lastmod").alias("field"), F.col("lastmod").alias("v"))
+        .unionByName(records.select(F.lit("url_records").alias("tbl"), F.col("record_id").alias("row_id"), F.lit("discovered_at").alias("field"), F.col("discovered_at").alias("v")))
+        .unionByName(items.select(F.lit("content_items").alias("tbl"), F.col("item_id").alias("row_id"), F.lit("date").alias("field"), F.col("date").alias("v")))
+    )
+    return p4_found(spark, d).join(written.where(urls.trimmed(F.col("v")).rlike(f"^{_ISO}$")), ["tbl", "row_id", "field"]).select("tbl", "row_id", "field", "utc")
+
+
 @query("p4_found")
 def p4_found(spark, d):
     """Every lastmod, discovered_at and printed date that denotes a moment, in UTC."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import urldefrag, urljoin
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +103,3 @@ def same_site_links(pages: DataFrame, include: list[str] | None = None, exclude:
     rows = page_links(pages, ANCHOR, id_col).withColumn("link", urls.defrag(F.col("link")))
     rows = rows.where(urls.same_origin_strict(F.col("link"), F.col("page_url")))
     return in_scope(rows, urls.origin(F.col("page_url")), include, exclude).select("page_id", "page_url", "pos", "link")
-
-
-def join_reference(base: str, href: str) -> str:
-    """What ``resolve`` and ``defrag`` must give, for tests."""
-    return urldefrag(urljoin(base, href))[0]

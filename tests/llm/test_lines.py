@@ -104,7 +104,7 @@ def key(line):
     return "".join(c for c in line.upper().lower() if unicodedata.category(c)[0] in "LM")
 
 
-def test_repeated_lines_like_brute_force(spark):
+def test_repeated_lines_like_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     lines = [f"Share this story number {i} with friends" for i in range(3)] + ["Straße frei", "STRASSE  FREI!", "123 456", "", "share this STORY number 9 with friends", "One  line", "Listen to the story of Ann", "Listen to the story of Bob"]
     rows = []
@@ -129,6 +129,9 @@ def test_repeated_lines_like_brute_force(spark):
     assert cleaned[100].text is None and cleaned[102].removed == 0
     assert cleaned[1].text == "\n".join(s for n, s in enumerate(rows[1][1].split("\n")) if (1, n) not in expected)
     assert repeats.repeated_lines(docs(spark, [])).count() == 0
+    monkeypatch.setattr(repeats, "SENT_KEYS", 0)
+    joined = {r.doc_id: r for r in repeats.without_repeated_lines(docs(spark, rows), near=False).collect()}
+    assert {i: (r.text, r.removed) for i, r in joined.items()} == {i: (r.text, r.removed) for i, r in cleaned.items()}
 
 
 def test_large_buckets_are_split(spark, monkeypatch):

@@ -40,6 +40,7 @@ _HIDDEN = frozenset(("script", "style", "noscript", "template", "svg"))
 _CHROME = frozenset(("nav", "footer", "aside", "form", "button", "select"))
 _AROUND = frozenset((prose.SURROUNDING, prose.MENU, prose.CRUMB, prose.RELATED, prose.NOTICE))
 _PASSED = frozenset((prose.OTHER, prose.TITLE, prose.SURROUNDING, prose.NOTICE, prose.RELATED))
+_TEXT = frozenset((prose.SENTENCE, prose.ITEM, prose.BYLINE))
 _SENTENCE_BREAK = re.compile(r"[.!?…]\s+\S")
 
 
@@ -167,6 +168,7 @@ def line_tags(lines: list[str], kinds: list[int]) -> list[float]:
     tags = [float(_marks(s)) for s in lines]
     n_words = [len(s.split()) for s in lines]
     at = [i for i, k in enumerate(kinds) if k != prose.EMPTY]
+    following, run = _following(at, kinds), _short_runs(at, kinds, n_words)
     spoken = False  # whether a sentence has been met
     related = -1  # entries so far of a list of other articles, -1 outside one
     for p, i in enumerate(at):
@@ -184,29 +186,40 @@ def line_tags(lines: list[str], kinds: list[int]) -> list[float]:
                 tags[i] += WORDING * n
             else:
                 related = -1
-        elif k == prose.OTHER and n <= LONGEST_LINK and not _leads_to_text(p, at, kinds) or k in (prose.OTHER, prose.ITEM) and not spoken and _in_menu(p, at, kinds, n_words):
+        elif k == prose.OTHER and n <= LONGEST_LINK and following[p] not in _TEXT:
             tags[i] += WORDING * n
+        elif k in (prose.OTHER, prose.ITEM) and not spoken and run[p] >= LEAST_MENU:
+            # The last line of a run may be the heading of the sentence after it.
+            heading = k == prose.OTHER and p + 1 < len(at) and kinds[at[p + 1]] == prose.SENTENCE
+            tags[i] += 0.0 if heading else WORDING * n
         spoken |= k == prose.SENTENCE
     return tags
 
 
-def _leads_to_text(p: int, at: list[int], kinds: list[int]) -> bool:
-    """A heading: after it, other headings and what is set into the text comes a sentence or an item."""
-    k = next((kinds[i] for i in at[p + 1 :] if kinds[i] not in _PASSED), None)
-    return k in (prose.SENTENCE, prose.ITEM, prose.BYLINE)
+def _following(at: list[int], kinds: list[int]) -> list[int | None]:
+    """The kind that each line leads to: of the next one that is neither a heading nor set into the text."""
+    out: list[int | None] = [None] * len(at)
+    k = None
+    for p in range(len(at) - 1, -1, -1):
+        out[p] = k
+        if kinds[at[p]] not in _PASSED:
+            k = kinds[at[p]]
+    return out
 
 
-def _in_menu(p: int, at: list[int], kinds: list[int], n_words: list[int]) -> bool:
-    """One of at least LEAST_MENU lines in a row, of the same kind and of three words at most, but not the heading of a sentence."""
-    k = kinds[at[p]]
-    if k == prose.OTHER and p + 1 < len(at) and kinds[at[p + 1]] == prose.SENTENCE:
-        return False
-    lo = hi = p
-    while lo > 0 and kinds[at[lo - 1]] == k and n_words[at[lo - 1]] <= 3 + (k == prose.ITEM):
-        lo -= 1
-    while hi + 1 < len(at) and kinds[at[hi + 1]] == k and n_words[at[hi + 1]] <= 3 + (k == prose.ITEM):
-        hi += 1
-    return n_words[at[p]] <= 3 + (k == prose.ITEM) and hi - lo + 1 >= LEAST_MENU
+def _short_runs(at: list[int], kinds: list[int], n_words: list[int]) -> list[int]:
+    """How many lines in a row, each with this one, are of its kind and of three words at most beside a bullet."""
+    out, start, last = [0] * len(at), 0, None
+    for p, i in enumerate(at):
+        k = kinds[i] if n_words[i] <= 3 + (kinds[i] == prose.ITEM) else None
+        if k is None or k != last:
+            start = p
+        last = k
+        out[p] = 0 if k is None else p - start + 1
+    for p in range(len(at) - 2, -1, -1):
+        if out[p] and out[p + 1] > out[p]:
+            out[p] = out[p + 1]
+    return out
 
 
 def ratios(text: str, lines: list[str], kinds: list[int]) -> list[float]:

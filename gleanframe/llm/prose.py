@@ -126,11 +126,14 @@ def _prompt(s: str, tokens: list[str]) -> bool:
 def _surrounding_words(s: str, hits: list[tuple[int, int]]) -> int:
     """Words of a squeezed lower-case line in sentences that hold a phrase of surroundings (``hits``: end, length), are
     prompts or consist of signs."""
-    n = start = 0
+    n = start = k = 0
     for part in _PARTS.split(s):
         at = s.find(part, start)
         start = at + len(part)
-        covered = max([size for end, size in hits if at <= end < start], default=0)
+        covered = 0
+        while k < len(hits) and hits[k][0] < start:  # hits come by their ends
+            covered = max(covered, hits[k][1] if hits[k][0] >= at else 0)
+            k += 1
         if covered and (covered >= 0.2 * len(part) or covered >= 16) or _signed(part) or _prompt(part, part.split()):
             n += len(part.split())
     return n
@@ -246,11 +249,15 @@ def notice_words(line: str) -> int:
         sure, covered = _covered(hits, 0, len(s))
         known = sure >= 0.3 * len(s) or sure >= 18 or covered >= 0.5 * len(s)
         return len(tokens) if known or 2 * sum([len(x.split()) for x in _PARTS.split(s) if _troubled(x)]) > len(tokens) else 0
-    n = start = 0
+    n = start = k = 0
     for x in _PARTS.split(s):
         at = s.find(x, start)
         start = at + len(x)
-        sure, covered = _covered(hits, at, start)
+        own = []
+        while k < len(hits) and hits[k][0] < start:
+            own.append(hits[k])
+            k += 1
+        sure, covered = _covered(own, at, start) if own else (0, 0)
         if sure >= 0.3 * len(x) or sure >= 18 and len(x) <= LONG or covered >= 0.5 * len(x) or _troubled(x):
             n += len(x.split())
     return n

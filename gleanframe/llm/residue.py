@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -34,7 +34,7 @@ PLACEHOLDER = re.compile(
     | \[\[\s*{_NAME}\s*\]\] | <<\s*{_NAME}\s*>> | <(?P<angle>[a-z][a-z0-9_.-]{{2,}})>
     | \[%\s*{_NAME}\s*%\] | %%\s*{_NAME}\s*%% | %{_NAME}% | @@{_NAME}@@ | __{_NAME}__ | \*\|{_NAME}\|\*
     | X{{2,4}}_{_NAME}_X{{2,4}} | ~~{_NAME}~~ | &&{_NAME}&& | \{{\s*{_NAME}\s*\|\s*\w+\s*\}} | %\({_NAME}\)[sd] | \${_NAME}[$;]
-    | \[(?:INSERT|YOUR|ENTER|ADD|Insert|Your|Enter|Add)\s[^\]\n]{{2,}}\]
+    | \[(?:INSERT|YOUR|ENTER|ADD|Insert|Your|Enter|Add)\s[^\[\]\n]{{2,}}\]
     | \[[A-Za-z_.\ -]{{2,}}\s(?:here|HERE|goes\ here|GOES\ HERE)\]
     | (?:TODO|FIXME|TK):\s{_NAME}
     | (?<!\S)\{{\d{{1,2}}\}}(?!\S)
@@ -52,12 +52,17 @@ _SCHEMA = T.StructType([
 
 def placeholder_size(text: str) -> int:
     """Characters of unfilled placeholders that aren't quoted as code (an odd number of backticks before them in their line)."""
-    n = 0
+    n = ticks = seen = 0
+    line = -1
     for m in PLACEHOLDER.finditer(text):
         if m["angle"] in ELEMENTS or m["angle"] in FIELDS and f"</{m['angle']}>" in text:
             continue
-        start = text.rfind("\n", 0, m.start()) + 1
-        if text.count("`", start, m.start()) % 2 == 0:
+        start = text.rfind("\n", seen, m.start()) + 1 or line
+        if start != line:
+            line, ticks, seen = max(start, 0), 0, max(start, 0)
+        ticks += text.count("`", seen, m.start())
+        seen = m.start()
+        if ticks % 2 == 0:
             n += m.end() - m.start()
     return n
 
@@ -76,18 +81,27 @@ def latin_size(text: str) -> int:
 def filler_size(squeezed: str, hits: list) -> int:
     """Characters of the sentences that hold the place of text to come; their parts must lie in one or in the one after it."""
     n = 0
+    stops: list[int] | None = None
+    found: dict[str, int] = {}  # where a part was found last; hits come in order, so it holds until it is passed
     for end, (size, entries) in hits:
         for kind, parts in entries:
-            if kind == "filler":
-                at = end + 1
-                bound = next((m.end() for m in itertools.islice(_STOP.finditer(squeezed, at), 1, 2)), len(squeezed)) if len(parts) > 1 else at
-                for p in parts[1:]:
-                    at = squeezed.find(p, at, bound + len(p))
-                    if at < 0:
-                        break
-                    at += len(p)
-                if at >= 0:
-                    n += at - end - 1 + size
+            if kind != "filler":
+                continue
+            at = bound = end + 1
+            if len(parts) > 1:
+                if stops is None:
+                    stops = [m.end() for m in _STOP.finditer(squeezed)]
+                k = bisect.bisect_right(stops, at) + 1
+                bound = stops[k] if k < len(stops) else len(squeezed)
+            for p in parts[1:]:
+                if 0 <= found.get(p, 0) < at or p not in found:
+                    found[p] = squeezed.find(p, at)
+                if not 0 <= found[p] <= bound:
+                    at = -1
+                    break
+                at = found[p] + len(p)
+            if at >= 0:
+                n += at - end - 1 + size
     return n
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 import unicodedata
 from collections import defaultdict
 
@@ -327,3 +328,11 @@ def test_notices_and_surroundings_without_known_phrases():
     for s in ("This server denied access to the account.", "Der Zugriff auf die Seite ist gesperrt.", "Votre navigateur doit activer les scripts.", "Activa los scripts del navegador y recargue la página."):
         assert residue.judge(s)[0] == "notice" and residue.judge(f"{PROSE}\n{PROSE}\n{s}") is None
     assert residue.judge(f"{PROSE} The page on the server was blocked.") is None
+
+
+@pytest.mark.parametrize("text", ["sample text for x " * 20_000, "[INSERT " * 50_000, "Some heading here\n" * 50_000, "- ab\n" * 50_000, "{{name}} `x " * 20_000, "Access denied. You may not view this page. " * 10_000, "All rights reserved. Read more. " * 10_000])
+def test_long_texts_take_time_in_proportion(text):
+    start = time.perf_counter()
+    body.surrounding_lines(text)
+    residue.judge(text)
+    assert time.perf_counter() - start < 10

@@ -258,6 +258,17 @@ def crawl_filtered(spark, d):
     return frontier.crawl(pages, seeds, extract.heuristic(pages), filters.by_keywords("road", "title")).select("url", "title")
 
 
+def _sitemap_tree(spark, d):
+    """Edges and roots of a tree of four levels."""
+
+    def edges(t: str, parent: str, pk: str, child: str, ck: str) -> DataFrame:
+        return table(spark, d, t).select(F.concat(F.lit(parent), pk).alias("src"), F.concat(F.lit(child), ck).alias("dst"), F.lit(0).alias("pos"))
+
+    tree = edges("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(edges("customer", "n", "c_nationkey", "c", "c_custkey")).unionByName(edges("orders", "c", "o_custkey", "o", "o_orderkey"))
+    roots = table(spark, d, "region").where(F.col("r_name").isin("AMERICA", "ASIA")).select(F.concat(F.lit("r"), "r_regionkey").alias("url"))
+    return tree, roots
+
+
 @query(
     "sitemap_tree",
     """SELECT 'r' || r_regionkey AS url, 0 AS depth FROM region WHERE r_name IN ('AMERICA', 'ASIA')
@@ -267,13 +278,7 @@ UNION ALL SELECT 'o' || o_orderkey, 3 FROM orders JOIN customer ON o_custkey = c
 )
 def sitemap_tree(spark, d):
     """A tree of four levels, walked like an index of indexes."""
-
-    def edges(t: str, parent: str, pk: str, child: str, ck: str) -> DataFrame:
-        return table(spark, d, t).select(F.concat(F.lit(parent), pk).alias("src"), F.concat(F.lit(child), ck).alias("dst"), F.lit(0).alias("pos"))
-
-    tree = edges("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(edges("customer", "n", "c_nationkey", "c", "c_custkey")).unionByName(edges("orders", "c", "o_custkey", "o", "o_orderkey"))
-    roots = table(spark, d, "region").where(F.col("r_name").isin("AMERICA", "ASIA")).select(F.concat(F.lit("r"), "r_regionkey").alias("url"))
-    return frontier.traverse(tree, roots).select("url", "depth")
+    return frontier.traverse(*_sitemap_tree(spark, d)).select("url", "depth")
 
 
 def _tree_pages(spark, d):
@@ -353,6 +358,18 @@ def html_fallback(spark, d):
     return frontier.html_fallback(pages.join(poor, "url", "left_anti"), _seed(spark, "http://tree.example/r1"), 2, 150, rules).select("url", "depth")
 
 
+@query(
+    "frontier_cap",
+    """WITH n AS (SELECT n_nationkey, 'n' || n_nationkey AS url FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('AMERICA', 'ASIA')),
+c AS (SELECT c_custkey, 'c' || c_custkey AS url FROM customer JOIN n ON c_nationkey = n_nationkey ORDER BY n.url, 'c' || c_custkey LIMIT 100),
+o AS (SELECT 'o' || o_orderkey AS url FROM orders JOIN c ON o_custkey = c_custkey ORDER BY c.url, 'o' || o_orderkey LIMIT 100)
+SELECT 'r' || r_regionkey AS url, 0 AS depth FROM region WHERE r_name IN ('AMERICA', 'ASIA') UNION ALL SELECT url, 1 FROM n UNION ALL SELECT url, 2 FROM c UNION ALL SELECT url, 3 FROM o""",
+)
+def frontier_cap(spark, d):
+    """A walk whose queue holds a hundred addresses a level: the rest is dropped, as a caller asked."""
+    return frontier.traverse(*_sitemap_tree(spark, d), max_level=100).select("url", "depth")
+
+
 # Sitemaps and robots
 
 
@@ -589,6 +606,15 @@ query("filter_no_keywords", "SELECT item_id FROM content_items WHERE false")(lam
 query("filter_nested", f"SELECT item_id FROM content_items WHERE ({_F_DATE} OR NOT {_F_WORDS}) AND NOT {_F_HTML}")(lambda s, d: _items(s, d, filters.AND(filters.OR(_by_date, filters.NOT(_by_words)), filters.NOT(_by_html))))
 
 
+query("filter_column", "SELECT item_id FROM content_items WHERE coalesce(length(title) > 40 AND contains(url, 'news'), false)")(lambda s, d: _items(s, d, filters.by_column((F.length("title") > 40) & F.col("url").contains("news"))))
+query("filter_function", "SELECT item_id FROM content_items WHERE coalesce(len(string_split(title, ' ')), 0) % 2 = 1")(lambda s, d: _items(s, d, filters.by_function(lambda r: len((r["title"] or "").split(" ")) % 2 == 1 and r["title"] is not None, ["title"])))
+
+
+@query("extract_text_field", "SELECT item_id, coalesce(nullif(text, ''), nullif(content, ''), '') AS text FROM content_items")
+def extract_text_field(spark, d):
+    return table(spark, d, "content_items").select("item_id", text.extract_text(F.col("text"), F.col("content")).alias("text"))
+
+
 @query("filter_resolve_field", f"SELECT item_id, {_FIELD} AS field, {_DATE} AS day FROM content_items")
 def filter_resolve_field(spark, d):
     items = table(spark, d, "content_items")
@@ -683,6 +709,18 @@ def _iso_sql(t: str, key: str, field: str) -> str:
     )
 
 
+@query("stream_first_seen", f"SELECT DISTINCT {_norm('url')} AS norm FROM pages")
+def stream_first_seen(spark, d):
+    """A stream of pages, each twice, through the seen-set: every address once."""
+    folder = scratch(spark, "seen")
+    pages = table(spark, d, "pages").select("url", "page_id")
+    pages.unionByName(pages).repartition(4).write.parquet(f"{folder}/in")
+    stream = results.first_seen(results.page_stream(spark, f"{folder}/in", pages.schema, 1))
+    q = results.run_available(stream, lambda batch, _: batch.select(urls.normalize(F.col("url")).alias("norm")).write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint")
+    q.awaitTermination()
+    return spark.read.schema("norm string").parquet(f"{folder}/out")
+
+
 @query("p4_iso", " UNION ALL ".join([_iso_sql("url_records", "record_id", "lastmod"), _iso_sql("url_records", "record_id", "discovered_at"), _iso_sql("content_items", "item_id", "date")]))
 def p4_iso(spark, d):
     """The part of p4_found that SQL can read too: values written as ISO instants with an offset."""

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from ..runtime import materialize, running_positions
 
-#: Largest capacity for which a histogram of lengths is packed on the driver.
-MAX_CAPACITY = 1 << 20
+#: Largest capacity for which a histogram of lengths is packed on the driver; its plan then takes about ten seconds.
+MAX_CAPACITY = 1 << 17
 
 
 @dataclass

@@ -52,14 +52,12 @@ _SCHEMA = T.StructType([
 
 def placeholder_size(text: str) -> int:
     """Characters of unfilled placeholders that aren't quoted as code (an odd number of backticks before them in their line)."""
-    n = ticks = seen = 0
-    line = -1
+    n = ticks = seen = line = 0
     for m in PLACEHOLDER.finditer(text):
         if m["angle"] in ELEMENTS or m["angle"] in FIELDS and f"</{m['angle']}>" in text:
             continue
-        start = text.rfind("\n", seen, m.start()) + 1 or line
-        if start != line:
-            line, ticks, seen = max(start, 0), 0, max(start, 0)
+        if (start := text.rfind("\n", seen, m.start()) + 1) > line:
+            line, ticks, seen = start, 0, start
         ticks += text.count("`", seen, m.start())
         seen = m.start()
         if ticks % 2 == 0:

@@ -53,8 +53,11 @@ _SCHEMA = T.StructType([
 def placeholder_size(text: str) -> int:
     """Characters of unfilled placeholders that aren't quoted as code (an odd number of backticks before them in their line)."""
     n = ticks = seen = line = 0
+    markup = ELEMENTS
+    if "</" in text:
+        markup = ELEMENTS | {name for name in FIELDS if f"</{name}>" in text}
     for m in PLACEHOLDER.finditer(text):
-        if m["angle"] in ELEMENTS or m["angle"] in FIELDS and f"</{m['angle']}>" in text:
+        if m["angle"] in markup:
             continue
         if (start := text.rfind("\n", seen, m.start()) + 1) > line:
             line, ticks, seen = start, 0, start

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from datetime import date
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import urls
 from ..functions.dates import in_range, lastmod_date
@@ -14,13 +19,100 @@ from . import dedupe, links, robots
 # Places where a site's sitemap is looked for.
 COMMON_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml", "/sitemap.xml.gz", "/index-sitemap.xml", "/sitemap/sitemap.xml")
 
-_ROOT = r"^\s*(?:(?:<\?[\s\S]*?\?>|<!--[\s\S]*?-->|<![^>]*>)\s*)*<([A-Za-z_][A-Za-z0-9_.:-]*)"
-_XML = {"ignoreNamespace": "true"}
-
-
-def _url_fallback(body: Column) -> Column:
-    found = F.concat(F.regexp_extract_all(body, F.lit(r"<loc>\s*(http[^<]+?)\s*</loc>"), F.lit(1)), F.regexp_extract_all(body, F.lit(r"""href=["'](http[^"']+)["']"""), F.lit(1)))
-    return F.array_distinct(found)
+#: Entries that a task holds before it passes them on.
+ROWS = 10_000
+_ENTRIES = T.StructType([T.StructField("sitemap", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("pos", T.IntegerType()), *[T.StructField(f, T.StringType()) for f in ("loc", "lastmod", "changefreq", "priority")]])
+_FIELDS = {f: i for i, f in enumerate(("loc", "lastmod", "changefreq", "priority"))}
+
+_SPACE = re.compile(r"\s*", re.ASCII)
+_OPENED = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)")
+_CLOSED = re.compile(r"</([A-Za-z_][A-Za-z0-9_.:-]*)>")
+_LOC = re.compile(r"<loc>\s*(http[^<]+?)\s*</loc>", re.ASCII)
+_HREF = re.compile(r"""href=["'](http[^"']+)["']""")
+_FEED = re.compile(r"<(?:[A-Za-z0-9_]+:)?(?:link|id)\b[^>/]*>\s*(http[^<]*?)\s*</", re.ASCII)
+_SPACES = " \t\n\r\f\v"
+
+
+def _first_tag(body: str) -> str:
+    """The name of the first element after declarations and comments, empty if there is none."""
+    at = _SPACE.match(body).end()
+    while body.startswith(("<?", "<!"), at):
+        end = "-->" if body.startswith("<!--", at) else "?>" if body.startswith("<?", at) else ">"
+        if (stop := body.find(end, at + (4 if end == "-->" else 2))) < 0:
+            return ""
+        at = _SPACE.match(body, stop + len(end)).end()
+    found = _OPENED.match(body, at)
+    return found[1] if found else ""
+
+
+def _last_tag(body: str) -> str:
+    """The name of the closing tag at the end, comments aside; empty if the body doesn't end so."""
+    end = len(body.rstrip(_SPACES))
+    while body.endswith("-->", 0, end) and (start := body.rfind("<!--", 0, end)) >= 0:
+        end = len(body[:start].rstrip(_SPACES))
+    start = body.rfind("</", 0, end)
+    found = _CLOSED.fullmatch(body, start, end) if start >= 0 else None
+    return found[1] if found else ""
+
+
+def _elements(body: str, name: str) -> list[list[str | None]] | None:
+    """The fields of each element ``name`` right under the root, namespaces aside; what follows the root isn't
+    read, and None stands for a body that can't be parsed."""
+    parser = expat.ParserCreate("utf-8")
+    parser.buffer_text = True
+    path: list[str] = []
+    out: list[list[str | None]] = []
+    held: list[str] = []
+
+    def opened(tag: str, _) -> None:
+        path.append(tag.rsplit(":", 1)[-1].lower())
+        if len(path) == 2 and path[1] == name:
+            out.append([None] * len(_FIELDS))
+        elif len(path) == 3:
+            held.clear()
+
+    def closed(_) -> None:
+        if len(path) == 3 and path[1] == name and path[2] in _FIELDS:
+            out[-1][_FIELDS[path[2]]] = "".join(held)
+        path.pop()
+
+    def text(s: str) -> None:
+        if len(path) == 3:
+            held.append(s)
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = opened, closed, text
+    try:
+        parser.Parse(body.lstrip(_SPACES).encode("utf-8", "replace"), True)
+    except expat.ExpatError as e:
+        if e.code != expat.errors.codes[expat.errors.XML_ERROR_JUNK_AFTER_DOC_ELEMENT]:
+            return None
+    return out
+
+
+def _read(body: str) -> tuple[str, list[list[str | None]]]:
+    """Kind and entries of a body."""
+    first = _first_tag(body)
+    root = first.lower()
+    if first and first.rsplit(":", 1)[-1] == _last_tag(body).rsplit(":", 1)[-1]:
+        if "sitemapindex" in root or "urlset" in root:
+            kind, name = ("sitemap", "sitemap") if "sitemapindex" in root else ("url", "url")
+            found = _elements(body, name)
+            if found is not None:
+                return kind, [e if kind == "url" else [e[0], None, None, None] for e in found]
+        elif "rss" in root or "feed" in root:
+            return "url", [[u, None, None, None] for u in _FEED.findall(body)]
+    return "url", [[u, None, None, None] for u in dict.fromkeys(_LOC.findall(body) + _HREF.findall(body))]
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for sitemap, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            kind, entries = _read(body)
+            for start in range(0, len(entries), ROWS):
+                part = entries[start : start + ROWS]
+                fields = [pa.array([e[i] for e in part], pa.string()) for i in range(len(_FIELDS))]
+                places = pa.array(range(start, start + len(part)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([sitemap] * len(part), pa.string()), pa.array([kind] * len(part)), places, *fields], names=_ENTRIES.fieldNames())
 
 
 def scan(bodies: DataFrame, url_col: str = "url", body_col: str = "body") -> DataFrame:
@@ -28,31 +120,12 @@ def scan(bodies: DataFrame, url_col: str = "url", body_col: str = "body") -> Dat
 
     The root element decides, namespaces aside: an index gives children, a urlset records, a feed its http links; what
     can't be parsed or has another root gives the addresses a pattern finds. Entries without address and null or empty
-    bodies give nothing; empty fields are null. External entities aren't read.
+    bodies give nothing; empty fields are null. External entities aren't read. A body is read once, from one end to the
+    other, however many entries it has.
     """
-    entry = "array<struct<loc string, lastmod string, changefreq string, priority string>>"
     rows = bodies.select(F.col(url_col).alias("sitemap"), F.col(body_col).alias("body")).where(F.col("body").isNotNull() & (F.trim("body") != ""))
-    root = F.lower(F.regexp_extract("body", _ROOT, 1))
-    parsed = F.from_xml("body", f"url {entry}, sitemap array<struct<loc string>>", _XML)
-    none = F.array().cast(entry)
-    rows = rows.select("sitemap", "body", root.alias("root"), parsed.alias("x"))
-    is_index, is_set, is_feed = F.col("root").contains("sitemapindex"), F.col("root").contains("urlset"), F.col("root").contains("rss") | F.col("root").contains("feed")
-    whole = F.col("body").rlike(r"</[A-Za-z_][A-Za-z0-9_.:-]*>\s*(?:<!--[\s\S]*?-->\s*)*\z") & (F.substring_index(F.regexp_extract("body", r"</([A-Za-z_][A-Za-z0-9_.:-]*)>\s*(?:<!--[\s\S]*?-->\s*)*\z", 1), ":", -1) == F.substring_index(F.regexp_extract("body", _ROOT, 1), ":", -1))
-    children = F.transform("x.sitemap", lambda s: _entry(s["loc"]))
-    records = F.transform("x.url", lambda u: _entry(u["loc"], u["lastmod"], u["changefreq"], u["priority"]))
-    feed = F.transform(F.regexp_extract_all("body", F.lit(r"<(?:[A-Za-z0-9_]+:)?(?:link|id)\b[^>/]*>\s*(http[^<]*?)\s*</"), F.lit(1)), lambda u: _entry(u))
-    broken = F.transform(_url_fallback(F.col("body")), lambda u: _entry(u))
-    found = F.when(whole & is_index, children).when(whole & is_set, records).when(whole & is_feed, feed).otherwise(broken)
-    kind = F.when(whole & is_index, "sitemap").otherwise("url")
-    out = rows.select("sitemap", kind.alias("kind"), F.posexplode(F.coalesce(found, none)).alias("pos", "e")).select("sitemap", "kind", "pos", "e.*")
-    return out.where(F.col("loc").isNotNull())
-
-
-def _entry(loc: Column, lastmod: Column | None = None, changefreq: Column | None = None, priority: Column | None = None) -> Column:
-    def field(c: Column | None, name: str) -> Column:
-        return (F.lit(None).cast("string") if c is None else F.nullif(urls.trimmed(c), F.lit(""))).alias(name)
-
-    return F.struct(field(loc, "loc"), field(lastmod, "lastmod"), field(changefreq, "changefreq"), field(priority, "priority"))
+    out = rows.mapInArrow(_scanned, _ENTRIES)
+    return out.select("sitemap", "kind", "pos", *[F.nullif(urls.trimmed(F.col(f)), F.lit("")).alias(f) for f in _FIELDS]).where(F.col("loc").isNotNull())
 
 
 def probe_common_paths(bases: DataFrame, bodies: DataFrame, base_col: str = "base", url_col: str = "url", body_col: str = "body") -> DataFrame:

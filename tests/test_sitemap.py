@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from datetime import date, datetime
 from urllib.robotparser import RobotFileParser
 
@@ -32,6 +33,27 @@ def test_scan(spark):
     assert sitemap.scan(df.where(F.lit(False))).count() == 0
 
 
+def test_scan_in_time_by_size(spark):
+    entries = "".join(f"<url><loc>http://a.example/{i}</loc><lastmod>2024-01-02</lastmod></url>" for i in range(25_000))
+    bodies = [("set", f"<urlset>{entries}</urlset>"), ("broken", f"<urlset>{entries}"), ("index", f"<sitemapindex>{entries.replace('url>', 'sitemap>')}</sitemapindex>")]
+    began = time.time()
+    got = sitemap.scan(spark.createDataFrame(bodies, "url string, body string")).groupBy("sitemap", "kind").agg(F.countDistinct("loc").alias("n"), F.max("pos").alias("pos"), F.count("lastmod").alias("dates")).collect()
+    assert sorted(map(tuple, got)) == [("broken", "url", 25_000, 24_999, 0), ("index", "sitemap", 25_000, 24_999, 0), ("set", "url", 25_000, 24_999, 25_000)]
+    assert time.time() - began < 30
+
+
+@pytest.mark.parametrize(
+    ("body", "expected"),
+    [
+        ("<urlset><url><loc>http://a.example/?a&b</loc></url></urlset>", ["http://a.example/?a&b"]), ("\n<?xml version='1.0'?><urlset><url><loc>http://a.example/1</loc></url></urlset><!-- x --> <!-- y -->\n", ["http://a.example/1"]),
+        ("<urlset xmlns:i='i'><url><loc><![CDATA[http://a.example/?x&y]]></loc><i:image><i:loc>http://i.example/</i:loc></i:image></url><x><url><loc>http://a.example/2</loc></url></x></urlset>", ["http://a.example/?x&y"]),
+        ("<!-- a --><!-- b --><html><loc>http://a.example/3</loc></html>", ["http://a.example/3"]), ("<urlset><url/><url><loc> </loc></url></urlset>", []),
+    ],
+)
+def test_scan_of_odd_bodies(spark, body, expected):
+    assert [r.loc for r in sitemap.scan(spark.createDataFrame([("s", body)], "url string, body string")).collect()] == expected
+
+
 def python_lastmod(s):
     for n, f in ((19, "%Y-%m-%dT%H:%M:%S"), (10, "%Y-%m-%d"), (7, "%Y-%m"), (4, "%Y")):
         try:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ MIN_DOCS = 5
 SIMILARITY, SHINGLE = 0.8, 5
 #: Bands and minima a band: a pair at a similarity of 0.8 meets in one with a probability of 0.986, at 0.84 with 0.995.
 BANDS, MINIMA = 6, 3
-#: Different lines of one bucket that a task compares at once; larger buckets are first reduced by rounds of HEADS lines each.
+#: Different lines of one bucket that a task compares at once; in larger buckets HEADS lines are compared with all others first.
 GROUP, HEADS = 1000, 64
 #: Words of 64 bits in the filter that keeps most lines without partners at home; its size is fixed (8 MB), what it lets pass by chance is joined away.
 FILTER_WORDS = 1 << 20
@@ -269,33 +268,43 @@ def _shingled(bits: np.ndarray):
     return run
 
 
+#: A line's side in a bucket whose lines are all compared; lines of side 0 are compared with those of side 1 only.
+BOTH = 2
+
+
 def _joined(similarity: float):
     """(a, b) keys of similar lines of a bucket, one link for each two parts they join; rows come by bucket.
 
-    A line is compared with each earlier one until they are known to hang together, so nothing is missed, and equal or
-    similar lines cost one comparison each.
+    A line is compared with each earlier one until they are known to hang together, by a link or by the cluster they
+    were given, so nothing is missed, and equal or similar lines cost one comparison each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, parts = None, []
         for batch in batches:
             a, b = [], []
-            for bucket, key, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for bucket, key, cluster, side, shingles in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != last:
                     last, parts = bucket, []
                 own, apart = set(shingles), []
-                mine: list[tuple[int, set[int]]] = [(key, own)]
-                for part in parts:
-                    for other_key, other in part:
-                        common = len(own & other)
-                        if common >= similarity * (len(own) + len(other) - common):
-                            a.append(key)
-                            b.append(other_key)
-                            mine = part + mine if len(part) >= len(mine) else mine + part
-                            break
+                names: set[int] = set() if cluster is None else {cluster}
+                mine: list[tuple[int, int, set[int]]] = [(key, side, own)]
+                for others, part in parts:
+                    near = cluster in others
+                    for other_key, other_side, other in () if near else part:
+                        if side != other_side or side == BOTH:
+                            common = len(own & other)
+                            if common >= similarity * (len(own) + len(other) - common):
+                                a.append(key)
+                                b.append(other_key)
+                                near = True
+                                break
+                    if near:
+                        names = names | others
+                        mine = part + mine if len(part) >= len(mine) else mine + part
                     else:
-                        apart.append(part)
-                parts = [*apart, mine]
+                        apart.append((others, part))
+                parts = [*apart, (names, mine)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -306,14 +315,67 @@ def _similar(similarity: float):
     return common >= F.lit(similarity) * (F.size(F.array_distinct("shingles")) + F.size(F.array_distinct("_head")) - common)
 
 
+def _rare(lines: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, line, key, cluster) in buckets of one shingle each: every two similar lines of a bucket share one.
+
+    Two sets with a similarity of t share t of the larger at least, so, in any order that is the same for both, one of
+    the first n - ceil(t n) + 1 of each. The rarest in the bucket go first, so few lines meet that aren't similar.
+    """
+    tokens = materialize(lines.select("bucket", "line", F.explode(F.array_distinct("shingles")).alias("token")), "bucket-shingles")
+    counts = tokens.groupBy("bucket", "token").agg(F.count("*").alias("c"))
+    listed = tokens.join(counts, ["bucket", "token"]).groupBy("bucket", "line").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
+    n = F.size("t")
+    first = F.slice("t", F.lit(1), n - F.ceil(F.lit(similarity) * n - F.lit(1e-6)).cast("int") + 1)
+    rare = listed.select("bucket", "line", F.explode(first).alias("t")).where("t.c > 1")
+    own = lines.select("bucket", "line", "key", "cluster")
+    return rare.join(own, ["bucket", "line"]).select(F.xxhash64("bucket", "t.token").alias("bucket"), "line", "key", "cluster")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(bucket, line, key, cluster, side): members in buckets of two blocks of about GROUP lines each, or of one block,
+    so that each two that aren't of one cluster meet. Lines of a cluster that is larger than a block are kept apart."""
+    sizes = members.where(F.col("cluster").isNotNull()).groupBy(F.col("bucket").alias("_b"), F.col("cluster").alias("pure")).agg(F.count("*").alias("_n"))
+    large = materialize(sizes.where(F.col("_n") > GROUP).select("_b", "pure"), "large-clusters")
+    rows = members.join(small_or_plain(large), (F.col("bucket") == F.col("_b")) & (F.col("cluster") == F.col("pure")), "left").drop("_b")
+    parts = rows.groupBy("bucket", "pure").agg(F.count("*").alias("_n")).select(F.col("bucket").alias("_b"), F.col("pure").alias("_p"), F.ceil(F.col("_n") / GROUP).alias("_of"))
+    parts = materialize(parts, "rare-parts")
+    numbered = rows.join(small_or_plain(parts), (F.col("bucket") == F.col("_b")) & F.col("pure").eqNullSafe(F.col("_p")))
+    numbered = numbered.select("bucket", "line", "key", "cluster", F.struct("pure", F.pmod(F.xxhash64("line"), F.col("_of")).alias("no")).alias("block"))
+    every = parts.select("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)).alias("no"), F.col("_p").alias("pure")).select("_b", F.struct("pure", "no").alias("x"))
+    pairs = every.join(every.select(F.col("_b").alias("_c"), F.col("x").alias("y")), (F.col("_b") == F.col("_c")) & (F.col("x") <= F.col("y")))
+    pairs = pairs.where(F.col("x.pure").isNull() | ~F.col("x.pure").eqNullSafe(F.col("y.pure"))).select("_b", "x", "y")
+    same = F.col("x") == F.col("y")
+    sides = pairs.select("_b", "x", "y", F.explode(F.when(same, F.array(F.struct(F.col("x").alias("block"), F.lit(BOTH).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side"))))).alias("s"))
+    sides = materialize(sides.select("_b", F.xxhash64("_b", "x", "y").alias("pair"), F.xxhash64("s.block").alias("_block"), "s.side"), "block-pairs")
+    met = numbered.withColumn("_own", F.xxhash64("block")).join(small_or_plain(sides), (F.col("bucket") == F.col("_b")) & (F.col("_own") == F.col("_block")))
+    return met.select(F.col("pair").alias("bucket"), "line", "key", "cluster", "side")
+
+
+def _large_links(lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links of similar lines in buckets of any size, as those with HEADS lines of the bucket and all others.
+
+    The first join most lines of a bucket whose lines are all much alike into few clusters. Lines of different
+    clusters, or of none, are then compared where they share a rare shingle (``_rare``, ``_blocks``).
+    """
+    slot = F.pmod(F.xxhash64("line"), F.lit(HEADS)).alias("slot")
+    heads = lines.groupBy("bucket", slot).agg(F.max(F.struct("n", "line", "key", "shingles")).alias("h")).select("bucket", F.col("h.key").alias("b"), F.col("h.shingles").alias("_head"))
+    near = lines.join(small_or_plain(materialize(heads, "heads"), HEADS * 100), "bucket").where(_similar(similarity)).select(F.col("key").alias("a"), "b")
+    near = materialize(near, "near-heads")
+    lines = materialize(lines.join(small_or_plain(components(near)), "key", "left").select("bucket", "line", "key", "cluster", "shingles"), "large-lines")
+    members = materialize(_rare(lines, similarity), "rare-shingles")
+    some = members.groupBy("bucket").agg(F.count("*").alias("_n"), F.count("cluster").alias("_in"), F.min("cluster").alias("_low"), F.max("cluster").alias("_high"))
+    some = materialize(some.where((F.col("_n") > 1) & ((F.col("_in") < F.col("_n")) | (F.col("_low") != F.col("_high")))).select("bucket"), "rare-buckets")
+    met = _blocks(materialize(members.join(small_or_plain(some), "bucket", "left_semi"), "rare-members"))
+    texts = lines.groupBy("line").agg(F.any_value("shingles").alias("shingles"))
+    return near, met.join(texts, "line").select("bucket", "line", "key", "cluster", "side", "shingles")
+
+
 def band_links(rows: DataFrame, hashed: DataFrame, similarity: float, bands: int) -> list[DataFrame]:
-    """(a, b) keys of similar lines that share a band bucket, in parts.
+    """(a, b) keys of similar lines that share a band bucket, in parts: each two such lines hang together by them.
 
     Buckets with one line only, nearly all, are counted away by 12 bytes a line and band. Lines of the others are read
-    again with their shingles. Buckets of up to GROUP lines are joined whole in one pass over sorted rows (``_joined``).
-    Larger ones are compared with HEADS of their lines, which takes away all lines similar to one of them, again and
-    again until GROUP are left: no line is left uncompared, but two lines that different heads took are then compared in
-    other bands only.
+    again with their shingles. Buckets of up to GROUP lines are joined whole in one pass over sorted rows (``_joined``),
+    larger ones are split so that no two similar lines are parted (``_large_links``).
     """
     seen = hashed.mapInArrow(_buckets(bands), "bucket long, tag int").groupBy("bucket").agg(F.min("tag").alias("low"), F.max("tag").alias("high"))
     hot = materialize(seen.where("low != high").select("bucket"), "hot-buckets")
@@ -326,23 +388,15 @@ def band_links(rows: DataFrame, hashed: DataFrame, similarity: float, bands: int
     lines = materialize(members.join(texts, "line"), "band-lines")
     large = materialize(lines.groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP).select("bucket"), "large-buckets")
     links = []
+    whole = lines.withColumns({"cluster": F.lit(None).cast("long"), "side": F.lit(BOTH)})
+    parts = [(whole, F.desc("n"))]
     if not large.isEmpty():
-        left, small = lines.join(small_or_plain(large), "bucket", "left_semi"), [lines.join(small_or_plain(large), "bucket", "left_anti")]
-        for round_no in itertools.count():
-            slot = F.pmod(F.xxhash64("line"), F.lit(HEADS)).alias("slot")
-            heads = left.groupBy("bucket", slot).agg(F.max(F.struct("n", "line", "key", "shingles")).alias("h")).select("bucket", F.col("h.key").alias("b"), F.col("h.shingles").alias("_head"))
-            near = left.join(small_or_plain(materialize(heads, f"heads-{round_no}"), HEADS * 100), "bucket").where(_similar(similarity))
-            near = materialize(near.select("bucket", "line", F.col("key").alias("a"), "b"), f"near-{round_no}")
-            links.append(near.select("a", "b"))
-            left = materialize(left.join(near.select("bucket", "line").distinct(), ["bucket", "line"], "left_anti"), f"left-{round_no}")
-            large = materialize(left.groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP).select("bucket"), f"large-{round_no}")
-            small.append(left.join(small_or_plain(large), "bucket", "left_anti"))
-            if large.isEmpty():
-                break
-            left = left.join(small_or_plain(large), "bucket", "left_semi")
-        lines = functools.reduce(DataFrame.unionByName, small)
-    ordered = lines.repartition("bucket").sortWithinPartitions("bucket", F.desc("n"), "line").select("bucket", "key", "shingles")
-    links.append(ordered.mapInArrow(_joined(similarity), "a long, b long"))
+        near, met = _large_links(lines.join(small_or_plain(large), "bucket", "left_semi"), similarity)
+        links.append(near)
+        parts = [(whole.join(small_or_plain(large), "bucket", "left_anti"), F.desc("n")), (met, F.asc("side"))]
+    for part, first in parts:
+        ordered = part.repartition("bucket").sortWithinPartitions("bucket", first, "line").select("bucket", "key", "cluster", "side", "shingles")
+        links.append(ordered.mapInArrow(_joined(similarity), "a long, b long"))
     return links
 
 

@@ -148,6 +148,27 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert sorted(map(tuple, repeats.line_frequencies(docs(spark, rows)).collect())) == want and {r[2] for r in want} == {18, 6}
 
 
+@pytest.mark.parametrize(("group", "heads"), [(2, 2), (7, 1), (3, 64)])
+def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch, group, heads):
+    """Each line is like its neighbours in a chain and like no other, so every link counts; with one band no other bucket makes up for one."""
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(letters, 7)) for _ in range(110)]
+    rows = []
+    for chain in range(2):
+        own = list(words)
+        own[100 + chain] = "other"
+        for i in range(45):
+            rows.append(doc(len(rows), " ".join(own)))
+            own[5 + 2 * i] = "".join(rng.choice(letters, 7))
+    rows += [doc(len(rows) + i, " ".join(words[:60] + ["".join(rng.choice(letters, 7)) for _ in range(40)])) for i in range(30)]
+    want = sorted(map(tuple, repeats.line_frequencies(docs(spark, rows), min_docs=1, bands=1).collect()))
+    assert len(want) == len(rows) and len({r[2] for r in want}) > 2
+    monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(repeats, "HEADS", heads)
+    assert sorted(map(tuple, repeats.line_frequencies(docs(spark, rows), min_docs=1, bands=1).collect())) == want
+
+
 def test_filter_keeps_its_members(spark):
     ids = np.random.default_rng(6).integers(-(1 << 62), 1 << 62, 3000)
     bits = repeats.id_filter(spark.createDataFrame([(int(i),) for i in ids[:1000]], "id long"))
